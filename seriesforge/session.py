@@ -27,6 +27,7 @@ def local_session(cores: int = 8, memory: str = "8g") -> SparkSession:
         SparkSession.builder.master(f"local[{cores}]")
         .appName("seriesforge")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(cores))
     )
