@@ -51,13 +51,13 @@ def parse(wide: DataFrame) -> DataFrame:
     names = F.array(*[F.lit(d) for d in DIMENSIONS])
     dims = F.transform(_positions(F.col("Dimensions1")), lambda p: F.element_at(names, p))
     ruled = wide.filter(F.col("`Check No`").isNotNull()).withColumn("dims", dims)
-    cells = F.array(*[_codes(F.col(f"`{c}`"), F.col("dims")) for c in component_columns])
+    cells = F.array(*[F.col(f"`{c}`") for c in component_columns])
     parsed = ruled.select(
         F.trim("`Check No`").alias("check_no"),
         F.trim(F.coalesce("Description", F.lit(""))).alias("description"),
         "dims",
         _codes(F.col("Aggregate_to_check1"), F.col("dims")).alias("aggregate"),
-        F.array_compact(cells).alias("components"),
+        F.array_compact(F.transform(cells, lambda c: _codes(c, F.col("dims")))).alias("components"),
     )
     return parsed.filter(
         (F.size("dims") > 0) & F.col("aggregate").isNotNull() & (F.size("components") > 0)
@@ -95,8 +95,8 @@ def compile_rules(parsed: DataFrame) -> Rulebook:
     # Maps cannot be compared, so repetitions are found on their text.
     text = F.to_json(F.struct("dims", "aggregate", "components"))
     unique = parsed.withColumn("text", text).dropDuplicates(["check_no", "text"]).drop("text")
-    # Ids only have to differ; writing the table fixes them.
-    numbered = stage(unique.withColumn("rule_id", F.monotonically_increasing_id()), "rules")
+    # Ids only have to differ; they are fixed by the write below.
+    numbered = unique.withColumn("rule_id", F.monotonically_increasing_id())
     rule_mask = _mask(lambda d: F.array_contains("dims", d))
     sides = F.concat(
         F.array(F.struct(F.lit(True).alias("is_total"), F.col("aggregate").alias("codes"))),

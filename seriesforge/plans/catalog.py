@@ -208,8 +208,7 @@ def q_scd2_change_counts(spark, sf_dir):
 
 
 def q_scd2_replay(spark, sf_dir):
-    batch = stage(testbed.validated(spark, sf_dir, revision=True), "revision")
-    before = stage(testbed.baseline_history(spark, sf_dir), "baseline")
+    before, batch = testbed.cycle_inputs(spark, sf_dir)
     after = stage(scd2.merge(before, batch, testbed.REVISION_AT, check_unique=False), "history")
     return scd2.change_counts(scd2.changes(after, batch, testbed.REPLAY_AT, check_unique=False))
 

@@ -332,8 +332,8 @@ def _json_series():
     cell = (f"""'"' || CAST(c11.position AS VARCHAR) || '":[' || coalesce({_plain('s.OBS_VALUE')}, 'null') || ',' || """
             "CAST(c12.position AS VARCHAR) || ',' || CAST(c13.position AS VARCHAR) || ']'")
     return _with("", "seen").rstrip() + "," + _CODES + f"""
-SELECT series_key, '{{' || string_agg(cell, ',' ORDER BY at) || '}}' AS observations FROM (
-  SELECT {key} AS series_key, c11.position AS at, {cell} AS cell FROM seen s {joins}) GROUP BY series_key"""
+SELECT series_key, '{{' || string_agg(cell, ',' ORDER BY place) || '}}' AS observations FROM (
+  SELECT {key} AS series_key, c11.position AS place, {cell} AS cell FROM seen s {joins}) GROUP BY series_key"""
 
 
 def oracle_sql() -> dict:

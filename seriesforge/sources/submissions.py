@@ -101,14 +101,16 @@ def read_submissions(spark: SparkSession, path: str, framework: str = FRAMEWORK)
     dims = ", ".join(f"_{d} {text}" for d in DIMENSIONS)
     nested = reader.schema(f"{dims}, Obs array<struct<{observation.replace(' string', ': string')}>>")
     nested = nested.option("rowTag", "Series").load(path).select("*", "_metadata.file_path")
-    nested = nested.select("file_path", *[f"_{d}" for d in DIMENSIONS], F.inline("Obs"))
-    flat = reader.schema(f"{dims}, {observation}").option("rowTag", "Obs").load(path).select("*", "_metadata.file_path")
+    key = [f"_{d}" for d in DIMENSIONS]
+    nested = nested.select("file_path", *key, F.inline("Obs"))
+    flat = reader.schema(f"{dims}, {observation}").option("rowTag", "Obs").load(path)
+    flat = flat.select("_metadata.file_path", *key, *[f"_{c}" for c in OBSERVATION])
     # An Obs element inside a Series carries no key of its own.
-    flat = flat.filter(F.coalesce(*[F.col(f"_{d}") for d in DIMENSIONS]).isNotNull())
+    flat = flat.filter(F.coalesce(*key).isNotNull())
     rows = flat.unionByName(nested)
     return rows.select(
         F.lower(F.regexp_extract("file_path", r"([^/=_]+)_submission_[^/]*", 1)).alias("SUBMITTED_BY"),
-        join_key([F.col(f"_{d}") for d in DIMENSIONS]).alias(KEY),
+        join_key([F.col(k) for k in key]).alias(KEY),
         F.col("_TIME_PERIOD").alias("DATE"),
         F.lit(framework).alias("IBS_AGG"),
         F.nullif(F.trim("_OBS_VALUE"), F.lit("")).cast("double").alias("OBS_VALUE"),
