@@ -59,7 +59,8 @@ def ledger_rows(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFr
     joined = (
         lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        .join(suppliers.join(nations, F.col("s_nationkey") == F.col("n_nationkey")), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
     )
     urgent = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
     modulo = F.col("l_orderkey") % 20

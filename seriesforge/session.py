@@ -13,6 +13,10 @@ SETTINGS = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
 }
 
+# Can only be set when the session starts. Spares a look at the Python stack for every column
+# expression, about a third of the planning time of a long plan.
+AT_START = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the settings to a session that already runs."""
@@ -31,7 +35,7 @@ def local_session(cores: int = 8, memory: str = "8g") -> SparkSession:
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(cores))
     )
-    for name, value in SETTINGS.items():
+    for name, value in {**SETTINGS, **AT_START}.items():
         builder = builder.config(name, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

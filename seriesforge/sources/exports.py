@@ -325,12 +325,12 @@ def write_sdmx_json(
     _check_action(action)
     dictionary = stage(json_dictionary(df), "dictionary")
     series = stage(json_series(df, dictionary), "series")
-    first = series.agg(F.min("series_key").alias("first"))
+    first = series.agg(F.min("series_key")).first()[0]
     entry = F.concat(
-        F.when(F.col("series_key") == F.col("first"), "").otherwise(","),
+        F.when(F.col("series_key") == first, "").otherwise(","),
         F.lit('"'), F.col("series_key"), F.lit('":{"attributes":[],"observations":'), F.col("observations"), F.lit("}"),
     )
-    body = series.join(F.broadcast(first)).select(
+    body = series.select(
         F.lit(1).alias("section"), F.lit(0).alias("place"), F.lit(1).alias("part"), "series_key", entry.alias("line")
     )
     places = F.create_map(*[F.lit(x) for i, c in enumerate(COMPONENTS) for x in (c, i)])
