@@ -50,7 +50,12 @@ def test_a_long_series_runs_over_several_files(spark, tmp_path):
     many = spark.range(40000).select(
         F.when(F.col("id") % 4 < 3, K1).otherwise(F.concat(F.lit(K2[:-2]), F.col("id").cast("string"))).alias("TIME_SERIES_CODE"),
         F.concat(F.lit("2026-Q1"), F.lit("")).alias("DATE"), F.col("id").cast("double").alias("OBS_VALUE"))
-    path = exports.write_sdmx_ml(many, str(tmp_path / "x"))
+    # As with data that is too large to be merged into one task.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        path = exports.write_sdmx_ml(many, str(tmp_path / "x"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     dataset = ET.fromstring(text(path)).find("{%s}DataSet" % exports.NAMESPACES["mes"])
     sizes = sorted(len(s) for s in dataset)
     assert (len(sizes), sizes[-1], sum(sizes)) == (10001, 30000, 40000)
