@@ -10,7 +10,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seriesforge.errors import SubmissionError
-from seriesforge.functions.keys import segment, with_dimensions
+from seriesforge.functions.keys import segment
 from seriesforge.functions.values import fingerprint
 from seriesforge.model import DIMENSIONS, KEY, OPEN_END, PUBLISHED, REPORTER, SERIES_KEYS
 from seriesforge.sources.staging import stage
@@ -86,11 +86,13 @@ def patch_schema(history: DataFrame, spec: HistorySpec = MACRO) -> DataFrame:
     return history.withColumn(HASH, known)
 
 
-def _is_published(spec: HistorySpec) -> Column:
-    """Only PUBLISHED rows may change the current state; a NULL status does not."""
-    if not spec.gated:
-        return F.lit(True)
-    return F.coalesce(F.col("BATCH_STATUS") == PUBLISHED, F.lit(False))
+def _published(rows: DataFrame, spec: HistorySpec) -> DataFrame:
+    return rows.filter(F.col("BATCH_STATUS") == PUBLISHED) if spec.gated else rows
+
+
+def _rejected(rows: DataFrame) -> DataFrame:
+    """Everything that is not PUBLISHED, a NULL status included."""
+    return rows.filter(F.col("BATCH_STATUS").isNull() | (F.col("BATCH_STATUS") != PUBLISHED))
 
 
 def prepare(batch: DataFrame, spec: HistorySpec) -> DataFrame:
@@ -98,9 +100,11 @@ def prepare(batch: DataFrame, spec: HistorySpec) -> DataFrame:
     if spec.gated and "BATCH_STATUS" not in batch.columns:
         batch = batch.withColumn("BATCH_STATUS", F.lit(PUBLISHED))
     hashed = with_version_hash(batch, [c for c in spec.payload if c in batch.columns])
-    if spec.dimensions == DIMENSIONS:
-        return with_dimensions(hashed)
-    return hashed.withColumns({d: segment(F.col(KEY), d) for d in spec.dimensions})
+    return _with_dimensions(hashed, spec)
+
+
+def _with_dimensions(df: DataFrame, spec: HistorySpec) -> DataFrame:
+    return df.withColumns({d: segment(F.col(KEY), d) for d in spec.dimensions})
 
 
 def assert_unique(batch: DataFrame, spec: HistorySpec) -> None:
@@ -124,7 +128,7 @@ def initialise(batch: DataFrame, at, spec: HistorySpec = MACRO) -> DataFrame:
     """First state of a history: published rows open, rejected rows closed on arrival."""
     at = F.lit(at).cast("timestamp")
     rows = prepare(batch, spec)
-    published = _is_published(spec)
+    published = F.coalesce(F.col("BATCH_STATUS") == PUBLISHED, F.lit(False)) if spec.gated else F.lit(True)
     return rows.withColumns(
         {
             spec.valid_from: at,
@@ -167,24 +171,27 @@ def changes(
     part of the batch is the limit (or, for a history without that limit, everything).
 
     Current rows and published rows meet in one full outer join on the key. Both sides have one
-    row per key, so no key is hot. Older versions are not shuffled for it.
+    row per key, so no key is hot. The stored dimensions are left out of that shuffle and taken
+    from the key again; older versions are not shuffled for it at all.
     """
     at = F.lit(at).cast("timestamp")
-    history = patch_schema(history, spec)
+    if HASH not in history.columns:
+        history = patch_schema(history, spec)
     rows = prepare(batch, spec)
     if check_unique:
         assert_unique(rows, spec)
-    published = rows.filter(_is_published(spec))
-    is_current = F.coalesce(F.col(spec.current), F.lit(False))
-    current = _flag_missing_scope(history.filter(is_current), published, spec, periods, framework)
+    published = _published(rows, spec)
+    live = patch_schema(history.filter(F.col(spec.current)), spec)
+    live = _flag_missing_scope(live, published, spec, periods, framework)
 
     columns = history.columns
     keys = list(spec.keys)
+    carried = [c for c in columns if c not in keys and c not in spec.dimensions]
+    types = dict(history.dtypes)
     arriving = _opened(published, spec, at)
-    absent = [c for c in columns if c not in arriving.columns]
-    arriving = arriving.withColumns({c: F.lit(None).cast(dict(history.dtypes)[c]) for c in absent})
-    old = current.select(*keys, F.struct(*columns).alias("old"), "closable")
-    new = arriving.select(*keys, F.struct(*columns).alias("new"))
+    arriving = arriving.withColumns({c: F.lit(None).cast(types[c]) for c in carried if c not in arriving.columns})
+    old = live.select(*keys, F.struct(*carried).alias("old"), "closable")
+    new = arriving.select(*keys, F.struct(*carried).alias("new"))
     met = old.join(new, keys, "full")
 
     has_old, has_new = F.col("old").isNotNull(), F.col("new").isNotNull()
@@ -198,17 +205,16 @@ def changes(
         F.when(has_old, old_row),
         F.when(has_new & (~has_old | differs), new_row),
     )
-    live = met.select(F.inline(F.array_compact(emitted))).select("change", "row.*")
+    result = met.select(*keys, F.inline(F.array_compact(emitted))).select("change", *keys, "row.*")
+    result = _with_dimensions(result, spec).select("change", *columns)
 
-    parts = [live, history.filter(~is_current).select(F.lit(KEPT).alias("change"), "*")]
+    older = history.filter(F.col(spec.current).isNull() | ~F.col(spec.current))
+    result = result.unionByName(older.select(F.lit(KEPT).alias("change"), "*"))
     if spec.gated:
-        rejected = rows.filter(~_is_published(spec))
         # Key and hash together: replaying a rejected batch adds nothing.
-        fresh = rejected.join(history.select(*keys, HASH), keys + [HASH], "left_anti")
-        parts.append(_audited(fresh, spec, at).withColumn("change", F.lit(AUDIT)))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part, allowMissingColumns=True)
+        fresh = _rejected(rows).join(history.select(*keys, HASH), keys + [HASH], "left_anti")
+        audit = _audited(fresh, spec, at).withColumn("change", F.lit(AUDIT))
+        result = result.unionByName(audit, allowMissingColumns=True)
     return result.select("change", *columns)
 
 
