@@ -1,8 +1,12 @@
+import glob
+
 import pytest
 
-from seriesforge.errors import QueryError
+from seriesforge.errors import NothingToExport, QueryError
 from seriesforge.functions import policy
 from seriesforge.operators import governance, history as scd2, search
+from seriesforge.plans import publication
+from seriesforge.sources import exports
 from tests.scenario import key
 from tests.test_history import SCHEMA, T1
 
@@ -89,3 +93,13 @@ def test_dimension_filter_reaches_the_scan(spark, history, tmp_path):
     stored = spark.read.parquet(str(tmp_path / "h"))
     plan = search.search(stored, build(currency="CAD", date_from="2026-Q1"), {"researcher"})._jdf.queryExecution().toString()
     assert "EqualTo(L_DENOM,CAD)" in plan and "PartitionFilters: [isnotnull(DATE" in plan and "TakeOrderedAndProject" in plan
+
+
+def test_publishing_as_a_caller(history, tmp_path):
+    done = publication.publish(history, build(), {"submitter-ca"}, "sdmx-ml", str(tmp_path / "x"))
+    document = "".join(open(f).read() for f in sorted(glob.glob(f"{done.path}/part-*")))
+    assert done.rows == 2 and '<mes:Sender id="BOC">' in document and document.count("<Obs") == 2
+    with pytest.raises(NothingToExport):
+        publication.publish(history, build(), set(), "tidy-csv", str(tmp_path / "y"))
+    assert publication.sender_of({"researcher"}) == publication.sender_of({"submitter-de"}) == exports.SENDER
+    assert policy.access_label({"submitter-ca"}).startswith("Submitter CA") and policy.access_label(set()) == "No access"
