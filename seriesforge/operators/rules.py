@@ -45,7 +45,7 @@ def parse(wide: DataFrame) -> DataFrame:
 
     `wide` has the five rule columns and any number of component columns, all text. Rows without
     a check number, without a known dimension, without a readable aggregate or without a readable
-    component are left out, as is an exact repetition of a rule.
+    component are left out.
     """
     component_columns = [c for c in wide.columns if c not in RULE_COLUMNS]
     names = F.array(*[F.lit(d) for d in DIMENSIONS])
@@ -92,11 +92,9 @@ def _mask(has_bit):
 
 def compile_rules(parsed: DataFrame) -> Rulebook:
     """Write the match terms of a parsed rulebook and read back their shapes."""
-    # Maps cannot be compared, so repetitions are found on their text.
-    text = F.to_json(F.struct("dims", "aggregate", "components"))
-    unique = parsed.withColumn("text", text).dropDuplicates(["check_no", "text"]).drop("text")
-    # Ids only have to differ; they are fixed by the write below.
-    numbered = unique.withColumn("rule_id", F.monotonically_increasing_id())
+    # Ids only have to differ; they are fixed by the write below. A rule that is listed twice has
+    # two ids and is judged twice, with one outcome.
+    numbered = parsed.withColumn("rule_id", F.monotonically_increasing_id())
     rule_mask = _mask(lambda d: F.array_contains("dims", d))
     sides = F.concat(
         F.array(F.struct(F.lit(True).alias("is_total"), F.col("aggregate").alias("codes"))),

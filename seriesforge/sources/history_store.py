@@ -5,12 +5,15 @@ folder that holds it. A manifest is one file, which Spark's output commit makes
 step: a reader sees the state before the commit or after it. One writer at a time.
 """
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.utils import AnalysisException
 
 from seriesforge.model import HISTORY_SCHEMA, KEY, REPORTER
 
-MANIFEST = "DATE string, commit bigint, version bigint"
+MANIFEST = "DATE string, commit bigint"
+VERSION = re.compile(r"/version=(\d+)/")
 
 
 class HistoryStore:
@@ -21,15 +24,17 @@ class HistoryStore:
 
     def _manifest(self) -> tuple:
         """Latest version and its period-to-commit map; one row per period."""
+        folder = f"{self.path}/manifest"
         try:
-            lists = self.spark.read.schema(MANIFEST).json(f"{self.path}/manifest")
+            files = self.spark.read.schema(MANIFEST).json(folder).inputFiles()
         except AnalysisException as error:
             if error.getCondition() == "PATH_NOT_FOUND":
                 return 0, {}
             raise
-        latest = lists.agg(F.max("version")).first()[0]
-        rows = lists.filter(F.col("version") == latest).select("DATE", "commit").collect()
-        return latest or 0, {r["DATE"]: r["commit"] for r in rows}
+        # The names tell which is the latest; only that one is read.
+        latest = max((int(VERSION.search(f).group(1)) for f in files), default=0)
+        rows = self.spark.read.schema(MANIFEST).json(f"{folder}/version={latest}").collect() if latest else []
+        return latest, {r["DATE"]: r["commit"] for r in rows}
 
     def version(self) -> int:
         return self._manifest()[0]
