@@ -1,5 +1,7 @@
 """Inputs derived from the star-schema tables: ledger, reported series, revisions, callers."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from seriesforge.functions.keys import join_key, segment
@@ -149,10 +151,15 @@ def baseline_history(spark: SparkSession, sf_dir: str, book: Rulebook | None = N
 
 
 def cycle_inputs(spark: SparkSession, sf_dir: str) -> tuple:
-    """The history after the baseline, and the revision to merge into it."""
+    """The history after the baseline, and the revision to merge into it.
+
+    Neither needs the other, so both jobs run at the same time.
+    """
     book = rulebook(spark)
-    before = stage(baseline_history(spark, sf_dir, book), "baseline")
-    return before, stage(validated(spark, sf_dir, revision=True, book=book), "revision")
+    with ThreadPoolExecutor(2) as pool:
+        before = pool.submit(lambda: stage(baseline_history(spark, sf_dir, book), "baseline"))
+        batch = pool.submit(lambda: stage(validated(spark, sf_dir, revision=True, book=book), "revision"))
+        return before.result(), batch.result()
 
 
 def revision_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
