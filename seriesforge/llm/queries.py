@@ -7,9 +7,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seriesforge.llm import bpe, idfiles, packing, quality
+from seriesforge.llm import archives, bpe, idfiles, packing, quality
 from seriesforge.llm.text import table
+from seriesforge.sources import staging
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -29,6 +31,16 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(encoded, path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as ARC volumes, converted to WARC archives, which are then read back."""
+    fetched = F.lit(1704067200) + F.pmod(F.coalesce(F.col("page_id"), F.lit(0)), F.lit(31536000))
+    volumes = archives.arc_volumes(table(spark, sf_dir, "pages"), "page_id", "url", "html", fetched)
+    folder = staging.fresh_path(spark, "warc")
+    archives.write_warc(archives.mark_revisits(archives.convert(volumes)), folder)
+    found = archives.read_warc(spark, folder).where(F.col("type") != "warcinfo")
+    return found.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("refers_to_key").alias("refers_to"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = quality.measure(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -42,7 +54,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.write_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = (op1_byte_bpe, op7_quality_rules, op9_packing, op10_token_files)
+QUERIES = (op1_byte_bpe, op3_warc, op7_quality_rules, op9_packing, op10_token_files)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -52,5 +64,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {query.__name__: shipped(query) for query in QUERIES}
 
 
+#: Twenty bits of a hexadecimal digest are four base32 digits.
+OP3_SQL = """
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last_id FROM pages
+)
+SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 40, 5), k -> array_to_string(list_transform([15, 10, 5, 0],
+    b -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, (k + 1)::INT, 5))::BIGINT >> b) & 31)::INT + 1, 1)), '')), '') AS payload_digest,
+  CASE WHEN page_id = last_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last_id THEN last_id END AS refers_to
+FROM payloads
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_warc": OP3_SQL}
