@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import public_tokenizers  # noqa: E402
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 
-from seriesforge.llm import packing, quality  # noqa: E402
+from seriesforge.llm import near, packing, pii, quality  # noqa: E402
 from seriesforge.llm.queries import ship  # noqa: E402
 from seriesforge.llm.text import table  # noqa: E402
 from seriesforge.sources import staging  # noqa: E402
@@ -22,13 +22,24 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies stays, that of the least id."""
+    ship(spark)
+    return near.keep_one(docs)
+
+
+def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in texts gives way to the name of its kind."""
+    return pii.redact(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 2048 ids."""
     ship(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("quality", drop_poor), ("packing", pack)]
+STAGES = [("quality", drop_poor), ("near copies", drop_near_copies), ("personal data", hide_personal_data), ("packing", pack)]
 
 #: Packing needs a tokenizer file, so SQL has no equivalent; the tests compare each stage with brute force.
 ORACLE_SQL = None
@@ -40,5 +51,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
-            docs = staging.stage(docs, f"pipeline-{name}")
+            docs = staging.stage(docs, f"pipeline-{name.replace(' ', '-')}")
     return docs

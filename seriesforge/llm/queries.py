@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesforge.llm import archives, bpe, idfiles, packing, quality
+from seriesforge.llm import archives, bpe, idfiles, near, packing, pii, quality
 from seriesforge.llm.text import table
 from seriesforge.sources import staging
 
@@ -41,6 +41,17 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("refers_to_key").alias("refers_to"))
 
 
+def op4_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.join(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("tid")
+
+
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate spans are stored without their texts; training and the decision read them there."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = staging.stage(pii.candidates(docs).drop("text"), "pii-candidates")
+    return pii.digests(pii.decide(found, pii.train(found)))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = quality.measure(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -54,7 +65,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.write_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = (op1_byte_bpe, op3_warc, op7_quality_rules, op9_packing, op10_token_files)
+QUERIES = (op1_byte_bpe, op3_warc, op4_near_join, op6_personal_data, op7_quality_rules, op9_packing, op10_token_files)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -70,8 +81,8 @@ WITH payloads AS (
   SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last_id FROM pages
 )
 SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
-  array_to_string(list_transform(range(0, 40, 5), k -> array_to_string(list_transform([15, 10, 5, 0],
-    b -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, (k + 1)::INT, 5))::BIGINT >> b) & 31)::INT + 1, 1)), '')), '') AS payload_digest,
+  array_to_string(list_transform(range(0, 40, 5), lambda k: array_to_string(list_transform([15, 10, 5, 0],
+    lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, (k + 1)::INT, 5))::BIGINT >> b) & 31)::INT + 1, 1)), '')), '') AS payload_digest,
   CASE WHEN page_id = last_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> last_id THEN last_id END AS refers_to
 FROM payloads
