@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesforge.llm import archives, bpe, idfiles, near, packing, pii, quality
+from seriesforge.llm import archives, bpe, idfiles, lm, near, packing, pii, quality, url_lists, vectors
 from seriesforge.llm.text import table
 from seriesforge.sources import staging
 
@@ -31,6 +31,13 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(encoded, path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op2_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: documents labelled as good and not toxic. Background: all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id").distinct().withColumn("good", F.lit(True))
+    return lm.score(docs, lm.train(docs.join(good, "doc_id", "left"), F.coalesce("good", F.lit(False))))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as ARC volumes, converted to WARC archives, which are then read back."""
     fetched = F.lit(1704067200) + F.pmod(F.coalesce(F.col("page_id"), F.lit(0)), F.lit(31536000))
@@ -45,6 +52,13 @@ def op4_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.join(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("tid")
 
 
+def op5_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures at times their ids give, against entries drawn from the hosts of the table."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched", F.timestamp_seconds(F.lit(1704067200) + F.pmod(F.col("page_id") * 7919, F.lit(31622400))))
+    return url_lists.judge(captures, url_lists.drawn_entries(pages)).select("page_id", "host", "fetched", "blocked", "list", "key", "valid_from")
+
+
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate spans are stored without their texts; training and the decision read them there."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -57,6 +71,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vectors.nearest(rows, rows.where("vec_id % 20 = 0"), 20)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -65,7 +84,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.write_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = (op1_byte_bpe, op3_warc, op4_near_join, op6_personal_data, op7_quality_rules, op9_packing, op10_token_files)
+QUERIES = (op1_byte_bpe, op2_cross_entropy, op3_warc, op4_near_join, op5_url_lists, op6_personal_data, op7_quality_rules, op8_neighbours, op9_packing, op10_token_files)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
