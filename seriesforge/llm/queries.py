@@ -15,7 +15,11 @@ from seriesforge.sources import staging
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Let Python workers find this package when the driver got it from a folder of its own."""
+    """Let Python workers find this package when the driver got it from a folder of its own.
+
+    Arrow batches get fewer rows than Spark's 10,000: pairs of shingle sets or long texts fill a worker's memory.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
