@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 3_000_000
+BLOCK_BYTES = 1_500_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -233,7 +233,7 @@ class WordIds:
     The store is emptied when it holds more than `most` words, which costs time, never results.
     """
 
-    def __init__(self, encode_words, most: int = 2_500_000):
+    def __init__(self, encode_words, most: int = 500_000):
         self.encode_words, self.most = encode_words, most
         self._clear()
 
