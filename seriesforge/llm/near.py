@@ -4,7 +4,7 @@
    of the work sees each text once however many copies it has.
 2. Candidates. 192 MinHash values give 32 band keys of six values. Texts that share a key are compared with
    centres of that bucket (the least members under two fixed masks), so a bucket of n texts gives at most
-   2n pairs and no group is ever gathered.
+   2n pairs (4n in a later round) and no group is ever gathered.
 3. Pruning. MinHash values are compared in steps of 32. After each step a pair is dropped when, by the
    posterior of its similarity under a uniform prior, reaching the threshold is less likely than `TOLERANCE`.
 4. Verification. The remaining pairs are compared exactly, on their shingle sets.
@@ -39,7 +39,7 @@ TOLERANCE = 1e-6
 _random = np.random.default_rng(20240501)
 _XOR = _random.integers(0, 1 << 32, HASHES, np.uint32)
 _TIMES = _random.integers(0, 1 << 31, HASHES, np.uint32) * np.uint32(2) + np.uint32(1)
-#: Pairs of masks, one pair per round: x -> x ^ mask is a bijection, so its least value names a member.
+#: Four masks per round (two in the first): x -> x ^ mask is a bijection, so its least value names a member.
 _MASKS = [int(x) for x in _random.integers(0, 1 << 62, 64)]
 
 
@@ -217,12 +217,12 @@ def links(docs: DataFrame, signed: DataFrame, doc_id: str = "doc_id", text: str
     texts = staging.stage(signed.where(F.size("keys") > 0).groupBy("tid").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("sig").alias("sig")), "texts")
     bands = texts.select("tid", F.explode("keys").alias("key"))
     tested = found = labels = None
-    for k in range(0, len(_MASKS), 2):
+    for k in range(0, len(_MASKS), 4):
         if labels is None:
             members = bands.withColumn("comp", F.col("tid"))
         else:
             members = bands.join(labels, "tid", "left").withColumn("comp", F.coalesce("comp", "tid"))
-        pairs = _pairs(members, _MASKS[k : k + 2])
+        pairs = _pairs(members, _MASKS[k : k + 2] if labels is None else _MASKS[k : k + 4])
         if labels is not None:
             for side in ("a", "b"):
                 pairs = pairs.join(labels.select(F.col("tid").alias(side), F.col("comp").alias(f"comp_{side}")), side, "left")
