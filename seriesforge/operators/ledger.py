@@ -48,10 +48,12 @@ def codelist_offenders(df: DataFrame, column: str = "sector_code", codes=SECTOR_
 
 
 def assert_codelist(df: DataFrame, column: str = "sector_code", codes=SECTOR_CODES) -> None:
-    """Refuse the batch when a code is outside the list; names up to 20 of them."""
-    shown = [r[0] for r in codelist_offenders(df, column, codes).limit(20).collect()]
+    """Refuse the batch when a code is outside the list; names 20 of them and says how many there are."""
+    offenders = codelist_offenders(df, column, codes)
+    shown = [r[0] for r in offenders.limit(20).collect()]
     if shown:
-        raise SubmissionError(f"{column} codes {sorted(map(str, shown))} are not among {list(codes)}")
+        total = len(shown) if len(shown) < 20 else offenders.count()
+        raise SubmissionError(f"{total} {column} codes, {sorted(map(str, shown))} among them, are not in {list(codes)}")
 
 
 def series_key() -> Column:

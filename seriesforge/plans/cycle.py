@@ -4,7 +4,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from seriesforge.model import FRAMEWORK
 from seriesforge.operators import history as scd2
 from seriesforge.operators import ledger, validation
 from seriesforge.operators.rules import Rulebook
@@ -34,7 +33,7 @@ def judge(rows: DataFrame, book: Rulebook) -> DataFrame:
     return validation.validate(observations(normal), book)
 
 
-def process(submission: Submission, book: Rulebook, store: HistoryStore, ledger_path: str, framework=FRAMEWORK):
+def process(submission: Submission, book: Rulebook, store: HistoryStore, ledger_path: str, framework=None):
     """Take one submission into ledger and history; returns the batch summary.
 
     Only the periods of the batch are read from the history and written again. Sending the same

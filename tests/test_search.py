@@ -60,7 +60,7 @@ def build(**request):
 def test_request_cleaning():
     request = build(currency=[" usd, eur", "USD"], position="c", date_from=" 2026-q1 ", limit="30000")
     assert request.dimensions == {"L_DENOM": ("USD", "EUR"), "L_POSITION": ("C",)}
-    assert (request.date_from, request.limit, build().limit) == ("2026-Q1", 20000, 500)
+    assert (request.date_from, request.limit, build().limit) == ("2026-Q1", 30000, 500)
     for period in ("2026", "2026-S2", "2026-12", "2026-Q4"):
         assert build(date_to=period).date_to == period
     for bad in ({"currency": "U$D"}, {"currency": "A" * 13}, {"date_from": "2026-Q5"}, {"date_to": "26"},
@@ -102,4 +102,3 @@ def test_publishing_as_a_caller(history, tmp_path):
     with pytest.raises(NothingToExport):
         publication.publish(history, build(), set(), "tidy-csv", str(tmp_path / "y"))
     assert publication.sender_of({"researcher"}) == publication.sender_of({"submitter-de"}) == exports.SENDER
-    assert policy.access_label({"submitter-ca"}).startswith("Submitter CA") and policy.access_label(set()) == "No access"
