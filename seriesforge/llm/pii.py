@@ -220,26 +220,25 @@ class Model:
 def expectation_maximisation(counts: dict[tuple, int], rounds: int = 40) -> tuple[dict[tuple, float], dict]:
     """Probability that each pattern (kind, votes...) is personal data, and P(vote | class) of every labeler.
 
-    Starts from labelers that are mostly right, which also settles which class is which.
+    A labeler that abstains (0) says nothing. Starts from labelers that are mostly right, which also settles
+    which class is which.
     """
-    table = {name: {v: ((0.8, 0.1) if v > 0 else (0.1, 0.8) if v < 0 else (0.5, 0.5)) for v in (-1, 0, 1)} for name in VOTES}
+    table = {name: {-1: (0.1, 0.8), 1: (0.9, 0.2)} for name in VOTES}
     prior = defaultdict(lambda: 0.5)
     believed: dict[tuple, float] = {}
     for _ in range(rounds):
         for pattern in counts:
             odds = math.log(prior[pattern[0]] / (1 - prior[pattern[0]]))
-            odds += sum(math.log(table[name][v][0] / table[name][v][1]) for name, v in zip(VOTES, pattern[1:]))
+            odds += sum(math.log(table[name][v][0] / table[name][v][1]) for name, v in zip(VOTES, pattern[1:]) if v)
             believed[pattern] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
         for kind in {pattern[0] for pattern in counts}:
             own = [(believed[p], n) for p, n in counts.items() if p[0] == kind]
             prior[kind] = min(0.99, max(0.01, (1 + sum(b * n for b, n in own)) / (2 + sum(n for _, n in own))))
         for place, name in enumerate(VOTES, 1):
-            for v in (-1, 0, 1):
-                yes = sum(believed[p] * n for p, n in counts.items() if p[place] == v)
-                no = sum((1 - believed[p]) * n for p, n in counts.items() if p[place] == v)
-                all_yes = sum(believed[p] * n for p, n in counts.items())
-                all_no = sum((1 - believed[p]) * n for p, n in counts.items())
-                table[name][v] = ((yes + 1) / (all_yes + 3), (no + 1) / (all_no + 3))
+            voted = {v: [(believed[p], n) for p, n in counts.items() if p[place] == v] for v in (-1, 1)}
+            yes = {v: 1 + sum(b * n for b, n in rows) for v, rows in voted.items()}
+            no = {v: 1 + sum((1 - b) * n for b, n in rows) for v, rows in voted.items()}
+            table[name] = {v: (yes[v] / (yes[-1] + yes[1]), no[v] / (no[-1] + no[1])) for v in (-1, 1)}
     return believed, table
 
 
