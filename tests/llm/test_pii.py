@@ -114,4 +114,4 @@ def test_empty_table(spark):
     empty = frame(spark, [])
     assert pii.redact(empty).count() == 0
     assert pii.digests(pii.decide(pii.candidates(empty), pii.train(pii.candidates(empty)))).count() == 0
-    assert pii.redact(frame(spark, [(1, None), (2, "clean")])).collect()[1].text == "clean"
+    assert sorted(map(tuple, pii.redact(frame(spark, [(1, None), (2, "clean")])).collect())) == [(1, None), (2, "clean")]
