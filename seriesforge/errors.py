@@ -5,6 +5,10 @@ class SubmissionError(ValueError):
     """A batch that cannot be accepted: bad code, malformed key, duplicate key."""
 
 
+class CommitConflict(RuntimeError):
+    """Another writer committed the version this one was about to make."""
+
+
 class QueryError(ValueError):
     """A search request that cannot be turned into a query."""
 

@@ -37,8 +37,7 @@ class HistorySpec:
     current: str
     dimensions: tuple
     gated: bool  # rejected rows become audit rows
-    close_missing: bool  # rows absent from the batch are closed
-    published_scope: bool  # ... but only in country-periods that published something
+    close_missing: bool  # rows absent from the batch are closed, where it published something
 
 
 MACRO = HistorySpec(
@@ -50,7 +49,6 @@ MACRO = HistorySpec(
     dimensions=DIMENSIONS,
     gated=True,
     close_missing=True,
-    published_scope=True,
 )
 
 MICRO = HistorySpec(
@@ -62,7 +60,6 @@ MICRO = HistorySpec(
     dimensions=(REPORTER,),
     gated=False,
     close_missing=True,
-    published_scope=False,
 )
 
 MICRO_GATED = replace(
@@ -147,12 +144,9 @@ def _flag_missing_scope(current: DataFrame, published: DataFrame, spec, periods,
         inside = inside & F.col("DATE").isin(list(periods))
     if framework is not None:
         inside = inside & (F.col("IBS_AGG") == framework)
-    if not spec.published_scope:
-        return current.withColumn("closable", inside)
     # At most one row per country, period and framework; written so that its size is known.
-    on = BATCH if framework is None else BATCH[:2]
-    batches = stage(published.select(*on).distinct().withColumn("in_batch", F.lit(True)), "published")
-    flagged = current.join(batches, list(on), "left")
+    batches = stage(published.select(*BATCH).distinct().withColumn("in_batch", F.lit(True)), "published")
+    flagged = current.join(batches, list(BATCH), "left")
     return flagged.withColumn("closable", inside & F.col("in_batch").isNotNull()).drop("in_batch")
 
 
@@ -167,22 +161,21 @@ def changes(
 ) -> DataFrame:
     """The new history, each row with a `change` label.
 
-    `periods` and `framework` limit which absent rows are closed; without them the published
-    part of the batch is the limit (or, for a history without that limit, everything).
+    An absent row is closed only where the batch published something of its country, period and
+    framework; `periods` and `framework` limit that further.
 
     Current rows and published rows meet in one full outer join on the key. Both sides have one
     row per key, so no key is hot. The stored dimensions are left out of that shuffle and taken
     from the key again; older versions are not shuffled for it at all.
     """
     at = F.lit(at).cast("timestamp")
-    if HASH not in history.columns:
-        history = patch_schema(history, spec)
+    # Closed and audit rows too: a replay is told by their hashes.
+    history = patch_schema(history, spec)
     rows = prepare(batch, spec)
     if check_unique:
         assert_unique(rows, spec)
     published = _published(rows, spec)
-    live = patch_schema(history.filter(F.col(spec.current)), spec)
-    live = _flag_missing_scope(live, published, spec, periods, framework)
+    live = _flag_missing_scope(history.filter(F.col(spec.current)), published, spec, periods, framework)
 
     columns = history.columns
     keys = list(spec.keys)

@@ -6,8 +6,9 @@ from seriesforge.functions.keys import segment
 from seriesforge.model import CODE_COLUMNS, DIMENSIONS, KEY, REPORTER, RESULT_COLUMNS, SERIES_KEYS
 from seriesforge.operators import disclosure, governance, keycheck, ledger, rules, search, validation
 from seriesforge.operators import history as scd2
-from seriesforge.plans import testbed
+from seriesforge.plans import cycle, testbed
 from seriesforge.sources import exports, feeds, ledger_store, submissions
+from seriesforge.sources.history_store import HistoryStore
 from seriesforge.sources.staging import fresh_path, stage
 
 STATES = {"CA": "Revision", "US": "Break in Series", "GB": "First Submission"}
@@ -232,6 +233,38 @@ def q_scd2_micro(spark, sf_dir):
     return _micro_versions(after)
 
 
+def q_scd2_micro_one_country(spark, sf_dir):
+    """A revision by one of five countries leaves the others open."""
+    before = scd2.initialise(_bank_feed(spark, sf_dir), testbed.BASELINE_AT, scd2.MICRO)
+    batch = _bank_feed(spark, sf_dir, testbed.LATE_LINES).filter(segment(F.col(KEY), REPORTER) == "CA")
+    return _micro_versions(scd2.merge(before, batch, testbed.REVISION_AT, scd2.MICRO, check_unique=False))
+
+
+def _store(spark, sf_dir):
+    """A stored history after two submissions whose rows come with sector totals. In the second,
+    British totals still count the late lines, so those checks fail."""
+    total = lambda rows: rows.withColumn("sector_code", F.lit("A"))
+    rows, late = testbed.ledger_rows(spark, sf_dir), testbed.ledger_rows(spark, sf_dir, testbed.LATE_LINES)
+    british = F.col("reporting_country") == "GB"
+    sent = {
+        testbed.BASELINE_AT: rows.unionByName(total(rows)),
+        testbed.REVISION_AT: late.unionByName(total(late.filter(~british))).unionByName(total(rows.filter(british))),
+    }
+    base = fresh_path(spark, "store")
+    store = HistoryStore(spark, f"{base}/history")
+    batches = [cycle.Submission(f"batch-{k}", batch, at) for k, (at, batch) in enumerate(sent.items())]
+    cycle.run(batches, testbed.rulebook(spark), store, f"{base}/ledger")
+    return store
+
+
+def q_store_two_cycles(spark, sf_dir):
+    return _versions(_store(spark, sf_dir).read())
+
+
+def q_store_read_periods(spark, sf_dir):
+    return _versions(_store(spark, sf_dir).read(["1994-Q2", "1996-Q1", "1996-Q4"]))
+
+
 def _gated_micro(spark, sf_dir):
     """Baseline without a status, then a revision with British rows rejected."""
     before = scd2.initialise(_bank_feed(spark, sf_dir), testbed.BASELINE_AT, scd2.MICRO_GATED)

@@ -4,6 +4,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from seriesforge.errors import CommitConflict
 from seriesforge.operators import history as scd2
 from seriesforge.operators import ledger, validation
 from seriesforge.operators.rules import Rulebook
@@ -11,6 +12,8 @@ from seriesforge.sources import ledger_store
 from seriesforge.sources.history_store import HistoryStore
 from seriesforge.sources.staging import stage
 
+ATTEMPTS = 5
+
 
 @dataclass(frozen=True)
 class Submission:
@@ -48,14 +51,20 @@ def process(submission: Submission, book: Rulebook, store: HistoryStore, ledger_
     periods = sorted(r[0] for r in batch.select("DATE").distinct().collect())
     if not periods:
         return validation.batch_summary(batch)
-    if store.version() == 0:
-        after = scd2.initialise(batch, submission.at)
-    else:
-        # A roll-up has one row per key.
-        after = scd2.merge(
-            store.read(periods), batch, submission.at, periods=periods, framework=framework, check_unique=False
-        )
-    store.commit(after, periods)
+    for left in reversed(range(ATTEMPTS)):
+        base = store.snapshot()
+        if base.version == 0:
+            after = scd2.initialise(batch, submission.at)
+        else:
+            # A roll-up has one row per key.
+            before = store.read(periods, base)
+            after = scd2.merge(before, batch, submission.at, periods=periods, framework=framework, check_unique=False)
+        try:
+            store.commit(after, periods, base)
+            break
+        except CommitConflict:  # merge again, into what the faster writer left
+            if not left:
+                raise
     return validation.batch_summary(batch)
 
 

@@ -117,25 +117,26 @@ _MACRO_HASH = _hash("OBS_VALUE", "OBS_STATUS", "OBS_CONF", "QUALITY_STATUS", "FA
 T1, T2, OPEN = "'2026-05-15 08:00:00'", "'2026-08-14 08:00:00'", "'9999-12-31 00:00:00'"
 _SAME_KEY = 'a.TIME_SERIES_CODE = b.TIME_SERIES_CODE AND a."DATE" = b."DATE" AND a.IBS_AGG = b.IBS_AGG'
 
-_CHANGES = f"""
+def _changes(base, rev):
+    return f"""
   SELECT CASE WHEN closed THEN reason ELSE 'kept' END AS change, h.* EXCLUDE (closed, reason, VALID_TO, IS_CURRENT),
     CASE WHEN closed THEN {T2} ELSE VALID_TO END AS VALID_TO, NOT closed AS IS_CURRENT
   FROM (
     SELECT a.*, {T1} AS VALID_FROM, {OPEN} AS VALID_TO, true AS IS_CURRENT,
       coalesce(a.version_hash <> b.version_hash, b.TIME_SERIES_CODE IS NULL AND p.cty IS NOT NULL) AS closed,
       CASE WHEN b.TIME_SERIES_CODE IS NULL THEN 'missing' ELSE 'expired' END AS reason
-    FROM base a
-    LEFT JOIN (SELECT * FROM rev WHERE BATCH_STATUS = 'PUBLISHED') b ON {_SAME_KEY}
-    LEFT JOIN (SELECT DISTINCT {_seg(9)} AS cty, "DATE" AS d, IBS_AGG AS agg FROM rev WHERE BATCH_STATUS = 'PUBLISHED') p
+    FROM {base} a
+    LEFT JOIN (SELECT * FROM {rev} WHERE BATCH_STATUS = 'PUBLISHED') b ON {_SAME_KEY}
+    LEFT JOIN (SELECT DISTINCT {_seg(9)} AS cty, "DATE" AS d, IBS_AGG AS agg FROM {rev} WHERE BATCH_STATUS = 'PUBLISHED') p
       ON split_part(a.TIME_SERIES_CODE, '.', 9) = p.cty AND a."DATE" = p.d AND a.IBS_AGG = p.agg
   ) h
   UNION ALL BY NAME
   SELECT 'inserted' AS change, a.*, {T2} AS VALID_FROM, {OPEN} AS VALID_TO, true AS IS_CURRENT
-  FROM rev a LEFT JOIN base b ON {_SAME_KEY}
+  FROM {rev} a LEFT JOIN {base} b ON {_SAME_KEY}
   WHERE a.BATCH_STATUS = 'PUBLISHED' AND (b.TIME_SERIES_CODE IS NULL OR a.version_hash <> b.version_hash)
   UNION ALL BY NAME
   SELECT 'audit' AS change, a.*, {T2} AS VALID_FROM, {T2} AS VALID_TO, false AS IS_CURRENT
-  FROM rev a LEFT JOIN base b ON {_SAME_KEY} AND a.version_hash = b.version_hash
+  FROM {rev} a LEFT JOIN {base} b ON {_SAME_KEY} AND a.version_hash = b.version_hash
   WHERE a.BATCH_STATUS <> 'PUBLISHED' AND b.TIME_SERIES_CODE IS NULL"""
 
 
@@ -148,19 +149,21 @@ def _bank_feed(source):
 _BANK_KEY = _SAME_KEY + " AND a.BANK_CODE = b.BANK_CODE"
 
 
-def _bank_history(gated):
+def _bank_history(gated, late="bank_late"):
     """Old rows closed or kept, new rows opened, rejected rows logged."""
     columns = 'TIME_SERIES_CODE, BANK_CODE, "DATE", IBS_AGG, OBS_VALUE, BATCH_STATUS, version_hash'
     names = "a." + columns.replace(", ", ", a.")
     payload = ("OBS_VALUE", "BATCH_STATUS") if gated else ("OBS_VALUE",)
     status = "CASE WHEN " + _seg(9) + " = 'GB' THEN 'QUARANTINE' ELSE 'PUBLISHED' END" if gated else "'PUBLISHED'"
-    missing = "false" if gated else "true"
+    missing = "false" if gated else "p.cty IS NOT NULL"
     old = f"SELECT *, {_hash(*payload)} AS version_hash FROM (SELECT *, 'PUBLISHED' AS BATCH_STATUS FROM bank)"
-    new = f"SELECT *, {_hash(*payload)} AS version_hash FROM (SELECT *, {status} AS BATCH_STATUS FROM bank_late)"
+    new = f"SELECT *, {_hash(*payload)} AS version_hash FROM (SELECT *, {status} AS BATCH_STATUS FROM {late})"
     return f"""
   SELECT {columns}, {T1} AS effective_start_date, CASE WHEN closed THEN {T2} ELSE {OPEN} END AS effective_end_date, NOT closed AS is_current
   FROM (SELECT {names}, coalesce(a.version_hash <> b.version_hash, {missing}) AS closed
-    FROM ({old}) a LEFT JOIN (SELECT * FROM ({new}) WHERE BATCH_STATUS = 'PUBLISHED') b ON {_BANK_KEY})
+    FROM ({old}) a LEFT JOIN (SELECT * FROM ({new}) WHERE BATCH_STATUS = 'PUBLISHED') b ON {_BANK_KEY}
+    LEFT JOIN (SELECT DISTINCT {_seg(9)} AS cty, "DATE" AS d, IBS_AGG AS agg FROM {late}) p
+      ON split_part(a.TIME_SERIES_CODE, '.', 9) = p.cty AND a."DATE" = p.d AND a.IBS_AGG = p.agg)
   UNION ALL
   SELECT {names}, {T2}, CASE WHEN a.BATCH_STATUS = 'PUBLISHED' THEN {OPEN} ELSE {T2} END, a.BATCH_STATUS = 'PUBLISHED'
   FROM ({new}) a LEFT JOIN ({old}) b ON {_BANK_KEY} AND a.version_hash = b.version_hash
@@ -187,7 +190,7 @@ _CTES = {
         f"SELECT *, {_MACRO_HASH} AS version_hash FROM ({_validated('revised', 'evaluated_revised')})",
         ("revised", "evaluated_revised"),
     ),
-    "changes": (_CHANGES, ("base", "rev")),
+    "changes": (_changes("base", "rev"), ("base", "rev")),
     "hist": (
         "SELECT * EXCLUDE (change), "
         + ", ".join(f"{_seg(i)} AS {d}" for i, d in enumerate(DIMENSIONS, 1))
@@ -197,6 +200,27 @@ _CTES = {
     "bank": (_bank_feed("micro"), ("micro",)),
     "bank_late": (_bank_feed("micro_late"), ("micro_late",)),
     "bank_history": (_bank_history(False), ("bank", "bank_late")),
+    "bank_late_ca": (f"SELECT * FROM bank_late WHERE {_seg(9)} = 'CA'", ("bank_late",)),
+    "bank_history_ca": (_bank_history(False, "bank_late_ca"), ("bank", "bank_late_ca")),
+    "sent": ("SELECT * FROM micro UNION ALL SELECT * REPLACE ('A' AS sector_code) FROM micro", ("micro",)),
+    "sent_late": (
+        "SELECT * FROM micro_late UNION ALL SELECT * REPLACE ('A' AS sector_code) FROM micro_late WHERE reporting_country <> 'GB' "
+        "UNION ALL SELECT * REPLACE ('A' AS sector_code) FROM micro WHERE reporting_country = 'GB'",
+        ("micro", "micro_late"),
+    ),
+    **{
+        name: step
+        for late in ("", "_late")
+        for name, step in (
+            (f"sums{late}", (_macro(f"sent{late}"), (f"sent{late}",))),
+            (f"checks{late}", (_evaluated(f"sums{late}"), (f"sums{late}",))),
+            (f"stored{late}", (
+                f"SELECT *, {_MACRO_HASH} AS version_hash FROM ({_validated(f'sums{late}', f'checks{late}')})",
+                (f"sums{late}", f"checks{late}"),
+            )),
+        )
+    },
+    "stored_history": (_changes("stored", "stored_late"), ("stored", "stored_late")),
     "bank_gated": (_bank_history(True), ("bank", "bank_late")),
     "dominance": (
         f"""
@@ -392,7 +416,11 @@ def oracle_sql() -> dict:
         "q_scd2_change_counts": _with("SELECT change, count(*) AS row_count FROM changes GROUP BY change", "changes"),
         "q_scd2_replay": _with("SELECT 'kept' AS change, count(*) AS row_count FROM changes", "changes"),
         "q_scd2_micro": _with("SELECT * EXCLUDE (BATCH_STATUS) FROM bank_history", "bank_history"),
-        "q_scd2_micro_gated": _with("SELECT * FROM bank_gated", "bank_gated"),
+        "q_scd2_micro_one_country": _with("SELECT * EXCLUDE (BATCH_STATUS) FROM bank_history_ca", "bank_history_ca"),
+        "q_store_two_cycles": _with(f"SELECT {_VERSIONS} FROM stored_history", "stored_history"),
+        "q_store_read_periods": _with(
+            f"SELECT {_VERSIONS} FROM stored_history WHERE \"DATE\" IN ('1994-Q2', '1996-Q1', '1996-Q4')", "stored_history"),
+        "q_scd2_micro_gated":_with("SELECT * FROM bank_gated", "bank_gated"),
         "q_two_cycle_state": _with(
             'SELECT L_REP_CTY, BATCH_STATUS, IS_CURRENT, count(*) AS row_count, count(DISTINCT "DATE") AS periods FROM hist GROUP BY ALL', "hist"),
         "q_history_state": _with("SELECT BATCH_STATUS, IS_CURRENT, count(*) AS row_count FROM hist GROUP BY ALL", "hist"),

@@ -1,19 +1,25 @@
 """History on plain Parquet: a commit writes the periods it touches and a new list of folders.
 
-`data/commit=<n>/DATE=<period>` holds rows; `manifest/version=<n>` lists, for every period, the
-folder that holds it. A manifest is one file, which Spark's output commit makes visible in one
-step: a reader sees the state before the commit or after it. One writer at a time.
+`data/commit=<n>-<attempt>/DATE=<period>` holds rows; the manifest lists, for every period, the
+commit that holds it. A reader sees the state before a commit or after it. A writer commits on the
+snapshot it has read; when another one was faster it gets a `CommitConflict` and starts again.
 """
 
-import re
+import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.utils import AnalysisException
 
 from seriesforge.model import HISTORY_SCHEMA, KEY, REPORTER
+from seriesforge.sources.manifest import Manifest
 
-MANIFEST = "DATE string, commit bigint"
-VERSION = re.compile(r"/version=(\d+)/")
+
+@dataclass(frozen=True)
+class Snapshot:
+    """A version, and for each of its periods the commit that holds it."""
+
+    version: int
+    commits: dict
 
 
 class HistoryStore:
@@ -21,27 +27,18 @@ class HistoryStore:
         self.spark = spark
         self.path = path.rstrip("/")
         self.schema = schema
+        self.manifest = Manifest(spark, f"{self.path}/manifest", "DATE string, commit string")
 
-    def _manifest(self) -> tuple:
-        """Latest version and its period-to-commit map; one row per period."""
-        folder = f"{self.path}/manifest"
-        try:
-            files = self.spark.read.schema(MANIFEST).json(folder).inputFiles()
-        except AnalysisException as error:
-            if error.getCondition() == "PATH_NOT_FOUND":
-                return 0, {}
-            raise
-        # The names tell which is the latest; only that one is read.
-        latest = max((int(VERSION.search(f).group(1)) for f in files), default=0)
-        rows = self.spark.read.schema(MANIFEST).json(f"{folder}/version={latest}").collect() if latest else []
-        return latest, {r["DATE"]: r["commit"] for r in rows}
+    def snapshot(self) -> Snapshot:
+        version, entries = self.manifest.latest()
+        return Snapshot(version, {e["DATE"]: e["commit"] for e in entries})
 
     def version(self) -> int:
-        return self._manifest()[0]
+        return self.snapshot().version
 
-    def read(self, periods=None) -> DataFrame:
-        """The current state, or those periods of it."""
-        commits = self._manifest()[1]
+    def read(self, periods=None, at: Snapshot | None = None) -> DataFrame:
+        """A state (the latest unless told otherwise), or those periods of it."""
+        commits = (at or self.snapshot()).commits
         wanted = commits if periods is None else {p: commits[p] for p in periods if p in commits}
         if not wanted:
             return self.spark.createDataFrame([], self.schema)
@@ -49,25 +46,20 @@ class HistoryStore:
         rows = self.spark.read.schema(self.schema).option("basePath", f"{self.path}/data").parquet(*paths)
         return rows.select(*self.schema.fieldNames())
 
-    def commit(self, rows: DataFrame, periods) -> int:
-        """Replace those periods by `rows`, keep the others, and return the new version.
+    def commit(self, rows: DataFrame, periods, base: Snapshot) -> int:
+        """Replace those periods of `base` by `rows`, keep the others, and return the new version.
 
-        `rows` may come from `read`: nothing that a reader can see is overwritten.
+        `rows` may come from `read`: every attempt writes a folder of its own, so nothing that a
+        reader can see is overwritten, also not when two writers attempt the same version.
         """
-        version, commits = self._manifest()
-        version += 1
-        data = f"{self.path}/data/commit={version}"
+        commit = f"{base.version + 1}-{uuid.uuid4().hex}"
+        data = f"{self.path}/data/commit={commit}"
         rows = rows.select(*self.schema.fieldNames()).hint("rebalance", "DATE")
         # By country inside each file, so that a filter on one skips most row groups.
-        ordered = rows.sortWithinPartitions("DATE", REPORTER, KEY)
-        # Whatever a failed attempt at this version left behind was never listed.
-        ordered.write.mode("overwrite").partitionBy("DATE").parquet(data)
-        written = self.spark.read.schema(self.schema).parquet(data).select("DATE").distinct().collect()
-        kept = {p: c for p, c in commits.items() if p not in set(periods)}
-        stray = {r["DATE"] for r in written} - set(periods)
+        rows.sortWithinPartitions("DATE", REPORTER, KEY).write.partitionBy("DATE").parquet(data)
+        written = {r["DATE"] for r in self.spark.read.schema(self.schema).parquet(data).select("DATE").distinct().collect()}
+        stray = written - set(periods)
         if stray:
-            raise ValueError(f"rows of periods outside the commit: {sorted(stray)}")
-        listing = {**kept, **{r["DATE"]: version for r in written}}
-        entries = self.spark.createDataFrame(sorted(listing.items()), "DATE string, commit bigint")
-        entries.coalesce(1).write.json(f"{self.path}/manifest/version={version}")
-        return version
+            raise ValueError(f"rows of periods outside the commit: {sorted(map(str, stray))}")
+        kept = {p: c for p, c in base.commits.items() if p not in set(periods)}
+        return self.manifest.publish(base.version + 1, sorted({**kept, **dict.fromkeys(written, commit)}.items()))

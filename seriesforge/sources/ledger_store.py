@@ -1,25 +1,66 @@
-"""Ledger files: one folder per submission, so that sending a submission again replaces it."""
+"""Ledger files: one folder per attempt at a submission; the manifest names the accepted ones.
 
+A submission that is sent again takes the place of its earlier copy in the manifest. The earlier
+files stay readable until then, so a job that dies while it writes loses nothing.
+"""
+
+import json
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import types as T
 
-from seriesforge.errors import SubmissionError
+from seriesforge.errors import CommitConflict, SubmissionError
+from seriesforge.sources.manifest import Manifest
 
 BATCH_ID = re.compile(r"[A-Za-z0-9_.-]{1,64}")
+ATTEMPTS = 20
+
+
+def _manifest(spark: SparkSession, path: str) -> Manifest:
+    return Manifest(spark, f"{path}/manifest", "batch_id string, attempt string, columns string")
+
+
+def _merged(schemas) -> T.StructType:
+    """All columns in the order of their first arrival."""
+    fields = {}
+    for schema in schemas:
+        for field in schema:
+            known = fields.setdefault(field.name, field)
+            if known.dataType != field.dataType:
+                raise SubmissionError(f"column {field.name} is {field.dataType.simpleString()} here and {known.dataType.simpleString()} in the ledger")
+    return T.StructType([T.StructField(f.name, f.dataType) for f in fields.values()])
 
 
 def append(df: DataFrame, path: str, batch_id: str) -> str:
-    """Write one submission, partitioned by period. Rebalancing splits a period of any size
-    over several files and packs small ones."""
+    """Write one submission, partitioned by period, and return its folder. Rebalancing splits a
+    period of any size over several files and packs small ones."""
     if not BATCH_ID.fullmatch(batch_id):
         raise SubmissionError(f"batch id {batch_id!r}: letters, digits, _ . - only, up to 64")
-    target = f"{path}/batch_id={batch_id}"
-    df.hint("rebalance", "date_scope").write.mode("overwrite").partitionBy("date_scope").parquet(target)
-    return target
+    attempt = uuid.uuid4().hex
+    target = f"{path}/data/batch_id={batch_id}/attempt={attempt}"
+    df.hint("rebalance", "date_scope").write.partitionBy("date_scope").parquet(target)
+    manifest = _manifest(df.sparkSession, path)
+    for left in reversed(range(ATTEMPTS)):
+        version, entries = manifest.latest()
+        others = [tuple(e) for e in entries if e["batch_id"] != batch_id]
+        _merged([*(T.StructType.fromJson(json.loads(e[2])) for e in others), df.schema])
+        try:
+            manifest.publish(version + 1, [*others, (batch_id, attempt, df.schema.json())])
+            return target
+        except CommitConflict:  # another submission was faster; this one does not depend on it
+            if not left:
+                raise
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """All submissions. Columns added by later ones are NULL in the earlier ones."""
-    df = spark.read.option("mergeSchema", "true").option("basePath", path).parquet(path)
-    return df.withColumn("date_scope", F.col("date_scope").cast("string")).drop("batch_id")
+def read(spark: SparkSession, path: str, periods=None) -> DataFrame:
+    """All submissions, or those periods of them. Columns added by later ones are NULL in the
+    earlier ones; the manifest knows the columns, so no file is opened to learn them."""
+    entries = _manifest(spark, path).latest()[1]
+    if not entries:
+        raise SubmissionError(f"no submission in {path}")
+    schema = _merged(T.StructType.fromJson(json.loads(e["columns"])) for e in entries)
+    folders = [f"{path}/data/batch_id={e['batch_id']}/attempt={e['attempt']}" for e in entries]
+    df = spark.read.schema(schema).option("basePath", f"{path}/data").parquet(*folders).select(*schema.fieldNames())
+    return df if periods is None else df.filter(F.col("date_scope").isin(list(periods)))

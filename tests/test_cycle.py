@@ -3,11 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
-from seriesforge.errors import SubmissionError
+from seriesforge.errors import CommitConflict, SubmissionError
 from seriesforge.operators import governance, history as scd2
 from seriesforge.plans import cycle, testbed
 from seriesforge.sources import ledger_store
 from seriesforge.sources.history_store import HistoryStore
+from seriesforge.sources.manifest import Manifest
 from tests import scenario
 
 AT = {"baseline": "2026-05-15 08:00:00", "revision": "2026-08-14 08:00:00"}
@@ -100,6 +101,37 @@ def test_unknown_sector_stops_the_batch(spark, submitted):
     assert submitted["store"].version() == version
 
 
+def test_a_stale_writer_changes_nothing(spark, submitted, tmp_path):
+    store = HistoryStore(spark, str(tmp_path))
+    rows = submitted["store"].read(["2026-Q1"]).limit(1)
+    value = lambda v: rows.withColumn("OBS_VALUE", F.lit(v))
+    store.commit(value(1.0), ["2026-Q1"], store.snapshot())
+    seen = store.snapshot()
+    assert store.commit(value(2.0), ["2026-Q1"], seen) == 2
+    with pytest.raises(CommitConflict):
+        store.commit(value(99.0), ["2026-Q1"], seen)
+    assert store.version() == 2 and [r["OBS_VALUE"] for r in store.read().collect()] == [2.0]
+    assert store.read(at=seen).first()["OBS_VALUE"] == 1.0
+
+
+def test_a_job_that_dies_before_its_listing(spark, submitted, tmp_path, monkeypatch):
+    def dies(self, version, entries):
+        raise OSError("gone")
+
+    rows = scenario.ledger(spark, scenario.positions())
+    ledger_store.append(rows, str(tmp_path / "ledger"), "one")
+    store = HistoryStore(spark, str(tmp_path / "history"))
+    store.commit(submitted["store"].read(["2026-Q1"]), ["2026-Q1"], store.snapshot())
+    with monkeypatch.context() as patch:
+        patch.setattr(Manifest, "publish", dies)
+        with pytest.raises(OSError):
+            ledger_store.append(rows.limit(1), str(tmp_path / "ledger"), "one")
+        with pytest.raises(OSError):
+            store.commit(store.read().limit(1), ["2026-Q1"], store.snapshot())
+    assert ledger_store.read(spark, str(tmp_path / "ledger"), ["2026-Q1"]).count() == 15
+    assert store.read().count() == submitted["store"].read(["2026-Q1"]).count()
+
+
 def test_ledger_takes_new_columns(spark, tmp_path):
     rows = scenario.ledger(spark, scenario.positions())
     ledger_store.append(rows, str(tmp_path), "one")

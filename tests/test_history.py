@@ -104,6 +104,19 @@ def test_bank_history_takes_a_batch_without_status(spark):
     assert gated.filter("is_current").count() == 2
 
 
+def test_one_country_feed_leaves_the_others_open(spark):
+    schema = "TIME_SERIES_CODE string, BANK_CODE string, DATE string, IBS_AGG string, OBS_VALUE double"
+    both = spark.createDataFrame([(A, "B1", "2026-Q1", "LBSR", 1.0), (B, "B1", "2026-Q1", "LBSR", 2.0), (G, "B9", "2026-Q1", "LBSR", 9.0)], schema)
+    after = scd2.merge(scd2.initialise(both, T1, scd2.MICRO), both.limit(1), T2, scd2.MICRO)
+    assert sorted(r["OBS_VALUE"] for r in after.filter("is_current").collect()) == [1.0, 9.0]
+
+
+def test_replay_over_audit_rows_without_hash(spark):
+    rejected = batch(spark, (A, 7.0, "QUARANTINE"))
+    before = scd2.merge(first(spark, (A, 1.0)), rejected, T2).withColumn("version_hash", F.lit(None).cast("string"))
+    assert scd2.merge(before, rejected, T3).count() == 2
+
+
 def test_union_fills_and_renames(spark):
     bank = spark.createDataFrame([(A, "B1", "2026-Q1", "x", True)], "TIME_SERIES_CODE string, BANK_CODE string, DATE string, OBS_VALUE string, is_current boolean")
     both = scd2.union_histories([first(spark, (A, 1.0)), bank], RESULT_COLUMNS).select(*RESULT_COLUMNS)
