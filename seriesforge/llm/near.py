@@ -35,6 +35,8 @@ from seriesforge.sources import staging
 SHINGLE, THRESHOLD = 5, 0.8
 HASHES, ROWS, STEP = 192, 6, 32
 TOLERANCE = 1e-6
+#: So many pairs of numbers (32 MB) are broadcast at most; more of them are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 
 _random = np.random.default_rng(20240501)
 _XOR = _random.integers(0, 1 << 32, HASHES, np.uint32)
@@ -229,8 +231,10 @@ def links(docs: DataFrame, signed: DataFrame, doc_id: str = "doc_id", text: str
             pairs = pairs.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b").join(tested, ["a", "b"], "left_anti")
         near = staging.stage(_checked(pairs, texts, "sig", _prune), "near-pairs")
         wanted = near.select(F.explode(F.array("a", "b")).alias("tid")).distinct()
-        chosen = staging.stage(wanted.join(texts.select("tid", "doc_id"), "tid"), "wanted-texts")
-        keyed = _by_id(docs, doc_id, text).join(chosen.withColumnRenamed("doc_id", "key"), "key").select("doc_id", "text", "tid")
+        chosen = staging.stage(wanted.join(texts.select("tid", "doc_id"), "tid"), "wanted-texts").withColumnRenamed("doc_id", "key")
+        if chosen.count() <= BROADCAST_IDS:  # pairs of numbers; sent out, no text is shuffled
+            chosen = F.broadcast(chosen)
+        keyed = _by_id(docs, doc_id, text).join(chosen, "key").select("doc_id", "text", "tid")
         sets = staging.stage(_sets(keyed).dropDuplicates(["tid"]), "shingles")
         verified = staging.stage(_checked(near, sets, "shingles", _verify), "verified")
         tested = near if tested is None else tested.union(near)
