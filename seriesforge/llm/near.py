@@ -217,7 +217,10 @@ def _pairs(members: DataFrame, masks: list[int]) -> DataFrame:
 def links(docs: DataFrame, signed: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Verified links between texts (a < b), and the components of linked texts."""
     texts = staging.stage(signed.where(F.size("keys") > 0).groupBy("tid").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("sig").alias("sig")), "texts")
-    bands = texts.select("tid", F.explode("keys").alias("key"))
+    every = texts.select("tid", F.explode("keys").alias("key"))
+    # A bucket of one text gives no pair in any round.
+    shared = every.groupBy("key").agg(F.min("tid").alias("low"), F.max("tid").alias("high")).where("low <> high").select("key")
+    bands = staging.stage(every.join(staging.stage(shared, "shared-keys"), "key", "left_semi"), "shared-bands")
     tested = found = labels = None
     for k in range(0, len(_MASKS), 4):
         if labels is None:
