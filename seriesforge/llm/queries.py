@@ -38,7 +38,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: documents labelled as good and not toxic. Background: all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id").distinct().withColumn("good", F.lit(True))
+    good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id").distinct()
+    good = staging.stage(good.withColumn("good", F.lit(True)), "good-ids")
+    if good.count() <= near.BROADCAST_IDS:  # numbers only; sent out, no text is shuffled
+        good = F.broadcast(good)
     return lm.score(docs, lm.train(docs.join(good, "doc_id", "left"), F.coalesce("good", F.lit(False))))
 
 
