@@ -20,7 +20,7 @@ def govern_ledger(ledger: DataFrame, groups) -> DataFrame:
 def _profiles(memberships: DataFrame) -> DataFrame:
     """Each principal with the sorted set of its groups as one text. The set is bounded by the
     number of groups that exist."""
-    groups = F.array_sort(F.collect_set(F.lower("group")))
+    groups = F.array_sort(F.collect_set(policy.known_group(F.col("group"))))
     return memberships.groupBy("principal").agg(F.array_join(groups, ",").alias("profile"))
 
 

@@ -368,7 +368,7 @@ def q_search_quarantine(spark, sf_dir):
 
 
 def q_search_summary(spark, sf_dir):
-    return search.page_summary(_search(spark, sf_dir, RESEARCHER, reporting_country="CA,US,GB"), search.DEFAULT_LIMIT)
+    return search.page_summary(testbed.history(spark, sf_dir), search.SeriesFilter.build(reporting_country="CA,US,GB"), RESEARCHER)
 
 
 def q_facets(spark, sf_dir):

@@ -455,7 +455,8 @@ FROM members m LEFT JOIN ({visible}) v ON m.principal = v.principal GROUP BY m.p
         "q_search_quarantine": _governed(
             _PAGE, f"{own_country} AND (IS_CURRENT OR BATCH_STATUS = 'QUARANTINE') {_ORDER} LIMIT 20000"),
         "q_search_summary": _with(
-            f"""SELECT count(*) AS row_count, count(*) FILTER (OBS_VALUE IS NULL) AS masked_observations, count(*) >= 500 AS truncated
+            f"""SELECT count(*) AS row_count, count(*) FILTER (OBS_VALUE IS NULL) AS masked_observations,
+  (SELECT count(*) FROM seen WHERE L_REP_CTY IN ('CA', 'US', 'GB')) > 500 AS truncated
 FROM (SELECT * FROM seen WHERE L_REP_CTY IN ('CA', 'US', 'GB') {_ORDER} LIMIT 500)""", "seen"),
         "q_facets": _with(
             " UNION ".join(

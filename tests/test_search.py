@@ -33,7 +33,8 @@ def test_tiers(history):
     assert seen(history, {"public"}) == [1.0]
     assert seen(history, {"submitter-de"}) == [1.0, 4.0]
     assert seen(history, {"submitter-us", "researcher"}) == [-1, 1.0, 3.0]
-    assert seen(history, set()) == []
+    assert seen(history, set()) == seen(history, {"submitter-"}) == []
+    assert seen(history, {"Submitter-DE"}) == [1.0, 4.0]
 
 
 def test_ledger_rows(spark):
@@ -45,7 +46,8 @@ def test_ledger_rows(spark):
 
 @pytest.mark.parametrize("groups, label, quarantine", [
     ({"admin", "submitter-ca"}, "admin", True), ({"submitter-us", "submitter-ca", "researcher"}, "submitter-ca", True),
-    ({"researcher", "public"}, "researcher", False), ({"public"}, "public", False), (set(), "none", False), ({"other"}, "none", False)])
+    ({"Submitter-CA"}, "submitter-ca", True), ({"submitter-", "submitter-cad"}, "none", False), ({"submitter-", "Public"}, "public", False),
+    ({"researcher", "public"}, "researcher", False),({"public"}, "public", False), (set(), "none", False), ({"other"}, "none", False)])
 def test_persona(spark, groups, label, quarantine):
     assert (policy.persona(groups), policy.may_see_quarantine(groups)) == (label, quarantine)
     members = spark.createDataFrame([("p", g) for g in groups or {None}], "principal string, group string")
@@ -76,8 +78,9 @@ def test_search(history):
     assert find({"researcher"}, include_quarantined=True) == [1.0, None]
     assert find({"admin"}, currency="cad,to1", reporting_country="CA", limit=1) == [1.0]
     assert find({"admin"}, date_from="2026", date_to="2026") == []
-    page = search.search(history, build(limit=2), {"researcher"})
-    assert search.page_summary(page, 2).first().asDict() == {"row_count": 2, "masked_observations": 1, "truncated": True}
+    for limit, rows, masked, truncated in ((1, 1, 0, True), (2, 2, 1, False), (3, 2, 1, False)):
+        summary = search.page_summary(history, build(limit=limit), {"researcher"}).first().asDict()
+        assert summary == {"row_count": rows, "masked_observations": masked, "truncated": truncated}
     assert search.visible_probe(history, {"public"}) == 1 and search.visible_probe(history, set()) == 0
 
 
