@@ -220,7 +220,10 @@ def links(docs: DataFrame, signed: DataFrame, doc_id: str = "doc_id", text: str
     every = texts.select("tid", F.explode("keys").alias("key"))
     # A bucket of one text gives no pair in any round.
     shared = every.groupBy("key").agg(F.min("tid").alias("low"), F.max("tid").alias("high")).where("low <> high").select("key")
-    bands = staging.stage(every.join(staging.stage(shared, "shared-keys"), "key", "left_semi"), "shared-bands")
+    shared = staging.stage(shared, "shared-keys")
+    if shared.count() <= BROADCAST_IDS:
+        shared = F.broadcast(shared)
+    bands = staging.stage(every.join(shared, "key", "left_semi"), "shared-bands")
     tested = found = labels = None
     for k in range(0, len(_MASKS), 4):
         if labels is None:
