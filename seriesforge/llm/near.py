@@ -214,6 +214,12 @@ def _pairs(members: DataFrame, masks: list[int]) -> DataFrame:
     return met.select(F.least("tid", "centre").alias("a"), F.greatest("tid", "centre").alias("b")).distinct()
 
 
+def _ends(pairs: DataFrame, count: int) -> DataFrame:
+    """The texts of the pairs, to choose rows by; sent out when they are few."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("tid"))
+    return F.broadcast(ids) if 2 * count <= BROADCAST_IDS else ids.distinct()
+
+
 def links(docs: DataFrame, signed: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Verified links between texts (a < b), and the components of linked texts."""
     texts = staging.stage(signed.where(F.size("keys") > 0).groupBy("tid").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("sig").alias("sig")), "texts")
@@ -235,10 +241,14 @@ def links(docs: DataFrame, signed: DataFrame, doc_id: str = "doc_id", text: str
             for side in ("a", "b"):
                 pairs = pairs.join(labels.select(F.col("tid").alias(side), F.col("comp").alias(f"comp_{side}")), side, "left")
             pairs = pairs.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b").join(tested, ["a", "b"], "left_anti")
-        near = staging.stage(_checked(pairs, texts, "sig", _prune), "near-pairs")
-        wanted = near.select(F.explode(F.array("a", "b")).alias("tid")).distinct()
-        chosen = staging.stage(wanted.join(texts.select("tid", "doc_id"), "tid"), "wanted-texts").withColumnRenamed("doc_id", "key")
-        if chosen.count() <= BROADCAST_IDS:  # pairs of numbers; sent out, no text is shuffled
+        pairs = staging.stage(pairs, "pairs")
+        signs = staging.stage(texts.join(_ends(pairs, pairs.count()), "tid", "left_semi").select("tid", "sig"), "wanted-signatures")
+        near = staging.stage(_checked(pairs, signs, "sig", _prune), "near-pairs")
+        n_near = near.count()
+        if not n_near:
+            break
+        chosen = texts.join(_ends(near, n_near), "tid", "left_semi").select("tid", F.col("doc_id").alias("key"))
+        if 2 * n_near <= BROADCAST_IDS:  # pairs of numbers; sent out, no text is shuffled
             chosen = F.broadcast(chosen)
         keyed = _by_id(docs, doc_id, text).join(chosen, "key").select("doc_id", "text", "tid")
         sets = staging.stage(_sets(keyed).dropDuplicates(["tid"]), "shingles")
@@ -246,10 +256,12 @@ def links(docs: DataFrame, signed: DataFrame, doc_id: str = "doc_id", text: str
         tested = near if tested is None else tested.union(near)
         fresh = verified.limit(1).count()
         found = verified if found is None else found.union(verified)
-        if fresh or labels is None:
-            labels = components(found)
         if not fresh:
             break
+        labels = components(found)
+    if labels is None:  # no link at all
+        found = docs.sparkSession.createDataFrame([], "a long, b long")
+        labels = found.select(F.col("a").alias("tid"), F.col("b").alias("comp"))
     return found, labels
 
 
