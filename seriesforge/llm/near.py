@@ -253,7 +253,7 @@ def links(docs: DataFrame, signed: DataFrame, doc_id: str = "doc_id", text: str
         keyed = _by_id(docs, doc_id, text).join(chosen, "key").select("doc_id", "text", "tid")
         sets = staging.stage(_sets(keyed).dropDuplicates(["tid"]), "shingles")
         verified = staging.stage(_checked(near, sets, "shingles", _verify), "verified")
-        tested = near if tested is None else tested.union(near)
+        tested = pairs if tested is None else tested.union(pairs)
         fresh = verified.limit(1).count()
         found = verified if found is None else found.union(verified)
         if not fresh:
