@@ -2,14 +2,16 @@
 
 1. Copies. Every text gets a fingerprint of its words; rows of one fingerprint are one text, so the rest
    of the work sees each text once however many copies it has.
-2. Candidates. 192 MinHash values give 32 band keys of six values. Texts that share a key are compared with
-   centres of that bucket (the least members under two fixed masks), so a bucket of n texts gives at most
-   2n pairs (4n in a later round) and no group is ever gathered.
-3. Pruning. MinHash values are compared in steps of 32. After each step a pair is dropped when, by the
-   posterior of its similarity under a uniform prior, reaching the threshold is less likely than `TOLERANCE`.
-4. Verification. The remaining pairs are compared exactly, on their shingle sets.
-5. Again. Buckets whose members are not yet in one class are compared with other centres, across classes
-   only, until a round finds no link. Two texts at the threshold share no bucket with probability 6e-5.
+2. Candidates. 192 MinHash values give 32 band keys of six values; texts that share a key are a bucket. Buckets
+   of the same members are taken once, and large ones are cut into blocks, so that every two members meet in one.
+3. Pruning. A bucket's texts are searched from one to the next: MinHash values are compared in steps of 32, and
+   after each step a pair is dropped when, by the posterior of its similarity under a uniform prior, reaching the
+   threshold is less likely than `TOLERANCE`. What is reached is a cluster; only (text, least text reached) is kept.
+4. Verification. Every two texts of a cluster are compared exactly, on their shingle sets, in blocks of bounded
+   size. A block gives each text's number of links and its least linked text; pairs are never stored.
+
+Two texts at the threshold share no bucket with probability 6e-5; they are still compared when a chain of other
+texts joins them.
 
 A class is a connected component of links. Words are runs of anything but ASCII blanks; a text of one to
 four words has one shingle, all of it. A row without words is alone with its repeats. Fingerprints and
@@ -41,8 +43,10 @@ BROADCAST_IDS = 2_000_000
 _random = np.random.default_rng(20240501)
 _XOR = _random.integers(0, 1 << 32, HASHES, np.uint32)
 _TIMES = _random.integers(0, 1 << 31, HASHES, np.uint32) * np.uint32(2) + np.uint32(1)
-#: Four masks per round (two in the first): x -> x ^ mask is a bijection, so its least value names a member.
-_MASKS = [int(x) for x in _random.integers(0, 1 << 62, 64)]
+#: Texts of one side of a block of signatures, and texts and shingles of one side of a block of sets.
+BLOCK_SIGNATURES, BLOCK_TEXTS, BLOCK_SHINGLES = 8192, 1000, 400_000
+#: A shingle of more texts of a block is counted by a matrix product, a rarer one pair by pair.
+FEW = 32
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,13 +107,76 @@ def survivors(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return alive
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sorted sets reach the threshold."""
-    if min(len(a), len(b)) < THRESHOLD * max(len(a), len(b)):
-        return False
-    place = np.minimum(np.searchsorted(a, b), len(a) - 1)
-    common = int((a[place] == b).sum())
-    return common >= THRESHOLD * (len(a) + len(b) - common) - 1e-9
+def reach(signed: np.ndarray) -> np.ndarray:
+    """For each signature, the first one that a chain of surviving pairs leads to."""
+    root, left, queue = np.arange(len(signed)), np.arange(1, len(signed)), [0]
+    while len(left):
+        if not queue:
+            queue, left = [int(left[0])], left[1:]
+            continue
+        pivot = queue.pop()
+        hit = survivors(np.broadcast_to(signed[pivot], (len(left), HASHES)), signed[left])
+        if len(hit):
+            root[left[hit]] = root[pivot]
+            queue += left[hit].tolist()
+            left = np.delete(left, hit)
+    return root
+
+
+def common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements every two sets share."""
+    n = len(sets)
+    row = np.repeat(np.arange(n), [len(x) for x in sets])
+    values = np.concatenate(sets) if n else np.zeros(0, np.uint64)
+    order = np.argsort(values, kind="stable")
+    row, values = row[order], values[order]
+    starts = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
+    counts = np.diff(np.concatenate((starts, [len(values)])))
+    column = np.repeat(np.arange(len(starts)), counts)
+    held = np.repeat(counts, counts)
+    out = np.zeros((n, n), np.int32)
+    few = (held > 1) & (held <= FEW)
+    rare, of = row[few], column[few]
+    for d in range(1, min(FEW, len(rare))):
+        same = of[d:] == of[:-d]
+        if not same.any():
+            break
+        np.add.at(out, (rare[:-d][same], rare[d:][same]), 1)
+    out += out.T
+    many, of = row[held > FEW], column[held > FEW]
+    _, of = np.unique(of, return_inverse=True)
+    step = max(1, 4_000_000 // max(n, 1))
+    for low in range(0, int(of.max(initial=-1)) + 1, step):
+        first, last = np.searchsorted(of, (low, low + step))
+        dense = np.zeros((n, step), np.float32)
+        dense[many[first:last], of[first:last] - low] = 1
+        out += (dense @ dense.T).astype(np.int32)
+    return out
+
+
+def similar(sets: list[np.ndarray]) -> np.ndarray:
+    """Whether every two different sets reach the threshold."""
+    size, shared = np.array([len(x) for x in sets], np.int64), common(sets)
+    out = shared >= THRESHOLD * (size[:, None] + size[None, :] - shared) - 1e-9
+    np.fill_diagonal(out, False)
+    return out
+
+
+def least_reached(linked: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """For each text, the least name among those that links lead to, its own included."""
+    least, seen = names.copy(), ~linked.any(1)
+    for first in range(len(names)):
+        if seen[first]:
+            continue
+        reached = np.zeros(len(names), bool)
+        fresh = np.zeros(len(names), bool)
+        fresh[first] = True
+        while fresh.any():
+            reached |= fresh
+            fresh = linked[fresh].any(0) & ~reached
+        least[reached] = names[reached].min()
+        seen |= reached
+    return least
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -127,7 +194,7 @@ def _with_fingerprint(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def sign(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of `docs`: id, fingerprint `tid`, band keys (none without words) and 16-bit signature."""
+    """One row per row of `docs`: id, fingerprint `tid`, number of shingles, band keys (none without words) and 16-bit signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in tx.blocks(batches, "text"):
@@ -138,13 +205,14 @@ def sign(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
             at = np.concatenate(([0], np.cumsum(worded * (HASHES // ROWS)))).astype(np.int32)
             keys = pa.ListArray.from_arrays(pa.array(at), pa.array(band_keys(signed)[worded].view(np.int64).ravel()))
             ids = [i if i is not None else int(t) for i, t in zip(block.column(0).to_pylist(), tid.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tid), keys, _binary(signed.astype(np.uint16))], ["doc_id", "tid", "keys", "sig"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tid), pa.array(np.diff(begin).astype(np.int64)), keys, _binary(signed.astype(np.uint16))], ["doc_id", "tid", "n", "keys", "sig"])
 
-    return _with_fingerprint(docs, doc_id, text).mapInArrow(run, "doc_id long, tid long, keys array<long>, sig binary")
+    return _with_fingerprint(docs, doc_id, text).mapInArrow(run, "doc_id long, tid long, n long, keys array<long>, sig binary")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """Fingerprint and sorted distinct shingles of every row of (doc_id, text, wanted fingerprint)."""
+    """Sorted distinct shingles of every row of (doc_id, text, wanted fingerprint `tid`, ...), and the other columns."""
+    names = docs.columns[2:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in tx.blocks(batches, "text"):
@@ -152,9 +220,9 @@ def _sets(docs: DataFrame) -> DataFrame:
             tid = _fingerprints(block.column(0), begin, prints)
             mine = np.flatnonzero(tid == block.column(2).to_numpy())
             sets = [np.unique(hashes[begin[i] : begin[i + 1]]).tobytes() for i in mine]
-            yield pa.RecordBatch.from_arrays([pa.array(tid[mine]), pa.array(sets, pa.binary())], ["tid", "shingles"])
+            yield pa.RecordBatch.from_arrays([*(block.column(c).take(pa.array(mine)) for c in names), pa.array(sets, pa.binary())], [*names, "shingles"])
 
-    return docs.mapInArrow(run, "tid long, shingles binary")
+    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", shingles binary")
 
 
 def _by_id(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -165,27 +233,82 @@ def _by_id(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return named.union(nameless)
 
 
-def _checked(pairs: DataFrame, side: DataFrame, column: str, choose) -> DataFrame:
-    """The pairs whose two values of `column` pass; each side is joined by its own shuffle."""
-    left = side.select(F.col("tid").alias("a"), F.col(column).alias("left"))
-    right = side.select(F.col("tid").alias("b"), F.col(column).alias("right"))
+def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of each value of `key`, by which the batches are sorted. One value's rows are held at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy()
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for low, high in zip(cuts, cuts[1:]):
+            if held and keys[low] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(low, high - low))
+            last = keys[low]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _blocks(rows: DataFrame, key: str, *more: str) -> DataFrame:
+    """Rows of a key whose `parts` is n go to n of its n (n + 1) / 2 blocks, so that every two meet.
+
+    `block` names the block; `whole` tells a block of one part, and `own` the rows of its first part.
+    """
+    part = F.pmod(F.xxhash64("tid", F.lit(1)), F.col("parts"))
+    spread = rows.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    low, high = F.least("part", "other"), F.greatest("part", "other")
+    return spread.select(F.xxhash64(key, low, high).alias("block"), (low == high).alias("whole"), (F.col("part") == low).alias("own"), "tid", *more)
+
+
+def clusters(texts: DataFrame) -> DataFrame:
+    """(a, b): each text with another of its bucket that a chain of surviving pairs leads to."""
+    every = texts.select("tid", F.explode("keys").alias("key"))
+    members = [F.count("*").alias("n"), F.min("tid").alias("low"), F.max("tid").alias("high"), F.bit_xor(F.xxhash64("tid")).alias("x"), F.bit_xor(F.xxhash64("tid", F.lit(2))).alias("y")]
+    # A bucket of one text gives no pair; of buckets with the same members one is enough.
+    shared = every.groupBy("key").agg(*members).where("low <> high").groupBy("n", "low", "high", "x", "y").agg(F.min("key").alias("key"))
+    parts = F.ceil(F.col("n") / BLOCK_SIGNATURES).cast("long").alias("parts")
+    shared = staging.stage(shared.select("key", parts), "shared-keys")
+    if 2 * shared.count() <= BROADCAST_IDS:
+        met = texts.select("tid", "sig", F.explode("keys").alias("key")).join(F.broadcast(shared), "key")
+    else:  # signatures move once per shared bucket, not once per bucket
+        met = every.join(shared, "key").join(texts.select("tid", "sig"), "tid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = choose(batch.column(2), batch.column(3))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept)], ["a", "b"])
+        for group in _groups(batches, "block"):
+            tid = group.column("tid").to_numpy()
+            root = tid[reach(np.array([np.frombuffer(x.as_py(), np.uint16) for x in group.column("sig")], np.uint16))]
+            apart = tid != root
+            if apart.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(tid, root)[apart]), pa.array(np.maximum(tid, root)[apart])], ["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    blocks = _blocks(met, "key", "sig").select("block", "tid", "sig")
+    return blocks.repartition("block").sortWithinPartitions("block").mapInArrow(run, "a long, b long").distinct()
 
 
-def _prune(left: pa.Array, right: pa.Array) -> pa.Array:
-    tables = (np.array([np.frombuffer(x.as_py(), np.uint16) for x in side], np.uint16).reshape(len(side), HASHES) for side in (left, right))
-    return pa.array(survivors(*tables))
+def verified(sets: DataFrame) -> DataFrame:
+    """(tid, others, least): per block, the rows of texts similar to a text, and the least text that links lead to.
 
+    From rows (tid, copies, cluster, parts, shingles); every two texts of a cluster meet in one block.
+    """
 
-def _verify(left: pa.Array, right: pa.Array) -> pa.Array:
-    pairs = zip(left, right)
-    return pa.array([i for i, (x, y) in enumerate(pairs) if similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64))], pa.int64())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, "block"):
+            tid, first = np.unique(group.column("tid").to_numpy(), return_index=True)  # rows may repeat
+            copies, own = group.column("copies").to_numpy()[first], group.column("own").to_numpy()[first]
+            held = group.column("shingles")
+            linked = similar([np.frombuffer(held[i].as_py(), np.uint64) for i in first.tolist()])
+            if not group.column("whole")[0].as_py():
+                linked &= own[:, None] != own[None, :]
+            some = linked.any(1)
+            if some.any():
+                columns = [tid[some], (linked @ copies)[some], least_reached(linked, tid)[some]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["tid", "others", "least"])
+
+    blocks = _blocks(sets, "cluster", "copies", "shingles")
+    return blocks.repartition("block").sortWithinPartitions("block").mapInArrow(run, "tid long, others long, least long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -203,79 +326,33 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _pairs(members: DataFrame, masks: list[int]) -> DataFrame:
-    """Every member of a bucket with its centres, in other classes only. Members: key, tid, comp."""
-    least = [F.min(F.col("tid").bitwiseXOR(F.lit(mask))).alias(f"c{i}") for i, mask in enumerate(masks)]
-    spread = (F.min("comp") != F.max("comp")).alias("apart")
-    buckets = members.groupBy("key").agg(*least, spread).where("apart")
-    centres = F.explode(F.array_distinct(F.array(*[F.col(f"c{i}").bitwiseXOR(F.lit(mask)) for i, mask in enumerate(masks)]))).alias("centre")
-    centres = staging.stage(buckets.select("key", centres), "centres")
-    met = members.join(centres, "key").where("tid <> centre")
-    return met.select(F.least("tid", "centre").alias("a"), F.greatest("tid", "centre").alias("b")).distinct()
-
-
-def _ends(pairs: DataFrame, count: int) -> DataFrame:
-    """The texts of the pairs, to choose rows by; sent out when they are few."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("tid"))
-    return F.broadcast(ids) if 2 * count <= BROADCAST_IDS else ids.distinct()
-
-
 def links(docs: DataFrame, signed: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Verified links between texts (a < b), and the components of linked texts."""
-    texts = staging.stage(signed.where(F.size("keys") > 0).groupBy("tid").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("sig").alias("sig")), "texts")
-    every = texts.select("tid", F.explode("keys").alias("key"))
-    # A bucket of one text gives no pair in any round.
-    shared = every.groupBy("key").agg(F.min("tid").alias("low"), F.max("tid").alias("high")).where("low <> high").select("key")
-    shared = staging.stage(shared, "shared-keys")
-    if shared.count() <= BROADCAST_IDS:
-        shared = F.broadcast(shared)
-    bands = staging.stage(every.join(shared, "key", "left_semi"), "shared-bands")
-    tested = found = labels = None
-    for k in range(0, len(_MASKS), 4):
-        if labels is None:
-            members = bands.withColumn("comp", F.col("tid"))
-        else:
-            members = bands.join(labels, "tid", "left").withColumn("comp", F.coalesce("comp", "tid"))
-        pairs = _pairs(members, _MASKS[k : k + 2] if labels is None else _MASKS[k : k + 4])
-        if labels is not None:
-            for side in ("a", "b"):
-                pairs = pairs.join(labels.select(F.col("tid").alias(side), F.col("comp").alias(f"comp_{side}")), side, "left")
-            pairs = pairs.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b").join(tested, ["a", "b"], "left_anti")
-        pairs = staging.stage(pairs, "pairs")
-        signs = staging.stage(texts.join(_ends(pairs, pairs.count()), "tid", "left_semi").select("tid", "sig"), "wanted-signatures")
-        near = staging.stage(_checked(pairs, signs, "sig", _prune), "near-pairs")
-        n_near = near.count()
-        if not n_near:
-            break
-        chosen = texts.join(_ends(near, n_near), "tid", "left_semi").select("tid", F.col("doc_id").alias("key"))
-        if 2 * n_near <= BROADCAST_IDS:  # pairs of numbers; sent out, no text is shuffled
-            chosen = F.broadcast(chosen)
-        keyed = _by_id(docs, doc_id, text).join(chosen, "key").select("doc_id", "text", "tid")
-        sets = staging.stage(_sets(keyed).dropDuplicates(["tid"]), "shingles")
-        verified = staging.stage(_checked(near, sets, "shingles", _verify), "verified")
-        tested = pairs if tested is None else tested.union(pairs)
-        fresh = verified.limit(1).count()
-        found = verified if found is None else found.union(verified)
-        if not fresh:
-            break
-        labels = components(found)
-    if labels is None:  # no link at all
-        found = docs.sparkSession.createDataFrame([], "a long, b long")
-        labels = found.select(F.col("a").alias("tid"), F.col("b").alias("comp"))
-    return found, labels
+    """(tid, others, least) as `verified` gives it, and the components (tid, comp) of linked texts."""
+    rows = signed.where(F.size("keys") > 0).groupBy("tid")
+    texts = rows.agg(F.min("doc_id").alias("key"), F.count("*").alias("copies"), F.max("n").alias("n"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
+    texts = staging.stage(texts, "texts")
+    met = staging.stage(clusters(texts), "met")
+    labels = staging.stage(components(met).withColumnRenamed("comp", "cluster"), "clusters")
+    chosen = texts.select("tid", "key", "copies", "n").join(labels, "tid")
+    sizes = chosen.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("parts"))
+    chosen = staging.stage(chosen.join(sizes, "cluster").select("tid", "key", "copies", "cluster", "parts"), "chosen")
+    if 5 * chosen.count() <= 2 * BROADCAST_IDS:  # numbers; sent out, no text is shuffled
+        chosen = F.broadcast(chosen)
+    keyed = _by_id(docs, doc_id, text).join(chosen, "key").select("doc_id", "text", "tid", "copies", "cluster", "parts")
+    found = staging.stage(verified(_sets(keyed)), "verified")
+    linked = found.where("tid <> least").select(F.col("least").alias("a"), F.col("tid").alias("b"))
+    return found, components(linked)
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of `docs`: doc_id, class_id (least id of its class), n_links and the fingerprint `tid`.
 
-    n_links counts rows with the same words (itself excluded) and rows of texts verified to be similar. Inside
-    a class, texts are compared with centres, not all with all; the count holds the links that were verified.
+    n_links counts rows with the same words (itself excluded) and all rows of texts verified to be similar.
     """
     signed = staging.stage(sign(docs, doc_id, text), "signed")
     found, labels = links(docs, signed, doc_id, text)
     copies = staging.stage(signed.groupBy("tid").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")), "copies")
-    both = found.select("a", "b").union(found.select("b", "a"))
-    linked = both.join(copies.select(F.col("tid").alias("b"), "copies"), "b").groupBy(F.col("a").alias("tid")).agg(F.sum("copies").alias("others"))
+    linked = found.groupBy("tid").agg(F.sum("others").alias("others"))
     per_text = copies.join(labels, "tid", "left").join(linked, "tid", "left").withColumn("comp", F.coalesce("comp", "tid"))
     per_text = staging.stage(per_text, "per-text")
     classes = staging.stage(per_text.groupBy("comp").agg(F.min("first_id").alias("class_id")), "classes")
