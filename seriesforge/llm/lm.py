@@ -1,20 +1,21 @@
 """Cross-entropy difference of two matched word-bigram models.
 
-The target model counts chosen documents, the background model all of them. Both share one vocabulary (words
-hashed to 2**18 slots, bigrams to 2**20), order, smoothing and weights, so their losses compare token by token
-(V: word slots in use, and one for words not seen):
+The target model counts chosen documents, the background model all of them. Both share one vocabulary, order,
+smoothing and weights, so their losses compare token by token (V: different words, and one for words not seen):
 
     p(w | v) = MIX * c(v w) / c(v) + (1 - MIX) * (c(w) + ADD) / (N + ADD * V)
 
 with the score of a document the mean of target loss minus background loss (nats a token; lower is more like
-the target). Counts cover all documents. A task sums its own slots, Spark sums those of all tasks, and the
-tables, whose size the slots bound (under 30 MB), go to the driver and back to the tasks as a broadcast.
+the target). Counts cover all documents and are kept by word and bigram (64-bit hashes), so they grow with the
+corpus: tasks add up what they can hold, a shuffle adds up the rest. To score, texts are taken in chunks; the
+different words and bigrams of a chunk are joined with the counts and come back to the chunk.
 
 A null or empty text has no tokens and null losses. Repeated rows count and are scored once per row.
 """
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,87 +24,153 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesforge.llm import text as tx
+from seriesforge.sources import staging
 
-WORD_BITS, PAIR_BITS = 18, 20
 MIX, ADD = 0.6, 0.5
+#: Text that is scored together, and words and bigrams a task adds up before it hands them on.
+CHUNK_BYTES, HELD = 4_000_000, 1_000_000
 
 
-def slots(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word slots of all texts end to end, the slot of the bigram each word ends (-1 for a first word), text starts."""
+def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of all texts end to end, hashes of the bigrams they end, whether a word has one before it, text starts."""
     data, at = tx.utf8(texts)
     starts, ends, first = tx.words(data, at)
-    hashes = tx.range_hashes(data, starts, ends)
-    words = (hashes & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64)
-    pairs = np.full(len(words), -1, np.int64)
+    words = tx.range_hashes(data, starts, ends)
+    pairs, follows = np.zeros(len(words), np.uint64), np.ones(len(words), bool)
+    follows[first[:-1][first[:-1] < len(words)]] = False
     if len(words) > 1:
-        joined = tx.mix(hashes[:-1] ^ tx.mix(hashes[1:] + np.uint64(1)))
-        pairs[1:] = (joined & np.uint64((1 << PAIR_BITS) - 1)).astype(np.int64)
-        pairs[first[:-1][first[:-1] < len(words)]] = -1
-    return words, pairs, first
+        pairs[1:] = tx.mix(words[:-1] ^ tx.mix(words[1:] + np.uint64(1)))
+    return words.view(np.int64), pairs.view(np.int64), follows, first
 
 
 def count(docs: DataFrame, target: Column, text: str = "text") -> DataFrame:
-    """(size, slot, target, background): counts of words (size 1) and bigrams (size 2) over all documents."""
+    """(size, gram, target, background): counts of words (size 1) and bigrams (size 2) over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = {1: np.zeros((2, 1 << WORD_BITS), np.int64), 2: np.zeros((2, 1 << PAIR_BITS), np.int64)}
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {1: [], 2: []}
+
+        def added(size: int) -> Iterator[pa.RecordBatch]:
+            found, chosen = (np.concatenate(x) for x in zip(*held[size]))
+            held[size] = []
+            values, at = np.unique(found, return_inverse=True)
+            counts = np.bincount(at[chosen], minlength=len(values)), np.bincount(at, minlength=len(values))
+            for low in range(0, len(values), 100_000):
+                part = slice(low, low + 100_000)
+                columns = [pa.array(np.full(len(values[part]), size, np.int32)), pa.array(values[part]), *(pa.array(c[part]) for c in counts)]
+                yield pa.RecordBatch.from_arrays(columns, ["size", "gram", "target", "background"])
+
         for block in tx.blocks(batches, "text"):
-            words, pairs, first = slots(block.column(0))
+            words, pairs, follows, first = grams(block.column(0))
             chosen = np.repeat(block.column(1).fill_null(False).to_numpy(zero_copy_only=False), np.diff(first))
-            for size, found in ((1, words), (2, pairs)):
-                for k, which in enumerate((chosen & (found >= 0), found >= 0)):
-                    tables[size][k] += np.bincount(found[which], minlength=tables[size].shape[1])
-        for size, table in tables.items():
-            used = np.flatnonzero(table[1])
-            for low in range(0, len(used), 100_000):
-                part = used[low : low + 100_000]
-                columns = [pa.array(np.full(len(part), size, np.int32)), pa.array(part.astype(np.int32)), *(pa.array(table[k][part]) for k in (0, 1))]
-                yield pa.RecordBatch.from_arrays(columns, ["size", "slot", "target", "background"])
+            for size, found in ((1, (words, chosen)), (2, (pairs[follows], chosen[follows]))):
+                held[size].append(found)
+                if sum(len(x) for x, _ in held[size]) >= HELD:
+                    yield from added(size)
+        for size in held:
+            if held[size]:
+                yield from added(size)
 
-    parts = docs.select(F.col(text).alias("text"), target.alias("chosen")).mapInArrow(run, "size int, slot int, target long, background long")
-    return parts.groupBy("size", "slot").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+    parts = docs.select(F.col(text).alias("text"), target.alias("chosen")).mapInArrow(run, "size int, gram long, target long, background long")
+    return parts.groupBy("size", "gram").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
 
 
 class Models:
-    """Word and bigram counts of both models."""
-
-    def __init__(self, counts: pa.Table):
-        self.words, self.pairs = np.zeros((2, 1 << WORD_BITS), np.float32), np.zeros((2, 1 << PAIR_BITS), np.float32)
-        size, slot = counts.column("size").to_numpy(), counts.column("slot").to_numpy()
-        for k, name in enumerate(("target", "background")):
-            values = counts.column(name).to_numpy()
-            for table, n in ((self.words, 1), (self.pairs, 2)):
-                table[k][slot[size == n]] = values[size == n]
-        self.totals = self.words.astype(np.float64).sum(1)
-        self.vocabulary = int((self.words[1] > 0).sum()) + 1
-
-    def losses(self, k: int, words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-        """Negative log likelihood of every word under model k."""
-        single = (self.words[k][words] + ADD) / (self.totals[k] + ADD * self.vocabulary)
-        before = np.concatenate((words[:1], words[:-1]))
-        known = (pairs >= 0) & (self.words[k][before] > 0)
-        double = np.where(known, self.pairs[k][pairs] / np.maximum(self.words[k][before], 1), 0)
-        return -np.log(np.where(known, MIX * np.minimum(double, 1) + (1 - MIX) * single, single))
+    """Word and bigram counts of both models: a table of them, and their sums over all words and over all bigrams."""
 
+    def __init__(self, counts: DataFrame):
+        self.counts = counts
+        sums = {r["size"]: r for r in counts.groupBy("size").agg(F.sum("target").alias("t"), F.sum("background").alias("b"), F.count("*").alias("n")).collect()}
+        self.totals, self.pairs = (np.array([sums[n]["t"], sums[n]["b"]] if n in sums else [0, 0], np.float64) for n in (1, 2))
+        self.vocabulary = (sums[1]["n"] if 1 in sums else 0) + 1
 
-def score(docs: DataFrame, models: Models, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss and score of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+
+def losses(word: np.ndarray, before: np.ndarray, pair: np.ndarray, total: float, vocabulary: int) -> np.ndarray:
+    """Negative log likelihood of every word, from the counts of it, of the word before (0: none) and of both."""
+    single = (word + ADD) / (total + ADD * vocabulary)
+    return -np.log(np.where(before > 0, MIX * pair / np.maximum(before, 1) + (1 - MIX) * single, single))
+
+
+def _chunks(rows: DataFrame) -> DataFrame:
+    """Rows of (doc_id, text) with a chunk, which is drawn; so the table is to be stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, taken = secrets.randbits(63), 0
         for block in tx.blocks(batches, "text"):
-            words, pairs, first = slots(block.column(1))
-            n = np.diff(first)
-            means = []
-            for k in (0, 1):
-                sums = np.concatenate(([0], np.cumsum(shared.value.losses(k, words, pairs))))
-                means.append(np.diff(sums[first]) / np.maximum(n, 1))
-            columns = [block.column(0), pa.array(n), *(pa.array(m, mask=n == 0) for m in (*means, means[0] - means[1]))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+            if taken + block.nbytes > CHUNK_BYTES:
+                chunk, taken = secrets.randbits(63), 0
+            taken += block.nbytes
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(block.num_rows, chunk, np.int64)), *block.columns], ["chunk", "doc_id", "text"])
+
+    return rows.mapInArrow(run, "chunk long, doc_id long, text string")
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+
+def _wanted(chunks: DataFrame) -> DataFrame:
+    """(chunk, size, gram): the different words and bigrams of each chunk; more than once where a chunk is read in parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {1: [], 2: []}
+        last = None
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for size, found in held.items():
+                values = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+                held[size] = []
+                for low in range(0, len(values), 100_000):
+                    part = values[low : low + 100_000]
+                    columns = [pa.array(np.full(len(part), last, np.int64)), pa.array(np.full(len(part), size, np.int32)), pa.array(part)]
+                    yield pa.RecordBatch.from_arrays(columns, ["chunk", "size", "gram"])
+
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for low, high in zip(cuts, cuts[1:]):
+                if low == high:
+                    continue
+                if last is not None and keys[low] != last:
+                    yield from out()
+                last = keys[low]
+                for block in tx.blocks(iter([batch.slice(low, high - low)]), "text"):
+                    words, pairs, follows, _ = grams(block.column(1))
+                    held[1].append(np.unique(words))
+                    held[2].append(np.unique(pairs[follows]))
+        yield from out()
+
+    return chunks.select("chunk", "text").mapInArrow(run, "chunk long, size int, gram long")
+
+
+def _of(table: pa.Table, size: int, grams_: np.ndarray) -> list[np.ndarray]:
+    """The target and background counts of each word or bigram; 0 for one not counted."""
+    mine = table.column("size").to_numpy() == size
+    keys, first = np.unique(table.column("gram").to_numpy()[mine], return_index=True)
+    if not len(keys):
+        return [np.zeros(len(grams_))] * 2
+    at = np.minimum(np.searchsorted(keys, grams_), len(keys) - 1)
+    known = keys[at] == grams_
+    return [np.where(known, table.column(k).to_numpy()[mine][first][at], 0).astype(np.float64) for k in ("target", "background")]
+
+
+def score(docs: DataFrame, models: Models, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss and score of every row."""
+    chunks = staging.stage(_chunks(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))), "chunks")
+    counted = _wanted(chunks).join(models.counts, ["size", "gram"]).select("chunk", "size", "gram", "target", "background")
+    totals, vocabulary = models.totals.tolist(), models.vocabulary
+
+    def run(rows: pa.Table, counts: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        texts = rows.column("text").combine_chunks()
+        words, pairs, follows, first = grams(texts if isinstance(texts, pa.Array) else pa.array(texts.to_pylist(), pa.string()))
+        n = np.diff(first)
+        means = []
+        for word, pair, total in zip(_of(counts, 1, words), _of(counts, 2, pairs), totals):
+            before = np.where(follows, np.concatenate((word[:1], word[:-1])), 0)
+            sums = np.concatenate(([0], np.cumsum(losses(word, before, pair, total, vocabulary))))
+            means.append(np.diff(sums[first]) / np.maximum(n, 1))
+        columns = [rows.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(m, mask=n == 0) for m in (*means, means[0] - means[1]))]
+        return pa.Table.from_arrays(columns, ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+
+    schema = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
+    return chunks.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(run, schema)
 
 
 def train(docs: DataFrame, target: Column, text: str = "text") -> Models:
-    return Models(count(docs, target, text).toArrow())
+    return Models(staging.stage(count(docs, target, text), "gram-counts"))

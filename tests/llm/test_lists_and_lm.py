@@ -1,6 +1,8 @@
 """URL lists beside plain Python; held-out accuracy of the language models."""
 
+import math
 import random
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
@@ -72,3 +74,36 @@ def test_held_out_accuracy(spark, fold):
     held = lm.score(docs.where(F.floor(F.col("doc_id") / 2) % 2 != fold), models).collect()
     ranked = sorted(held, key=lambda r: r.score)
     assert sum((i < len(held) / 2) == (r.doc_id % 2 == 1) for i, r in enumerate(ranked)) >= 0.95 * len(held)
+
+
+def test_losses_equal_plain_python(spark, monkeypatch):
+    """Counts by word and bigram, of more different ones than 2**18 and 2**20 slots would tell apart."""
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 3000)
+    rng = random.Random(13)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.5)) % 500_000}" for _ in range(rng.randrange(3, 60)))) for i in range(300)] + [(900, None), (900, None)]
+    rows += [(1000 + i, " ".join(f"u{i}x{k}" for k in range(600))) for i in range(1000)]  # 600,000 words of their own
+    docs = frame(spark, rows).repartition(4)
+    models = lm.train(docs, F.col("doc_id") % 2 == 1)
+    plain = {i: (t or "").split() for i, t in rows}
+    words, pairs = [Counter(), Counter()], [Counter(), Counter()]
+    for i, tokens in plain.items():
+        for k in (0, 1) if i % 2 else (1,):
+            words[k].update(tokens)
+            pairs[k].update(zip(tokens, tokens[1:]))
+    assert models.vocabulary == len(words[1]) + 1 and models.pairs[1] == sum(pairs[1].values())
+    sums = [sum(c.values()) for c in words]
+    held_out = frame(spark, [(2000, "never seen w1 w2 w1"), (2001, "w1 w1")])
+    plain |= {2000: "never seen w1 w2 w1".split(), 2001: ["w1", "w1"]}
+    got = lm.score(docs.union(held_out), models).collect()
+    assert sorted(r.doc_id for r in got) == sorted([i for i, _ in rows] + [2000, 2001])
+    for r in got:
+        tokens = plain[r.doc_id]
+        assert r.n_tokens == len(tokens)
+        for k, loss in ((0, r.target_loss), (1, r.background_loss)):
+            total, n = 0.0, sums[k]
+            for v, w in zip([None] + tokens, tokens):
+                p = (words[k][w] + lm.ADD) / (n + lm.ADD * models.vocabulary)
+                if words[k][v]:
+                    p = lm.MIX * pairs[k][v, w] / words[k][v] + (1 - lm.MIX) * p
+                total -= math.log(p)
+            assert loss is None if not tokens else loss == pytest.approx(total / len(tokens), rel=1e-9)
