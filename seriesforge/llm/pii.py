@@ -21,6 +21,7 @@ import math
 from collections import defaultdict
 from dataclasses import dataclass, field
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,8 +43,9 @@ WIDER = {
     "email": rf"(?<![{_LOCAL}])[{_LOCAL}]++ ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]++(?: ?(?:\.|[\[(] ?dot ?[\])]) ?[A-Za-z0-9-]++)++",
     "phone": r"(?<![0-9+])(?:\([0-9]{3}\)[ -]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
 }
-#: What must occur for a pattern to match at all; a cheap look before the expensive one.
+#: What must occur, any of it, for a pattern to match at all; a cheap look before the expensive one.
 _NEEDS = {"email": "@", "ip": ".", "phone": "+"}
+_WIDER_NEEDS = {"email": "(["}
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 
 #: Fixed values of the labelers: endings of mail hosts, and words before a span that speak for or against it.
@@ -79,7 +81,7 @@ def _found(df: DataFrame, text: str, out: str, pattern: str, need: str | None) -
 
     Splitting at the matches gives the gaps between them; starts are running sums of both lengths.
     """
-    source = F.when(F.contains(F.col(text), F.lit(need)), F.col(text)) if need else F.col(text)
+    source = F.when(reduce(or_, [F.contains(F.col(text), F.lit(c)) for c in need]), F.col(text)) if need else F.col(text)
     df = df.withColumn("_m", F.coalesce(F.regexp_extract_all(source, F.lit(pattern), F.lit(0)), F.array().cast("array<string>")))
     gaps = F.when(F.size("_m") > 0, F.transform(F.split(F.col(text), pattern, -1), lambda x: F.length(x)))
     df = df.withColumn("_g", gaps)
@@ -193,7 +195,7 @@ def candidates(docs: DataFrame, text: str = "text", out: str = "_spans") -> Data
         df = df.withColumn(f"_j_{kind}", _judged(kind)).drop(f"_b_{kind}")
     df = df.withColumn("_base", F.concat(*[F.filter(f"_j_{kind}", lambda x: x["good"]) for kind in BASE]))
     for kind, pattern in WIDER.items():
-        df = _found(df, text, f"_w_{kind}", pattern, "(" if kind == "email" else None)
+        df = _found(df, text, f"_w_{kind}", pattern, _WIDER_NEEDS.get(kind))
     parts = [_of_base(text, kind) for kind in BASE] + [_of_wider(text, kind) for kind in WIDER]
     return df.withColumn(out, F.sort_array(F.concat(*parts))).drop("_base", *[f"_{x}_{k}" for x in "jw" for k in KINDS])
 

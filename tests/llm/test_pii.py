@@ -115,3 +115,14 @@ def test_empty_table(spark):
     assert pii.redact(empty).count() == 0
     assert pii.digests(pii.decide(pii.candidates(empty), pii.train(pii.candidates(empty)))).count() == 0
     assert sorted(map(tuple, pii.redact(frame(spark, [(1, None), (2, "clean")])).collect())) == [(1, None), (2, "clean")]
+
+
+def test_square_brackets_need_no_parenthesis(spark):
+    """An address is found whatever other brackets its text has, and then it is redacted."""
+    rows = [(i, f"please mail bob{i} [at] host [dot] com today") for i in range(30)]
+    rows += [(100 + i, f"order {i}{i + 3}4 and x@y{i}.com junk 4{i:02d}1234567890{i:02d}") for i in range(30)]
+    docs = frame(spark, rows)
+    found = pii.candidates(docs)
+    for r in pii.decide(found, pii.train(found)).where("doc_id < 100").collect():
+        assert [(s.kind, r.text[s.start : s.stop]) for s in r["_spans"]] == [("email", f"bob{r.doc_id} [at] host [dot] com")]
+    assert not any("host" in r.text for r in pii.redact(docs).collect())
