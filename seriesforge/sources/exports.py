@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from seriesforge.errors import ExportError, NothingToExport
 from seriesforge.functions.values import plain_text
-from seriesforge.model import DIMENSIONS, KEY
+from seriesforge.model import DIMENSIONS, KEY, PUBLISHED
 from seriesforge.operators.keycheck import ATTRIBUTES, explode
 from seriesforge.sources.staging import stage
 
@@ -246,20 +246,28 @@ def _numbered(rows: DataFrame, dictionary: DataFrame, component: str) -> DataFra
     return rows.join(codes, component, "left")
 
 
-def json_series(df: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
+def json_series(df: DataFrame, dictionary: DataFrame | None = None, by: tuple = ()) -> DataFrame:
     """(series_key, observations): keys and cells by dictionary position, cells as JSON text.
 
-    Of several observations of one series and period the latest stays. What is then listed per
-    series is at most one cell per period.
+    Of several observations of one series and period (and of one value of `by`, which comes first)
+    a current one goes before a closed one, an accepted one before a rejected one, then the
+    latest stays. What is then listed per series is at most one cell per period.
     """
     dictionary = stage(json_dictionary(df), "dictionary") if dictionary is None else dictionary
     order = [c for c in ("VALID_FROM", "version_hash") if c in df.columns] or ["OBS_VALUE"]
-    rows = explode(df, order)
+    ranks = {
+        "IS_CURRENT": F.coalesce("IS_CURRENT", F.lit(False)),
+        "BATCH_STATUS": F.upper(F.coalesce("BATCH_STATUS", F.lit(""))) == PUBLISHED,
+    }
+    ranks = {f"_{c}": rank for c, rank in ranks.items() if c in df.columns}
+    order = [*ranks, *order]
+    rows = explode(df.withColumns(ranks) if ranks else df, (*order, *by))
+    rows = rows.withColumnsRenamed({f"+{c}": c for c in by})
     latest = F.max_by(
         F.struct("OBS_VALUE", *ATTRIBUTES), F.struct(*[F.col(f"+{c}") for c in order])
     )
-    cells = rows.groupBy(*DIMENSIONS, "TIME_PERIOD").agg(latest.alias("cell")).select(
-        *DIMENSIONS, "TIME_PERIOD", "cell.*"
+    cells = rows.groupBy(*by, *DIMENSIONS, "TIME_PERIOD").agg(latest.alias("cell")).select(
+        *by, *DIMENSIONS, "TIME_PERIOD", "cell.*"
     )
     for component in ("TIME_PERIOD",) + ATTRIBUTES:
         cells = _numbered(cells, dictionary, component)
@@ -271,17 +279,33 @@ def json_series(df: DataFrame, dictionary: DataFrame | None = None) -> DataFrame
         F.concat_ws(",", F.coalesce(value, null), *positions), F.lit("]"),
     )
     listed = F.array_sort(F.collect_list(F.struct(F.col("TIME_PERIOD_at").alias("at"), cell.alias("text"))))
-    series = cells.groupBy(*DIMENSIONS).agg(F.concat(
+    series = cells.groupBy(*by, *DIMENSIONS).agg(F.concat(
         F.lit("{"), F.array_join(F.transform(listed, lambda c: c["text"]), ","), F.lit("}")
     ).alias("observations"))
     for dimension in DIMENSIONS:
         series = _numbered(series, dictionary, dimension)
     key = F.concat_ws(":", *[F.col(f"{d}_at").cast("string") for d in DIMENSIONS])
-    return series.select(key.alias("series_key"), "observations")
+    return series.select(*by, key.alias("series_key"), "observations")
+
+
+def _framework(df: DataFrame) -> tuple:
+    return ("IBS_AGG",) if "IBS_AGG" in df.columns else ()
+
+
+def json_left_out(df: DataFrame) -> int:
+    """How many different rows a JSON document cannot show beside another of their series and period."""
+    return df.distinct().count() - df.groupBy(KEY, _period(df), *_framework(df)).count().count()
 
 
-def _json_frame(spark: SparkSession, sender, action, message_id, prepared) -> DataFrame:
-    """The fixed text around the series (section 1) and around each component's codes (2)."""
+def _period(df: DataFrame) -> str:
+    return "TIME_PERIOD" if "TIME_PERIOD" in df.columns else "DATE"
+
+
+def _json_frame(spark: SparkSession, sender, action, message_id, prepared, frameworks) -> DataFrame:
+    """The fixed text around the series of each framework (section 1) and each component's codes (2).
+
+    Of several frameworks, each data set names its own by an annotation.
+    """
     meta = {
         "schema": JSON_SCHEMA,
         "id": message_id,
@@ -292,10 +316,17 @@ def _json_frame(spark: SparkSession, sender, action, message_id, prepared) -> Da
     }
     links = [{"urn": URN, "rel": "self"}]
     rows = [
-        (0, 0, 0, f'{{"meta":{json.dumps(meta)},"data":{{"dataSets":[{{"action":{json.dumps(action)},"series":{{'),
-        (1, 0, 2, f'}}}}],"structures":[{{"dataSets":[0],"links":{json.dumps(links)},"dimensions":{{"series":['),
+        (0, 0, 0, f'{{"meta":{json.dumps(meta)},"data":{{"dataSets":['),
         (3, 0, 0, "]}}]}}"),
     ]
+    noted = len(frameworks) > 1
+    for at in range(len(frameworks)):
+        note = f'"annotations":[{at}],' if noted else ""
+        rows.append((1, at, 0, f'{"," if at else ""}{{"action":{json.dumps(action)},{note}"series":{{'))
+        rows.append((1, at, 2, "}}"))
+    notes = f'"annotations":{json.dumps([{"type": "IBS_AGG", "title": x} for x in frameworks])},' if noted else ""
+    sets = json.dumps(list(range(len(frameworks))))
+    rows.append((1, len(frameworks), 0, f'],"structures":[{{"dataSets":{sets},{notes}"links":{json.dumps(links)},"dimensions":{{"series":['))
     last_dimension, time = len(DIMENSIONS) - 1, len(DIMENSIONS)
     for place, component in enumerate(COMPONENTS):
         fields = {"id": component, "name": "Time period" if place == time else component}
@@ -321,17 +352,24 @@ def write_sdmx_json(
     message_id: str | None = None,
     prepared: str | None = None,
 ) -> str:
-    """SDMX-JSON 2.0.0 message. The files, put together in name order, are the document."""
+    """SDMX-JSON 2.0.0 message, one data set per framework. The files, put together in name order, are the document."""
     _check_action(action)
     dictionary = stage(json_dictionary(df), "dictionary")
-    series = stage(json_series(df, dictionary), "series")
-    first = series.agg(F.min("series_key")).first()[0]
+    by = _framework(df)
+    series = stage(json_series(df, dictionary, by).withColumn("framework", F.col(by[0]) if by else F.lit(None).cast("string")), "series")
+    # One row per framework; there are a handful.
+    found = series.groupBy("framework").agg(F.min("series_key").alias("first")).orderBy("framework").collect()
+    at = F.lit(0)
+    for n, row in enumerate(found):
+        at = F.when(F.col("framework").eqNullSafe(F.lit(row["framework"])), n).otherwise(at)
+    series = series.withColumn("place", at)
+    first = F.element_at(F.array(*[F.lit(row["first"]) for row in found]), F.col("place") + 1)
     entry = F.concat(
         F.when(F.col("series_key") == first, "").otherwise(","),
         F.lit('"'), F.col("series_key"), F.lit('":{"attributes":[],"observations":'), F.col("observations"), F.lit("}"),
     )
     body = series.select(
-        F.lit(1).alias("section"), F.lit(0).alias("place"), F.lit(1).alias("part"), "series_key", entry.alias("line")
+        F.lit(1).alias("section"), "place", F.lit(1).alias("part"), "series_key", entry.alias("line")
     )
     places = F.create_map(*[F.lit(x) for i, c in enumerate(COMPONENTS) for x in (c, i)])
     code = F.to_json(F.struct("id", F.col("id").alias("name")))
@@ -343,7 +381,7 @@ def write_sdmx_json(
         F.concat(F.when(F.col("position") == 0, "").otherwise(","), code).alias("line"),
     )
     now = f"{datetime.now(timezone.utc):%Y-%m-%dT%H:%M:%SZ}"
-    frame = _json_frame(df.sparkSession, sender, action, message_id or str(uuid.uuid4()), prepared or now)
+    frame = _json_frame(df.sparkSession, sender, action, message_id or str(uuid.uuid4()), prepared or now, [row["framework"] for row in found])
     document = body.unionByName(codes, allowMissingColumns=True).unionByName(frame, allowMissingColumns=True)
     document.orderBy("section", "place", "part", "position", "series_key").select("line").write.text(path)
     return path
@@ -358,6 +396,8 @@ class Export:
     media_type: str
     extension: str
     rows: int
+    #: Rows of `rows` that the format cannot show beside another of their series and period.
+    left_out: int = 0
 
 
 # Format name: writer, media type, file extension.
@@ -379,4 +419,4 @@ def export(df: DataFrame, wire_format: str, path: str, **options) -> Export:
     if not rows:
         raise NothingToExport("no observation matches")
     writer(result, path, **options)
-    return Export(path, media_type, extension, rows)
+    return Export(path, media_type, extension, rows, json_left_out(result) if wire_format == "sdmx-json" else 0)

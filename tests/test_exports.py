@@ -154,3 +154,23 @@ def test_feed_and_rulebook_files(spark, tmp_path):
     assert sorted(map(str, back.collect())) == sorted(map(str, feed.collect()))
     (tmp_path / "rules.csv").write_text('Check No,Dimensions1\nR1,"5\nand 6"\n')
     assert feeds.read_rulebook(spark, str(tmp_path / "rules.csv")).first()["Dimensions1"] == "5\nand 6"
+
+
+def test_json_shows_every_framework_and_prefers_accepted_rows(spark, tmp_path):
+    """A rejected later row does not replace the accepted one; rows not shown are counted."""
+    rows = spark.createDataFrame([
+        (K1, "2026-Q1", "LBSN", 1.0, "A", "F", "PUBLISHED", "2026-01-01"),
+        (K1, "2026-Q1", "LBSR", 2.0, "A", "F", "PUBLISHED", "2026-01-01"),
+        (K1, "2026-Q1", "LBSR", 3.0, "A", "F", "REJECTED", "2026-02-01"),
+        (K2, "2026-Q1", "LBSR", 4.0, "A", "F", "PUBLISHED", "2026-01-01"),
+    ], SCHEMA + ", VALID_FROM string")
+    done = exports.export(rows, "sdmx-json", str(tmp_path / "k"))
+    assert (done.rows, done.left_out) == (4, 1)
+    data = json.loads(text(done.path))["data"]
+    structure = data["structures"][0]
+    assert structure["dataSets"] == [0, 1]
+    shown = {}
+    for dataset in data["dataSets"]:
+        name = structure["annotations"][dataset["annotations"][0]]["title"]
+        shown[name] = sorted(c[0] for s in dataset["series"].values() for c in s["observations"].values())
+    assert shown == {"LBSN": [1.0], "LBSR": [2.0, 4.0]}
