@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import heapq
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +49,7 @@ class Merges:
         self.tokens = pa.array(tokens, pa.large_binary())
         self.words = tx.WordIds(self.encode_words)
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         raw = [word.encode() for word in words]
         out = [[self.ranks[word]] if word in self.ranks else None for word in raw]
         group, size = [], 0
@@ -60,7 +61,8 @@ class Merges:
                 for i, ids in zip(group, self.replay([raw[i] for i in group])):
                     out[i] = ids
                 group, size = [], 0
-        return out
+        lengths = np.fromiter(map(len, out), np.int64, len(out))
+        return np.fromiter(chain.from_iterable(out), np.uint32, int(lengths.sum())), lengths
 
     def replay(self, words: list[bytes]) -> list[list[int]]:
         find, single = self.pairs.get, self.single

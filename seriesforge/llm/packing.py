@@ -19,7 +19,6 @@ once per row. An empty table gives no pieces.
 from __future__ import annotations
 
 import zlib
-from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -58,39 +57,51 @@ def candidates(ends: np.ndarray, stops: np.ndarray, rule: Packing) -> tuple[np.n
     tail = np.arange(max(0, total - rule.length), total)
     places = np.unique(np.concatenate((natural, filler, tail)))
     cost = np.full(len(places), rule.cut_penalty)
-    cost[np.isin(places, stops, assume_unique=False)] = rule.sentence_penalty
-    cost[np.isin(places, ends)] = 0
+    cost[np.searchsorted(places, stops)] = rule.sentence_penalty
+    cost[np.searchsorted(places, ends)] = 0
     return places, cost
 
 
+def _shortcuts(places: np.ndarray, length: int) -> tuple[list[int], list[int]]:
+    """Origins of the windows whose length is a power of two, and where those that end at each place begin (and the end)."""
+    to, origin, power = [], [], 1
+    while power <= length:
+        found = np.searchsorted(places, places - power)
+        j = np.flatnonzero(places[found] == places - power)
+        to.append(j)
+        origin.append(found[j])
+        power *= 2
+    to, origin = np.concatenate(to), np.concatenate(origin)
+    return origin[np.argsort(to, kind="stable")].tolist(), np.concatenate(([0], np.cumsum(np.bincount(to, minlength=len(places))))).tolist()
+
+
 def cuts(places: np.ndarray, cost: np.ndarray, rule: Packing) -> np.ndarray:
     """The cheapest cuts, the first and last place included."""
-    shortcuts: list[list[int]] = [[] for _ in places]
-    power = 1
-    while power <= rule.length:
-        wanted = places - power
-        found = np.minimum(np.searchsorted(places, wanted), len(places) - 1)
-        for j in np.flatnonzero((places[found] == wanted) & (wanted >= 0)).tolist():
-            shortcuts[j].append(int(found[j]))
-        power *= 2
+    origins, begin = _shortcuts(places, rule.length)
     at, penalty, length = places.tolist(), cost.tolist(), rule.length
     best, back = [0.0] * len(at), [0] * len(at)
-    queue: deque[tuple[float, int, int]] = deque([(0.0, 0, 0)])  # f(i) + place, place, i; rising in the first
+    # The queue: cuts i in `queue[head:]`, with keys f(i) + place that rise.
+    queue, keys, head = [0], [0.0], 0
     for j in range(1, len(at)):
         here = at[j]
-        while queue[0][1] < here - length:
-            queue.popleft()
-        least, _, origin = queue[0]
-        value = least + length - here
-        for i in shortcuts[j]:
-            if best[i] < value:
-                value, origin = best[i], i
+        least = here - length
+        while at[queue[head]] < least:
+            head += 1
+        origin = queue[head]
+        value = keys[head] - least
+        low, high = begin[j], begin[j + 1]
+        if low < high:
+            for i in origins[low:high]:
+                if best[i] < value:
+                    value, origin = best[i], i
         value += penalty[j]
         best[j], back[j] = value, origin
         key = value + here
-        while queue and queue[-1][0] >= key:
+        while len(queue) > head and keys[-1] >= key:
             queue.pop()
-        queue.append((key, here, j))
+            keys.pop()
+        queue.append(j)
+        keys.append(key)
     path = [len(at) - 1]
     while path[-1]:
         path.append(back[path[-1]])

@@ -10,7 +10,6 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -102,9 +101,10 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte ranges of the words [^\\x20\\x09-\\x0D]+, and the index of each text's first word (and the end)."""
-    solid = ~_SPACE[data]
+def words(data: np.ndarray, at: np.ndarray, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte ranges of the words (maximal runs without a byte of `gap`; by default [^\\x20\\x09-\\x0D]+), and the index
+    of each text's first word (and the end)."""
+    solid = ~gap[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[at] = True
     before = np.concatenate(([False], solid[:-1])) if len(solid) else solid
@@ -230,7 +230,7 @@ class _Growing:
 class WordIds:
     """Token ids of words, computed once for each distinct word a worker meets.
 
-    The store is emptied when it holds more than `most` words, which costs time, never results.
+    `encode_words` gives the ids of all words of a list end to end, and the number of each word's. The store is emptied when it holds more than `most` words, which costs time, never results.
     """
 
     def __init__(self, encode_words, most: int = 500_000):
@@ -254,12 +254,11 @@ class WordIds:
         if fresh:
             everything = points.tobytes().decode("utf-32-le", "surrogatepass")
             spans = zip(starts[first[fresh]].tolist(), ends[first[fresh]].tolist())
-            encoded = self.encode_words([everything[a:b] for a, b in spans])
+            encoded, lengths = self.encode_words([everything[a:b] for a, b in spans])
             for slot, i in enumerate(fresh, len(self.slots)):
                 found[i] = self.slots[keys[i]] = slot
-            lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
             self.offsets.extend(self.flat.size + np.cumsum(lengths))
-            self.flat.extend(np.fromiter(chain.from_iterable(encoded), np.uint32, int(lengths.sum())))
+            self.flat.extend(encoded)
         # The rows of this block's distinct words first, so that the large store is read once.
         small, at = ragged_take(self.flat.data, self.offsets.data, np.array(found, np.int64))
         return ragged_take(small, at, inverse)

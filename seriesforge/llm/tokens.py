@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +42,27 @@ class Library:
         self.tokenizer = Tokenizer.from_str(content)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.bare = self.tokenizer.normalizer is not None
-        self.words = tx.WordIds(self._encode)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab() if self.bare and suffix else {}
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids that end a word
+        self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self.words = tx.WordIds(self._words)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words end to end, and the number of each word's."""
+        if self.bare:  # blanks fall away and a word's last id shows its end, so many words make one text
+            groups = [" ".join(words[i : i + 500]) for i in range(0, len(words), 500)]
+            ids = np.fromiter(chain.from_iterable(self._encode(groups)), np.uint32)
+            ends = np.flatnonzero(self.last[ids])
+            if len(ends) == len(words):
+                return ids, np.diff(ends, prepend=-1)
+        found = self._encode(words)
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
+
     def encode(self, texts: pa.Array, sentences: bool = False) -> tuple[np.ndarray, ...]:
         """Ids of all texts end to end, and where each text's begin (and the end).
 
