@@ -42,7 +42,7 @@ def op2_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = staging.stage(good.withColumn("good", F.lit(True)), "good-ids")
     if good.count() <= near.BROADCAST_IDS:  # numbers only; sent out, no text is shuffled
         good = F.broadcast(good)
-    return lm.score(docs, lm.train(docs.join(good, "doc_id", "left"), F.coalesce("good", F.lit(False))))
+    return lm.score(lm.train(docs.join(good, "doc_id", "left"), F.col("good")))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,9 +57,12 @@ def test_counts_equal_plain_python(spark):
     models = lm.train(docs, F.col("text").startswith("a b"))
     assert models.totals[0] == 5 and models.pairs[0].sum() == 4
     assert models.pairs[1].sum() == models.totals[1] - sum(bool((t or "").strip()) for t in ODD_TEXTS) - 2
-    scored = {r.doc_id: r for r in lm.score(docs, models).collect()}
+    scored = {r.doc_id: r for r in lm.score(models).collect()}
     assert scored[0].n_tokens == 0 and scored[0].score is None
-    assert lm.score(docs.limit(0), models).count() == 0
+    wide = docs.withColumn("target", F.lit("x")).withColumn("chunk", F.lit(1)).withColumn("range", F.lit(1)).withColumn("counted", F.lit(0))
+    again = {r.doc_id: r for r in lm.score(lm.train(wide, F.col("text").startswith("a b"))).collect()}
+    assert again.keys() == scored.keys() and all(again[i][1:] == pytest.approx(scored[i][1:], nan_ok=True) for i in scored if scored[i].score is not None)
+    assert lm.score(lm.train(docs.limit(0), F.lit(True))).count() == 0
 
 
 @pytest.mark.parametrize("fold", [0, 1])
@@ -69,9 +72,9 @@ def test_held_out_accuracy(spark, fold):
     good, poor = [f"g{i}" for i in range(80)], [f"p{i}" for i in range(80)]
     rows = [(i, " ".join(rng.choice((good if i % 2 else poor) if rng.random() < 0.5 else good + poor) for _ in range(60))) for i in range(400)]
     docs = frame(spark, rows)
-    seen = docs.where(F.floor(F.col("doc_id") / 2) % 2 == fold)
-    models = lm.train(seen, F.col("doc_id") % 2 == 1)
-    held = lm.score(docs.where(F.floor(F.col("doc_id") / 2) % 2 != fold), models).collect()
+    seen = F.floor(F.col("doc_id") / 2) % 2 == fold
+    models = lm.train(docs, F.col("doc_id") % 2 == 1, seen)
+    held = [r for r in lm.score(models).collect() if r.doc_id // 2 % 2 != fold]
     ranked = sorted(held, key=lambda r: r.score)
     assert sum((i < len(held) / 2) == (r.doc_id % 2 == 1) for i, r in enumerate(ranked)) >= 0.95 * len(held)
 
@@ -79,11 +82,13 @@ def test_held_out_accuracy(spark, fold):
 def test_losses_equal_plain_python(spark, monkeypatch):
     """Counts by word and bigram, of more different ones than 2**18 and 2**20 slots would tell apart."""
     monkeypatch.setattr(lm, "CHUNK_BYTES", 3000)
+    monkeypatch.setattr(lm, "RANGE_BYTES", 500_000)
     rng = random.Random(13)
     rows = [(i, " ".join(f"w{int(rng.paretovariate(0.5)) % 500_000}" for _ in range(rng.randrange(3, 60)))) for i in range(300)] + [(900, None), (900, None)]
     rows += [(1000 + i, " ".join(f"u{i}x{k}" for k in range(600))) for i in range(1000)]  # 600,000 words of their own
     docs = frame(spark, rows).repartition(4)
-    models = lm.train(docs, F.col("doc_id") % 2 == 1)
+    held_out = frame(spark, [(2000, "never seen w1 w2 w1"), (2001, "w1 w1")])
+    models = lm.train(docs.union(held_out), F.col("doc_id") % 2 == 1, F.col("doc_id") < 2000)
     plain = {i: (t or "").split() for i, t in rows}
     words, pairs = [Counter(), Counter()], [Counter(), Counter()]
     for i, tokens in plain.items():
@@ -92,9 +97,8 @@ def test_losses_equal_plain_python(spark, monkeypatch):
             pairs[k].update(zip(tokens, tokens[1:]))
     assert models.vocabulary == len(words[1]) + 1 and models.pairs[1] == sum(pairs[1].values())
     sums = [sum(c.values()) for c in words]
-    held_out = frame(spark, [(2000, "never seen w1 w2 w1"), (2001, "w1 w1")])
     plain |= {2000: "never seen w1 w2 w1".split(), 2001: ["w1", "w1"]}
-    got = lm.score(docs.union(held_out), models).collect()
+    got = lm.score(models).collect()
     assert sorted(r.doc_id for r in got) == sorted([i for i, _ in rows] + [2000, 2001])
     for r in got:
         tokens = plain[r.doc_id]
