@@ -146,6 +146,9 @@ def _merges(content: bytes) -> Merges:
     return Merges(content)
 
 
+tx.keep_for_stage(_merges.cache_clear)
+
+
 def _content(path: str) -> bytes:
     with open(path, "rb") as file:
         return file.read()

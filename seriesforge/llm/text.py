@@ -7,14 +7,16 @@ gives for any number of ranges at once.
 
 from __future__ import annotations
 
+import ctypes
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +35,36 @@ def full_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+#: What workers keep from task to task; emptied when a worker gets its first task of another stage.
+_kept: list[Callable[[], None]] = []
+_stage: list[int | None] = [None]
+
+
+def keep_for_stage(empty: Callable[[], None]) -> None:
+    """Register what empties a store that the tasks of one stage share in a worker."""
+    _kept.append(empty)
+
+
+def _begin() -> None:
+    context = TaskContext.get()
+    stage = context.stageId() if context else None
+    if stage != _stage[0]:
+        for empty in _kept:
+            empty()
+        _stage[0] = stage
+
+
+def _end() -> None:
+    """Give memory back to the system: workers stay, and wait, after their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def blocks(batches: Iterator[pa.RecordBatch] | list[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose texts hold at most `limit` bytes, or a single text."""
+    _begin()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -46,6 +76,8 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BY
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+    if not isinstance(batches, list):  # the batches of a task, not a part of them
+        _end()
 
 
 def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -70,9 +102,16 @@ def code_points(array: pa.Array, gap: int) -> tuple[np.ndarray, np.ndarray]:
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+def _no_powers() -> None:
+    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+keep_for_stage(_no_powers)
+
+
 def _power_tables(n: int) -> list[np.ndarray]:
     if len(_powers[0]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, BLOCK_BYTES + 1)
         for k, base in enumerate((_BASE, _INVERSE)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
@@ -169,6 +208,9 @@ def _classes() -> np.ndarray:
     return found
 
 
+keep_for_stage(_classes.cache_clear)
+
+
 def _contractions(points: np.ndarray, kinds: np.ndarray, begins: np.ndarray) -> None:
     """An apostrophe that begins a word takes s, t, m, d, re, ve or ll after it."""
     found = np.flatnonzero((points == 0x27) & begins & (kinds == OTHER))

@@ -35,6 +35,9 @@ def _known() -> tuple[np.ndarray, np.ndarray]:
     return known, lower
 
 
+tx.keep_for_stage(_known.cache_clear)
+
+
 class Library:
     """A tokenizer file of one of two kinds: byte-level (blanks kept) or lower-case words (blanks dropped)."""
 
@@ -104,6 +107,9 @@ def library(content: str) -> Library:
     return Library(content)
 
 
+tx.keep_for_stage(library.cache_clear)
+
+
 def file_text(path: str) -> str:
     with open(path, encoding="utf-8") as file:
         return file.read()
