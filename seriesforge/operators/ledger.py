@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from seriesforge.errors import SubmissionError
 from seriesforge.functions.keys import join_key
-from seriesforge.functions.values import exact, strictest
+from seriesforge.functions.values import binned, flag_of, joined, strictness
 from seriesforge.model import (
     CODE_COLUMNS,
     DIMENSION_SOURCES,
@@ -70,13 +70,16 @@ def reported(df: DataFrame, value: str = "OBS_VALUE") -> DataFrame:
 def totals(df: DataFrame) -> DataFrame:
     """Sum of amounts and strictest flag per series and period, zeros included.
 
-    Both aggregates have constant-size state, so each task hands over at most one row per
-    series and no series is too large for the task that finishes it.
+    Amounts add up exactly at any magnitude. First per series and bin of magnitude, with constant-size state, so each
+    task hands over at most one row per series and bin and no series is too large for the task that finishes it; then
+    the few bins of a series meet.
     """
-    codes = list(DIMENSION_SOURCES.values())
-    summed = df.groupBy(*codes, "date_scope", "ibs_agg_scope").agg(
-        F.sum(exact(F.col("transaction_amount"))).cast("double").alias("OBS_VALUE"),
-        strictest(F.col("obs_conf")).alias("OBS_CONF"),
+    codes = [*DIMENSION_SOURCES.values(), "date_scope", "ibs_agg_scope"]
+    amounts = df.select(*codes, binned(F.col("transaction_amount")).alias("amount"), strictness(F.col("obs_conf")).alias("strict"))
+    bins = amounts.groupBy(*codes, F.col("amount.bin").alias("bin")).agg(F.sum("amount.part").alias("part"), F.max("strict").alias("strict"))
+    summed = bins.groupBy(*codes).agg(
+        joined(F.collect_list(F.struct("bin", "part"))).alias("OBS_VALUE"),
+        flag_of(F.max("strict")).alias("OBS_CONF"),
     )
     return summed.select(
         series_key().alias("TIME_SERIES_CODE"),

@@ -11,7 +11,8 @@ from seriesforge.sources import exports, feeds, ledger_store, submissions
 from seriesforge.sources.history_store import HistoryStore
 from seriesforge.sources.staging import fresh_path, stage
 
-STATES = {"CA": "Revision", "US": "Break in Series", "GB": "First Submission"}
+#: How each country's data changed; Germany sends without a word, and nobody knows the sender of Japan.
+STATES = {"CA": "First Submission", "GB": "Revision", "JP": "Break in Series", "US": "Revision"}
 RESEARCHER = frozenset({"researcher"})
 ADMIN = frozenset({"admin"})
 PUBLIC = frozenset({"public"})
@@ -74,7 +75,13 @@ def q_conf_elevation(spark, sf_dir):
 def q_zero_drop(spark, sf_dir):
     rows = testbed.ledger_rows(spark, sf_dir)
     reversed_ = rows.filter("sector_code = 'N'").withColumn("transaction_amount", -F.col("transaction_amount"))
-    return ledger.rollup(rows.unionByName(reversed_))
+    # Beside them, four more instruments: tiny amounts, tinier ones, amounts between two huge ones, and only huge ones.
+    huge, amount = F.lit(1e300), F.col("transaction_amount")
+    sent = [("X1", F.lit(4e-7)), ("X2", F.lit(1e-300)), ("X3", huge), ("X3", amount), ("X3", -huge), ("X4", huge), ("X4", -huge)]
+    more = F.explode(F.array(*[F.struct(F.lit(i).alias("instrument"), a.alias("transaction_amount")) for i, a in sent]))
+    some = rows.filter("sector_code = 'B'").withColumn("more", more)
+    extreme = some.withColumns({"instrument": F.col("more.instrument"), "transaction_amount": F.col("more.transaction_amount")}).drop("more")
+    return ledger.rollup(rows.unionByName(reversed_).unionByName(extreme))
 
 
 def q_micro_feed_csv(spark, sf_dir):
@@ -265,6 +272,35 @@ def q_store_read_periods(spark, sf_dir):
     return _versions(_store(spark, sf_dir).read(["1994-Q2", "1996-Q1", "1996-Q4"]))
 
 
+def q_store_compacted(spark, sf_dir):
+    """The stored history after its closing rows were folded into the versions they end."""
+    store = _store(spark, sf_dir)
+    store.compact(0.0)
+    return _versions(store.read())
+
+
+def _seen_in_store(spark, sf_dir, groups, request=None):
+    seen = _store(spark, sf_dir).scan(groups, request)
+    return seen.select(*SERIES_KEYS, "OBS_VALUE", "OBS_CONF", "BATCH_STATUS", "IS_CURRENT", "version_hash")
+
+
+def q_store_rls_researcher(spark, sf_dir):
+    return _seen_in_store(spark, sf_dir, RESEARCHER)
+
+
+def q_store_rls_public(spark, sf_dir):
+    return _seen_in_store(spark, sf_dir, PUBLIC)
+
+
+def q_store_rls_submitter_ca(spark, sf_dir):
+    return _seen_in_store(spark, sf_dir, SUBMITTER_CA)
+
+
+def q_store_search(spark, sf_dir):
+    request = search.SeriesFilter.build(reporting_country="gb", currency="EUR,USD", date_from="1994", include_quarantined=True)
+    return _seen_in_store(spark, sf_dir, frozenset({"submitter-gb"}), request)
+
+
 def _gated_micro(spark, sf_dir):
     """Baseline without a status, then a revision with British rows rejected."""
     before = scd2.initialise(_bank_feed(spark, sf_dir), testbed.BASELINE_AT, scd2.MICRO_GATED)

@@ -39,8 +39,8 @@ def judge(rows: DataFrame, book: Rulebook) -> DataFrame:
 def process(submission: Submission, book: Rulebook, store: HistoryStore, ledger_path: str, framework=None):
     """Take one submission into ledger and history; returns the batch summary.
 
-    Only the periods of the batch are read from the history and written again. Sending the same
-    submission twice replaces its ledger folder and adds no version.
+    Only the periods of the batch are read from the history, and only what changes is written. Sending
+    the same submission twice replaces its ledger folder and adds no version of a series.
     """
     spark = submission.rows.sparkSession
     normal = ledger.normalise(submission.rows)
@@ -53,14 +53,11 @@ def process(submission: Submission, book: Rulebook, store: HistoryStore, ledger_
         return validation.batch_summary(batch)
     for left in reversed(range(ATTEMPTS)):
         base = store.snapshot()
-        if base.version == 0:
-            after = scd2.initialise(batch, submission.at)
-        else:
-            # A roll-up has one row per key.
-            before = store.read(periods, base)
-            after = scd2.merge(before, batch, submission.at, periods=periods, framework=framework, check_unique=False)
+        # A roll-up has one row per key.
+        before = store.read(periods, base, identified=True)
+        changed = scd2.changes(before, batch, submission.at, periods=periods, framework=framework, check_unique=False)
         try:
-            store.commit(after, periods, base)
+            store.append(changed, periods, base)
             break
         except CommitConflict:  # merge again, into what the faster writer left
             if not left:

@@ -282,8 +282,8 @@ _MASK_CA = "CASE WHEN OBS_CONF IN ('C', 'N') AND L_REP_CTY <> 'CA' THEN NULL ELS
 _PUBLISHED = "BATCH_STATUS = 'PUBLISHED'"
 _FREE = "BATCH_STATUS = 'PUBLISHED' AND OBS_CONF = 'F'"
 _SPLIT = ", ".join(f"{_seg(i)} AS {d}" for i, d in enumerate(DIMENSIONS, 1))
-_TYPE = "CASE cty WHEN 'CA' THEN 'Revision' WHEN 'US' THEN 'Break in Series' ELSE 'First Submission' END"
-_ACTION = "CASE WHEN cty IN ('CA', 'US') THEN 'Replace' ELSE 'Information' END"
+_TYPE = "CASE WHEN cty IN ('GB', 'US') THEN 'Revision' WHEN cty = 'JP' THEN 'Break in Series' ELSE 'First Submission' END"
+_ACTION = "CASE WHEN cty IN ('GB', 'JP', 'US') THEN 'Replace' ELSE 'Information' END"
 _SENDER = "CASE cty WHEN 'CA' THEN 'BOC' WHEN 'US' THEN 'FRB' WHEN 'GB' THEN 'BOE' ELSE 'ZZZ' END"
 _SENDER_NAME = ("CASE cty WHEN 'CA' THEN 'Bank of Canada' WHEN 'US' THEN 'Federal Reserve System' "
                 "WHEN 'GB' THEN 'Bank of England' END")
@@ -293,6 +293,11 @@ def _governed(select, where):
     return _with(f"SELECT {select} FROM hist WHERE {where}", "hist")
 
 
+def _stored(value, where):
+    rows = f"(SELECT *, {_seg(5)} AS L_DENOM, {_seg(9)} AS L_REP_CTY FROM stored_history)"
+    return _with(f"SELECT {_GOVERNED.replace('OBS_VALUE', value)} FROM {rows} WHERE {where}", "stored_history")
+
+
 def _xml(select):
     observation = f"""'      <Obs TIME_PERIOD="' || "DATE" || '"' || CASE WHEN OBS_VALUE IS NULL THEN '' ELSE ' OBS_VALUE="' || {_plain('OBS_VALUE')} || '"' END
       || ' OBS_STATUS="' || OBS_STATUS || '" OBS_CONF="' || OBS_CONF || '"/>'"""
@@ -387,7 +392,16 @@ def oracle_sql() -> dict:
         "q_macro_rollup": _with("SELECT * FROM macro", "macro"),
         "q_conf_elevation": _with(
             f'SELECT {_KEY} AS TIME_SERIES_CODE, date_scope AS "DATE", ibs_agg_scope AS IBS_AGG, {_STRICTEST} AS OBS_CONF FROM micro GROUP BY ALL', "micro"),
-        "q_zero_drop": _with(f"SELECT {KEYS}, OBS_VALUE, OBS_CONF FROM macro WHERE {_seg(10)} <> 'N'", "macro"),
+        "q_zero_drop": _with(
+            f"SELECT {KEYS}, OBS_VALUE, OBS_CONF FROM macro WHERE {_seg(10)} <> 'N'" + "".join(
+                f"""
+UNION ALL SELECT {_KEY}, date_scope, ibs_agg_scope, {value}, {_STRICTEST}
+FROM (SELECT * REPLACE ('{instrument}' AS instrument) FROM micro WHERE sector_code = 'B') GROUP BY ALL {having}"""
+                for instrument, value, having in (
+                    ("X1", "CAST(CAST(4 * count(*) AS VARCHAR) || 'e-7' AS DOUBLE)", ""),
+                    ("X2", "CAST(CAST(count(*) AS VARCHAR) || 'e-300' AS DOUBLE)", ""),
+                    ("X3", _total("transaction_amount"), f"HAVING sum(CAST(transaction_amount AS {EXACT})) <> 0"),
+                )), "macro", "micro"),
         "q_micro_feed_csv": _with(
             f'SELECT {_KEY} AS TIME_SERIES_CODE, reporting_institution AS BANK_CODE, date_scope AS "DATE", '
             "ibs_agg_scope AS IBS_AGG, transaction_amount AS OBS_VALUE FROM micro", "micro"),
@@ -420,6 +434,12 @@ def oracle_sql() -> dict:
         "q_store_two_cycles": _with(f"SELECT {_VERSIONS} FROM stored_history", "stored_history"),
         "q_store_read_periods": _with(
             f"SELECT {_VERSIONS} FROM stored_history WHERE \"DATE\" IN ('1994-Q2', '1996-Q1', '1996-Q4')", "stored_history"),
+        "q_store_compacted": _with(f"SELECT {_VERSIONS} FROM stored_history", "stored_history"),
+        "q_store_rls_researcher": _stored(_MASK, _PUBLISHED),
+        "q_store_rls_public": _stored(_MASK, _FREE),
+        "q_store_rls_submitter_ca": _stored(_MASK_CA, f"{own_country} OR ({_FREE})"),
+        "q_store_search": _stored(
+            "OBS_VALUE", "L_REP_CTY = 'GB' AND L_DENOM IN ('EUR', 'USD') AND \"DATE\" >= '1994' AND (IS_CURRENT OR BATCH_STATUS = 'QUARANTINE')"),
         "q_scd2_micro_gated":_with("SELECT * FROM bank_gated", "bank_gated"),
         "q_two_cycle_state": _with(
             'SELECT L_REP_CTY, BATCH_STATUS, IS_CURRENT, count(*) AS row_count, count(DISTINCT "DATE") AS periods FROM hist GROUP BY ALL', "hist"),
@@ -464,7 +484,7 @@ FROM (SELECT * FROM seen WHERE L_REP_CTY IN ('CA', 'US', 'GB') {_ORDER} LIMIT 50
                 for d in ("L_PARENT_CTY", "L_REP_CTY", "L_CP_SECTOR", "L_CP_COUNTRY", "L_DENOM", "L_POSITION", "L_INSTR")
             ), "hist"),
         "q_lifecycle_status": _with(
-            f"""SELECT {_SPLIT}, "DATE" AS TIME_PERIOD, CASE WHEN cty = 'US' THEN 'B' ELSE OBS_STATUS END AS OBS_STATUS,
+            f"""SELECT {_SPLIT}, "DATE" AS TIME_PERIOD, CASE WHEN cty = 'JP' THEN 'B' ELSE OBS_STATUS END AS OBS_STATUS,
   {_TYPE} AS SUBMISSION_TYPE, {_ACTION} AS DATASET_ACTION, {_SENDER} AS SENDER_ID,
   cty || '_LBSR_' || replace("DATE", '-', '') AS DATASET_ID FROM (SELECT *, {_seg(9)} AS cty FROM macro)""", "macro"),
         "q_submission_summary": dominance_cty.format(
@@ -474,7 +494,7 @@ FROM (SELECT * FROM seen WHERE L_REP_CTY IN ('CA', 'US', 'GB') {_ORDER} LIMIT 50
             f"""DISTINCT cty || '_LBSR_' || replace("DATE", '-', '') AS dataset_id, {_ACTION} AS dataset_action, """
             f"{_SENDER} AS sender_id, {_SENDER_NAME} AS sender_name", ""),
         "q_submission_scan": dominance_cty.format(
-            f"lower(cty) AS SUBMITTED_BY, {KEYS}, OBS_VALUE, CASE WHEN cty = 'US' THEN 'B' ELSE OBS_STATUS END AS OBS_STATUS, OBS_CONF", ""),
+            f"lower(cty) AS SUBMITTED_BY, {KEYS}, OBS_VALUE, CASE WHEN cty = 'JP' THEN 'B' ELSE OBS_STATUS END AS OBS_STATUS, OBS_CONF", ""),
         "q_series_group": _xml("SELECT * FROM {lines}"),
         "q_sdmx_ml": _xml("SELECT line, count(*) AS n FROM {lines} GROUP BY line"),
         "q_sdmx_ml_roundtrip": _xml(

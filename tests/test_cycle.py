@@ -18,10 +18,7 @@ AT = {"baseline": "2026-05-15 08:00:00", "revision": "2026-08-14 08:00:00"}
 def submitted(spark, tmp_path_factory):
     base = str(tmp_path_factory.mktemp("cycle"))
     store, book = HistoryStore(spark, f"{base}/history"), testbed.rulebook(spark)
-    batches = {
-        "baseline": scenario.ledger(spark, scenario.positions()),
-        "revision": scenario.ledger(spark, scenario.positions(-5.0, 20.0)),
-    }
+    batches = {name: scenario.ledger(spark, scenario.positions(cycle)) for cycle, name in enumerate(AT, 1)}
     submissions = [cycle.Submission(name, rows, AT[name]) for name, rows in batches.items()]
     first = cycle.run(submissions[:1], book, store, f"{base}/ledger")[0]
     first = {(r["REP_CTY"], r["BATCH_STATUS"], r["FAILED_RULE_ID"]): r["row_count"] for r in first.collect()}
@@ -32,35 +29,39 @@ def submitted(spark, tmp_path_factory):
 
 
 def test_baseline_publishes_everything(submitted):
-    assert submitted["first"] == {(c, "PUBLISHED", None): n for c, n in (("CA", 9), ("US", 3), ("GB", 3))}
-    assert submitted["after_first"] == 15
+    assert submitted["first"] == {(c, "PUBLISHED", None): n for c, n in (("NO", 6), ("PT", 5), ("NZ", 6))}
+    assert submitted["after_first"] == 17
 
 
 def test_revision_is_rejected_as_a_whole(submitted):
-    assert submitted["second"] == {
-        ("CA", "QUARANTINE", "LBS_CC01,LBS_CC:04"): 9, ("US", "PUBLISHED", None): 3, ("GB", "PUBLISHED", None): 3,
-    }
+    assert submitted["second"] == {("NO", "PUBLISHED", None): 6, ("PT", "QUARANTINE", "LBS_CC:04"): 5, ("NZ", "PUBLISHED", None): 7}
 
 
 def test_history_keeps_the_last_valid_state(submitted):
+    """17 rows, two Norwegian and two New Zealand versions more, and five rejected ones."""
     rows = submitted["store"].read()
-    assert rows.count() == 24
-    assert rows.filter("IS_CURRENT").count() == 15
+    assert rows.count() == 26
+    assert rows.filter("IS_CURRENT").count() == 18
     audit = rows.filter("NOT IS_CURRENT")
-    assert audit.filter("BATCH_STATUS = 'QUARANTINE' AND VALID_FROM = VALID_TO").count() == 9
-    assert scd2.published_view(rows).count() == 15
-    assert scd2.published_view(rows).filter("TIME_SERIES_CODE LIKE '%.CAD.D.CA.A.CA.B.5J'").first()["OBS_VALUE"] == 40.0
-
-
-@pytest.mark.parametrize("groups, visible, current, masked", [
-    ({"admin"}, 24, 15, 0),
-    ({"researcher"}, 15, 15, 4),
-    ({"public"}, 11, 11, 0),
-    ({"submitter-ca"}, 22, 13, 0),
-    ({"submitter-us"}, 12, 12, 0),
-    ({"submitter-ca", "researcher"}, 24, 15, 2),
+    assert audit.filter("BATCH_STATUS = 'QUARANTINE' AND VALID_FROM = VALID_TO").count() == 5
+    assert audit.filter("BATCH_STATUS = 'PUBLISHED' AND VALID_TO = timestamp'2026-08-14 08:00:00'").count() == 3
+    assert scd2.published_view(rows).count() == 18
+    value = lambda k: scd2.published_view(rows).filter(F.col("TIME_SERIES_CODE").like(k)).first()["OBS_VALUE"]
+    assert value("%.EUR.D.PT.A.PT.N.5J") == 40.0 and value("%.TO1.A.NO.A.NO.N.5J") == 110.0
+
+
+CALLERS = [
+    ({"admin"}, 26, 18, 0),
+    ({"researcher"}, 21, 18, 8),
+    ({"public"}, 13, 11, 0),
+    ({"submitter-pt"}, 20, 13, 0),
+    ({"submitter-no"}, 16, 13, 0),
+    ({"submitter-pt", "researcher"}, 26, 18, 6),
     (set(), 0, 0, 0),
-])
+]
+
+
+@pytest.mark.parametrize("groups, visible, current, masked", CALLERS)
 def test_what_callers_see(spark, submitted, groups, visible, current, masked):
     history = submitted["store"].read()
     seen = governance.govern(history, groups)
@@ -70,22 +71,22 @@ def test_what_callers_see(spark, submitted, groups, visible, current, masked):
     members = spark.createDataFrame([("p", g) for g in groups or {None}], "principal string, group string")
     assert governance.visible_counts(history, members).first().asDict() == {
         "principal": "p", "visible_rows": visible, "current_rows": current, "masked_rows": masked}
+    assert sorted(map(str, submitted["store"].scan(groups).collect())) == sorted(map(str, seen.collect()))
 
 
 def test_replay_adds_nothing(submitted):
-    store, before = submitted["store"], submitted["store"].read().drop("VALID_TO")
-    kept = before.collect()
-    for submission in reversed(submitted["submissions"]):
-        cycle.process(submission, submitted["book"], store, f"{submitted['base']}/ledger")
-    assert store.read().count() == 24
-    assert sorted(map(str, store.read().drop("VALID_TO").collect())) == sorted(map(str, kept))
-    assert ledger_store.read(store.spark, f"{submitted['base']}/ledger").count() == 30
+    store = submitted["store"]
+    kept = store.read().collect()
+    for _ in range(2):
+        cycle.process(submitted["submissions"][1], submitted["book"], store, f"{submitted['base']}/ledger")
+    assert sorted(map(str, store.read().collect())) == sorted(map(str, kept))
+    assert ledger_store.read(store.spark, f"{submitted['base']}/ledger").count() == 35
 
 
 def test_a_later_period_leaves_earlier_ones_alone(spark, submitted):
     store = submitted["store"]
     before = {str(r) for r in store.read().collect()}
-    rows = scenario.ledger(spark, scenario.positions()[3:6], "2026-Q2")
+    rows = scenario.ledger(spark, scenario.positions()[11:14], "2026-Q2")
     cycle.process(cycle.Submission("next", rows, "2026-09-01 08:00:00"), submitted["book"], store, f"{submitted['base']}/ledger")
     after = store.read()
     assert {str(r) for r in after.filter("DATE = '2026-Q1'").collect()} == before
@@ -128,7 +129,7 @@ def test_a_job_that_dies_before_its_listing(spark, submitted, tmp_path, monkeypa
             ledger_store.append(rows.limit(1), str(tmp_path / "ledger"), "one")
         with pytest.raises(OSError):
             store.commit(store.read().limit(1), ["2026-Q1"], store.snapshot())
-    assert ledger_store.read(spark, str(tmp_path / "ledger"), ["2026-Q1"]).count() == 15
+    assert ledger_store.read(spark, str(tmp_path / "ledger"), ["2026-Q1"]).count() == 17
     assert store.read().count() == submitted["store"].read(["2026-Q1"]).count()
 
 
@@ -137,6 +138,6 @@ def test_ledger_takes_new_columns(spark, tmp_path):
     ledger_store.append(rows, str(tmp_path), "one")
     ledger_store.append(rows.withColumn("channel", F.lit("web")), str(tmp_path), "two")
     back = ledger_store.read(spark, str(tmp_path))
-    assert back.count() == 30 and back.filter("channel = 'web'").count() == 15
+    assert back.count() == 34 and back.filter("channel = 'web'").count() == 17
     with pytest.raises(SubmissionError):
         ledger_store.append(rows, str(tmp_path), "../up")

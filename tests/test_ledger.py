@@ -1,4 +1,6 @@
 import math
+import random
+from fractions import Fraction
 
 import pytest
 
@@ -26,6 +28,34 @@ def test_zero_missing_and_nan(spark):
     assert ledger.rollup(nothing).count() == 0
 
 
+@pytest.mark.parametrize("amounts, total", [
+    ([4e-7], 4e-7), ([1e-300], 1e-300), ([1e300, 1.0, -1e300], 1.0), ([1e300, -1e300], None), ([0.1, 0.2, -0.3], None),
+    ([1e300, 4e-7, -1e300, 1e-300, -4e-7], 1e-300), ([-1e300, 5.0], -1e300), ([1e16, 1.0, -1e16, -3.0], -2.0), ([-0.0, 0.0], None),
+    ([5e-324, 5e-324], 1e-323), ([1.7976931348623157e308, 1.0], 1.7976931348623157e308), ([-1e22, 1e-10, -1e5], -1.00000000000000001e22), ([2.5e-7, math.nan, None], 2.5e-7),
+])
+def test_sums_at_any_magnitude(spark, amounts, total):
+    rows = scenario.ledger(spark, [one(i, a) for i, a in enumerate(amounts)])
+    assert [r["OBS_VALUE"] for r in ledger.rollup(rows).collect()] == ([] if total is None else [total])
+
+
+def test_sums_equal_fractions(spark):
+    """Random doubles of all magnitudes, beside sums of the decimal numbers they show."""
+    rng = random.Random(6)
+    rows, want = [], {}
+    for partner in range(60):
+        numbers = [rng.choice([-1, 1]) * rng.random() * 10.0 ** rng.choice([rng.randrange(-320, 300), rng.randrange(-9, 12)]) for _ in range(rng.randrange(1, 9))]
+        numbers += [-x for x in numbers if rng.random() < 0.5]
+        want[f"P{partner}"] = float(sum(map(Fraction, map(repr, numbers))))
+        rows += [scenario.position(i, "NO", "B", "C", "A", "NOK", "D", f"P{partner}", "B", x) for i, x in enumerate(numbers)]
+    got = {r["TIME_SERIES_CODE"].split(".")[-1]: r["OBS_VALUE"] for r in ledger.rollup(scenario.ledger(spark, rows)).collect()}
+    assert got == {p: v for p, v in want.items() if v}
+
+
+def test_infinite_amounts_are_an_error(spark):
+    with pytest.raises(Exception, match="infinite"):
+        ledger.rollup(scenario.ledger(spark, [one(1, math.inf)])).collect()
+
+
 @pytest.mark.parametrize("flags, strictest", [(["F", "F"], "F"), (["F", "N"], "N"), (["N", "C", "F"], "C"), ([None, "F"], "F")])
 def test_strictest_flag_wins(spark, flags, strictest):
     rows = scenario.ledger(spark, [one(i, 1.0, c) for i, c in enumerate(flags)])
@@ -57,7 +87,7 @@ def test_dominance_per_country(spark):
         country = r["TIME_SERIES_CODE"].split(".")[8]
         total, restricted = count.get(country, (0, 0))
         count[country] = (total + 1, restricted + (r["OBS_CONF"] == "N"))
-    assert count == {"CA": (4, 1), "US": (4, 4), "GB": (14, 14)}
+    assert count == {c: outcome[:2] for c, outcome in scenario.FEED_OUTCOME.items()}
 
 
 def test_dominance_measures_absolute_shares(spark):
