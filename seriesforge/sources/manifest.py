@@ -1,4 +1,4 @@
-"""A numbered list of folders: the one place where a commit becomes visible.
+"""A numbered list of folders, and files that only one writer can put: where commits become visible.
 
 Data go to a folder of their own first. A listing is one JSON file, written aside and then renamed to
 `listing-<n>.json`. The rename refuses a name that is taken, so of two writers that started from one
@@ -17,6 +17,44 @@ from seriesforge.errors import CommitConflict
 LISTING = re.compile(r"/listing-(\d+)\.json$")
 
 
+def _rename_new(spark: SparkSession, source, target: str) -> None:
+    """Rename a file to a name that nothing has yet; in HDFS one step, which only one writer can make."""
+    jvm, hadoop = spark._jvm, spark._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(source)
+    context = hadoop.FileContext.getFileContext(path.toUri(), spark._jsc.hadoopConfiguration())
+    keep_existing = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0)
+    try:
+        context.rename(path, hadoop.Path(target), keep_existing)
+    except Py4JJavaError as error:
+        if error.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
+            raise CommitConflict(f"{target} was committed by another writer") from error
+        raise
+
+
+def _system(spark: SparkSession, path: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def files_in(spark: SparkSession, folder: str) -> list:
+    """Names in a folder; none where there is no such folder."""
+    path, system = _system(spark, folder)
+    return [status.getPath().getName() for status in system.listStatus(path)] if system.exists(path) else []
+
+
+def put_new(spark: SparkSession, text: str, target: str, aside: str) -> None:
+    """Write a small text file under a name that nothing has yet, else `CommitConflict`."""
+    path, system = _system(spark, f"{aside}/{uuid.uuid4().hex}")
+    stream = system.create(path)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    parent, _ = _system(spark, target.rsplit("/", 1)[0])
+    system.mkdirs(parent)
+    _rename_new(spark, path.toUri(), target)
+
+
 class Manifest:
     """`fields` is the DDL of one entry; an entry stands for one folder, so a listing is small."""
 
@@ -43,16 +81,8 @@ class Manifest:
         # Names with an underscore are no part of what readers list.
         aside = f"{self.folder}/_attempt-{uuid.uuid4().hex}"
         self.spark.createDataFrame([(entries,)], self.schema).coalesce(1).write.json(aside)
-        jvm, hadoop = self.spark._jvm, self.spark._jvm.org.apache.hadoop.fs
-        source = hadoop.Path(jvm.java.net.URI(self.spark.read.schema(self.schema).json(aside).inputFiles()[0]))
-        context = hadoop.FileContext.getFileContext(source.toUri(), self.spark._jsc.hadoopConfiguration())
-        keep_existing = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0)
-        try:
-            context.rename(source, hadoop.Path(self._path(version)), keep_existing)
-        except Py4JJavaError as error:
-            if error.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
-                raise CommitConflict(f"version {version} of {self.folder} was committed by another writer") from error
-            raise
+        source = self.spark.read.schema(self.schema).json(aside).inputFiles()[0]
+        _rename_new(self.spark, self.spark._jvm.java.net.URI(source), self._path(version))
         return version
 
     def _path(self, version: int) -> str:

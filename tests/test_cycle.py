@@ -116,7 +116,7 @@ def test_a_stale_writer_changes_nothing(spark, submitted, tmp_path):
 
 
 def test_a_job_that_dies_before_its_listing(spark, submitted, tmp_path, monkeypatch):
-    def dies(self, version, entries):
+    def dies(*_):
         raise OSError("gone")
 
     rows = scenario.ledger(spark, scenario.positions())
@@ -125,6 +125,7 @@ def test_a_job_that_dies_before_its_listing(spark, submitted, tmp_path, monkeypa
     store.commit(submitted["store"].read(["2026-Q1"]), ["2026-Q1"], store.snapshot())
     with monkeypatch.context() as patch:
         patch.setattr(Manifest, "publish", dies)
+        patch.setattr(ledger_store, "put_new", dies)
         with pytest.raises(OSError):
             ledger_store.append(rows.limit(1), str(tmp_path / "ledger"), "one")
         with pytest.raises(OSError):
