@@ -69,6 +69,9 @@ def test_request_cleaning():
                 {"limit": 0}, {"limit": "many"}, {"colour": "red"}):
         with pytest.raises(QueryError):
             build(**bad)
+    with pytest.raises(QueryError) as error:
+        build(currency="U$D,EUR,€", colour="red", limit="-1", date_from="2026-Q4", date_to="2026-Q1")
+    assert [p.split(":")[0] for p in str(error.value).split("; ")] == ["colour", "currency", "date_from", "limit"]
 
 
 def test_search(history):
