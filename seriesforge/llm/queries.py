@@ -63,7 +63,8 @@ def op5_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captures at times their ids give, against entries drawn from the hosts of the table."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     captures = pages.withColumn("fetched", F.timestamp_seconds(F.lit(1704067200) + F.pmod(F.col("page_id") * 7919, F.lit(31622400))))
-    return url_lists.judge(captures, url_lists.drawn_entries(pages)).select("page_id", "host", "fetched", "blocked", "list", "key", "valid_from")
+    shown = [F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("fetched", "valid_from")]
+    return url_lists.judge(captures, url_lists.drawn_entries(pages)).select("page_id", "host", shown[0], "blocked", "list", "key", shown[1])
 
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,6 +132,35 @@ FROM payloads
 """
 
 
+OP5_SQL = r"""
+WITH caps AS (
+  SELECT page_id, make_timestamp((1704067200 + page_id * 7919 % 31622400) * 1000000) AS fetched,
+    nullif(lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@\[\]]+)', 1), '\.+$', '')), '') AS host
+  FROM pages
+), tails AS (
+  SELECT host, unnest(CASE WHEN regexp_matches(host, '^(?:\[.*\]|[0-9]+(?:\.[0-9]+){3})$') THEN [host] ELSE
+    list_transform(range(1, greatest(len(parts) - 1, 1) + 1), lambda i: array_to_string(parts[i:], '.')) END) AS key
+  FROM (SELECT DISTINCT host, string_split(host, '.') AS parts FROM caps WHERE host IS NOT NULL)
+), drawn AS (
+  SELECT key, ('0x' || d[1:1])::INT AS place, [('0x' || d[2:3])::INT % 200, ('0x' || d[4:5])::INT % 60, ('0x' || d[6:7])::INT % 60] AS n
+  FROM (SELECT DISTINCT key, md5(key) AS d FROM tails)
+), entries AS (
+  SELECT key, CASE WHEN place < 2 THEN 'allow' WHEN place < 6 THEN 'phishing' ELSE 'adult' END AS list,
+    unnest([{'action': 'add', 'days': n[1]}, {'action': 'remove', 'days': n[1] + 1 + n[2]}, {'action': 'add', 'days': n[1] + 80 + n[3]}]) AS e
+  FROM drawn WHERE place < 9
+), dated AS (
+  SELECT key, list, action, valid_from, lead(valid_from) OVER (PARTITION BY list, key ORDER BY valid_from) AS valid_to
+  FROM (SELECT key, list, max(e.action) AS action, TIMESTAMP '2024-01-01' + to_days(e.days) AS valid_from FROM entries GROUP BY key, list, e.days)
+), decided AS (
+  SELECT host, fetched, list, key, valid_from
+  FROM (SELECT DISTINCT host, fetched FROM caps) JOIN tails USING (host) JOIN dated USING (key)
+  WHERE action = 'add' AND valid_from <= fetched AND (valid_to IS NULL OR fetched < valid_to)
+  QUALIFY row_number() OVER (PARTITION BY host, fetched ORDER BY length(key) DESC, list = 'allow' DESC, list DESC, key DESC, valid_from DESC) = 1
+)
+SELECT page_id, host, strftime(fetched, '%Y-%m-%d %H:%M:%S') AS fetched, coalesce(list <> 'allow', false) AS blocked, list, key, strftime(valid_from, '%Y-%m-%d %H:%M:%S') AS valid_from
+FROM caps LEFT JOIN decided USING (host, fetched)
+"""
+
 OP11_SQL = """
 WITH usable AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
@@ -173,4 +203,4 @@ SELECT item_id, (row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id N
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op11_hard_negatives": OP11_SQL, "op12_ranked_search": OP12_SQL}
+    return {"op3_warc": OP3_SQL, "op5_url_lists": OP5_SQL, "op11_hard_negatives": OP11_SQL, "op12_ranked_search": OP12_SQL}

@@ -19,26 +19,32 @@ from pyspark.sql.window import Window
 
 from seriesforge.sources import staging
 
-#: Scheme, user information, host, rest.
-_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
+#: Scheme, user information, host (an IPv6 address stands in brackets), rest.
+_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@\[\]]+)"
+_ADDRESS = r"^(?:\[.*\]|[0-9]+(?:\.[0-9]+){3})$"
 
 
-def host(url: Column) -> Column:
-    """Lower-case host of an absolute URL without a final dot; null when there is none."""
-    found = F.lower(F.regexp_replace(F.regexp_extract(url, _HOST, 1), r"\.+$", ""))
+def normal(name: Column) -> Column:
+    """A host, or the key of a list, in lower case and without a final dot; null when nothing is left."""
+    found = F.lower(F.regexp_replace(F.trim(name), r"\.+$", ""))
     return F.when(found != "", found)
 
 
+def host(url: Column) -> Column:
+    """Host of an absolute URL in normal form, an IPv6 address with its brackets; null when there is none."""
+    return normal(F.regexp_extract(url, _HOST, 1))
+
+
 def domains(name: Column) -> Column:
-    """A host and all domains above it that have a dot."""
+    """A host and all domains above it that have a dot. An IP address is in no domain but itself."""
     parts = F.split(name, r"\.")
     tails = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    return F.when(name.isNotNull(), tails)
+    return F.when(name.rlike(_ADDRESS), F.array(name)).when(name.isNotNull(), tails)
 
 
 def intervals(entries: DataFrame) -> DataFrame:
     """(list, key, valid_from, valid_to): when each addition holds; an open end is null."""
-    sound = entries.select("list", F.lower("key").alias("key"), "action", "at").where("list is not null and key is not null and at is not null")
+    sound = entries.select("list", normal(F.col("key")).alias("key"), "action", "at").where("list is not null and key is not null and at is not null")
     one = sound.groupBy("list", "key", "at").agg(F.max("action").alias("action"))  # 'remove' > 'add'
     following = F.lead("at").over(Window.partitionBy("list", "key").orderBy("at"))
     dated = one.withColumn("valid_to", following)
@@ -48,16 +54,21 @@ def intervals(entries: DataFrame) -> DataFrame:
 def judge(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched") -> DataFrame:
     """`captures` with host, blocked, list, key and valid_from of the entry that decided (null: none)."""
     added = ["host", "blocked", "list", "key", "valid_from"]
-    named = captures.drop(*[c for c in added if c != url]).withColumn("host", host(F.col(f"`{url}`")))
-    asked = named.select("host", F.col(f"`{fetched}`").alias("_at")).where("host is not null and _at is not null").distinct()
+    # The columns of the captures get names of ours, so that none can clash; those named like an added one give way to it.
+    own = [f"_own_{i}" for i in range(len(captures.columns))]
+    kept = [(o, c) for o, c in zip(own, captures.columns) if c not in added]
+    at = own[captures.columns.index(fetched)]
+    named = captures.toDF(*own).withColumn("host", host(F.col(own[captures.columns.index(url)])))
+    asked = named.select("host", F.col(at).alias("_at")).where("host is not null and _at is not null").distinct()
     keyed = staging.stage(asked.withColumn("key", F.explode(domains(F.col("host")))), "captures")
     held = staging.stage(intervals(entries), "intervals")
     met = keyed.join(held, "key").where((F.col("valid_from") <= F.col("_at")) & (F.col("valid_to").isNull() | (F.col("_at") < F.col("valid_to"))))
     decisive = F.max(F.struct(F.length("key").alias("size"), (F.col("list") == "allow").alias("allow"), "list", "key", "valid_from")).alias("entry")
     decided = staging.stage(met.groupBy("host", "_at").agg(decisive), "decisions").withColumnRenamed("host", "_host")
-    joined = named.join(decided, (named["host"] == decided["_host"]) & (named[fetched] == decided["_at"]), "left")
-    blocked = F.coalesce(F.col("entry.list") != "allow", F.lit(False))
-    return joined.select(*named.columns, blocked.alias("blocked"), F.col("entry.list").alias("list"), F.col("entry.key").alias("key"), F.col("entry.valid_from").alias("valid_from"))
+    joined = named.join(decided, (named["host"] == decided["_host"]) & (named[at] == decided["_at"]), "left")
+    blocked = F.coalesce(F.col("entry.list") != "allow", F.lit(False)).alias("blocked")
+    decision = ["host", blocked, F.col("entry.list").alias("list"), F.col("entry.key").alias("key"), F.col("entry.valid_from").alias("valid_from")]
+    return joined.select(*[F.col(o).alias(c) for o, c in kept], *decision)
 
 
 def drawn_entries(captures: DataFrame, url: str = "url") -> DataFrame:

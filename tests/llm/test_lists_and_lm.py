@@ -45,6 +45,21 @@ def test_lists_equal_plain_python(spark):
         assert r.blocked == bool(want and want[2] != "allow")
 
 
+def test_addresses_and_clashing_columns(spark):
+    day = datetime(2024, 1, 1)
+    entries = [("bad", key, "add", day) for key in ("1.2.3.4", "3.4", "[::1]", "Dot.org.", "a.b")]
+    urls = {
+        "http://1.2.3.4/": "1.2.3.4", "http://9.2.3.4:8/": None, "http://[::1]:80/": "[::1]", "http://u@[::1]": "[::1]", "http://[::2]/x": None,
+        "http://x.dot.org./": "dot.org", "http://1.2.3.4.a.b/": "a.b", f"http://{'a' * 100_000}.a.b/": "a.b", "http://[/": None, "http://...": None,
+    }
+    schema = "page_id long, url string, fetched timestamp, entry string, list int, host int, _own_0 string, _at int"
+    captures = frame(spark, [(i, u, day + timedelta(1), "e", 1, 2, "o", 3) for i, u in enumerate(urls)], schema)
+    got = url_lists.judge(captures, frame(spark, entries, "list string, key string, action string, at timestamp"))
+    assert {r.url: r.key for r in got.collect()} == urls
+    assert got.columns == ["page_id", "url", "fetched", "entry", "_own_0", "_at", "host", "blocked", "list", "key", "valid_from"]
+    assert {(r.entry, r._own_0, r._at) for r in got.collect()} == {("e", "o", 3)}
+
+
 def test_list_query_and_empty_tables(spark):
     rows = queries.queries()["op5_url_lists"](spark, SF_DIR).collect()
     assert len({r.page_id for r in rows}) == len(rows) > 0 and {r.blocked for r in rows} == {True, False}
