@@ -3,13 +3,19 @@
 Equal vectors are one node; only the `k + 1` smallest ids of a vector can be among the k nearest, so a
 node keeps no more of them. Nodes are dealt to shards of about `SHARD` by a hash. A shard's graph is a
 hierarchy of layers with flat neighbour arrays: vectors get one more coordinate that makes all norms equal
-(the largest inner product is then the nearest neighbour), nodes are inserted in order of their level, and
-every node takes diverse neighbours among those before it, found exactly in blocks. Queries descend the
-upper layers greedily and keep a beam of `BEAM` nodes in the lowest; they move through the graph in
-lockstep. Scores are computed anew, in double precision, on the original vectors.
+(the largest inner product is then the nearest neighbour). Nodes are inserted in order of their level, in batches
+that search the graph built so far, descending from the layers above; every node takes diverse neighbours among
+those found and those of its batch, and is linked back. Queries descend the upper layers greedily and keep a beam
+of `BEAM` nodes in the lowest; they move through the graph in lockstep. Scores are computed anew, in double
+precision, on the original vectors.
+
+A shard travels once, to the task that searches it; blocks of queries travel to every shard and pass by it one after
+another. A task hands on k rows per query, and a window merges the shards.
 
 Vectors that are null, empty or zero or hold a null or non-finite component take no part, nor does a row
-without id. Vectors of different lengths never meet. Repeated rows count once. Ties go to the smaller id.
+without id. Vectors of different lengths never meet. Repeated rows count once; of different vectors with one id,
+each is a candidate, and one that Spark meets first is the query. Ties go to the smaller id. Other columns are not
+read. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -27,6 +33,10 @@ from seriesforge.sources import staging
 
 SHARD, QUERY_BLOCK = 8192, 512
 LINKS, CANDIDATES, BEAM, WIDTH = 16, 64, 128, 4
+#: Beam of an insertion.
+SEEN = 48
+#: Nodes that are linked by all their products, at the start of a layer, and nodes inserted at once after them.
+FIRST, BATCH = 256, 2048
 
 
 def usable(vector: Column) -> Column:
@@ -39,7 +49,8 @@ def usable(vector: Column) -> Column:
 
 def _diverse(x: np.ndarray, own: np.ndarray, near: np.ndarray, close: np.ndarray) -> np.ndarray:
     """Of candidates sorted by closeness, those closer to their node than to any neighbour chosen before; -1 pads."""
-    among = np.einsum("bid,bjd->bij", x[near], x[near])
+    picked = x[near]
+    among = picked @ picked.transpose(0, 2, 1)
     chosen, count = np.zeros(near.shape, bool), np.zeros(len(near), int)
     for c in range(near.shape[1]):
         blocked = (chosen & (among[:, c, :] > close[:, c, None])).any(1)
@@ -53,32 +64,62 @@ def _diverse(x: np.ndarray, own: np.ndarray, near: np.ndarray, close: np.ndarray
     return found
 
 
-def layer(x: np.ndarray, width: int) -> np.ndarray:
-    """Neighbour array (n, width) of the nodes of one layer in their order of insertion; -1 pads."""
-    n, heads, tails, sims = len(x), [], [], []
-    for low in range(0, n, 512):
-        high = min(low + 512, n)
-        close = x[low:high] @ x[:high].T
-        close[np.arange(high)[None, :] >= np.arange(low, high)[:, None]] = -np.inf
-        m = min(CANDIDATES, high)
-        near = np.argpartition(-close, m - 1, axis=1)[:, :m]
-        order = np.argsort(-np.take_along_axis(close, near, 1), axis=1)
-        near = np.take_along_axis(near, order, 1)
-        links = _diverse(x, np.arange(low, high), near, np.take_along_axis(close, near, 1))
-        row, col = np.nonzero(links >= 0)
-        heads.append(row + low)
-        tails.append(links[row, col])
-        sims.append(close[row, links[row, col]])
-    head, tail, sim = (np.concatenate(part) for part in (heads, tails, sims))
-    forward = np.concatenate((np.ones(len(head)), np.zeros(len(head))))  # own choices before those of others
-    head, tail, sim = np.concatenate((head, tail)), np.concatenate((tail, head)), np.concatenate((sim, sim))
-    order = np.lexsort((-sim, -forward, head))
-    head, tail = head[order], tail[order]
-    place = np.arange(len(head)) - np.searchsorted(head, head)
-    keep = place < width
-    out = np.full((n, width), -1, np.int32)
-    out[head[keep], place[keep]] = tail[keep]
-    return out
+def _exact(x: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the nodes from `low` on, the closest among those before them and from `low` on: (places, closeness), sorted."""
+    close = x[low:] @ x[low:].T
+    close[np.arange(len(close))[None, :] >= np.arange(len(close))[:, None]] = -np.inf
+    m = min(CANDIDATES, len(close))
+    near = np.argpartition(-close, m - 1, axis=1)[:, :m]
+    order = np.argsort(-np.take_along_axis(close, near, 1), axis=1)
+    near = np.take_along_axis(near, order, 1)
+    return near + low, np.take_along_axis(close, near, 1)
+
+
+class _Layer:
+    """Neighbour array (n, width) of one layer: a node's own choices first, then the closest of those that chose it."""
+
+    def __init__(self, x: np.ndarray, width: int):
+        self.x, self.own = x, np.zeros(len(x), np.int64)
+        self.links, self.sims = np.full((len(x), width), -1, np.int32), np.full((len(x), width), -np.inf, np.float32)
+
+    def insert(self, low: int, near: np.ndarray, close: np.ndarray) -> None:
+        """Nodes from `low` on, with candidates sorted by closeness (-inf where there is none)."""
+        high, width = low + len(near), self.links.shape[1]
+        chosen = _diverse(self.x, np.arange(low, high), near, close)
+        row, col = np.nonzero(chosen >= 0)
+        head, tail = row + low, chosen[row, col]
+        sim = np.einsum("id,id->i", self.x[head], self.x[tail])
+        self.links[head, col], self.sims[head, col] = tail, sim
+        self.own[low:high] = (chosen >= 0).sum(1)
+        # Back links of the nodes chosen: those they have and the new ones, the closest first, after their own choices.
+        met = np.unique(tail)
+        there = np.arange(width)[None, :] >= self.own[met][:, None]
+        at, place = np.nonzero(there & (self.links[met] >= 0))
+        tail, head = np.concatenate((tail, met[at])), np.concatenate((head, self.links[met[at], place]))
+        sim = np.concatenate((sim, self.sims[met[at], place]))
+        order = np.lexsort((-sim, tail))
+        tail, head, sim = tail[order], head[order], sim[order]
+        place = np.arange(len(tail)) - np.searchsorted(tail, tail) + self.own[tail]
+        keep = place < width
+        self.links[tail[keep], place[keep]], self.sims[tail[keep], place[keep]] = head[keep], sim[keep]
+
+
+def layer(x: np.ndarray, width: int, above: list[np.ndarray]) -> np.ndarray:
+    """Neighbour array of the nodes of one layer, inserted in order; `above` has the layers above it, the nearest first."""
+    made = _Layer(x, width)
+    done = min(len(x), max(FIRST, len(above[0]) if above else 0))
+    near, close = _exact(x[:done], 0)
+    made.insert(0, near, close)
+    while done < len(x):
+        batch = x[done : done + min(done, BATCH)]
+        found = beam_search(x[:done], [made.links[:done], *above], batch, SEEN)
+        far = np.where(found >= 0, np.einsum("bmd,bd->bm", x[found], batch), -np.inf)
+        near, close = _exact(x[: done + len(batch)], done)
+        near, close = np.concatenate((found, near), 1), np.concatenate((far, close), 1)
+        order = np.argsort(-close, axis=1, kind="stable")[:, :CANDIDATES]
+        made.insert(done, np.maximum(np.take_along_axis(near, order, 1), 0), np.take_along_axis(close, order, 1))
+        done += len(batch)
+    return made.links
 
 
 def build(vectors: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -90,13 +131,19 @@ def build(vectors: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray, l
     scale = np.sqrt((x**2).sum(1).max())
     x = x / scale
     x = np.column_stack((x, np.sqrt(np.maximum(0, 1 - (x**2).sum(1))))).astype(np.float32)
-    sizes = [int((levels >= k).sum()) for k in range(levels.max() + 1)] if n else []
-    return order, x, [layer(x[:size], 2 * LINKS if k == 0 else LINKS) for k, size in enumerate(sizes)]
+    layers: list[np.ndarray] = []
+    for k in reversed(range(levels.max() + 1)):
+        layers.insert(0, layer(x[: int((levels >= k).sum())], 2 * LINKS if k == 0 else LINKS, layers))
+    return order, x, layers
 
 
 def search(x: np.ndarray, layers: list[np.ndarray], queries: np.ndarray, k: int) -> np.ndarray:
     """The k nearest nodes found for every query, as (queries, k) node numbers; -1 pads."""
-    q = np.column_stack((queries, np.zeros(len(queries)))).astype(np.float32)
+    return beam_search(x, layers, np.column_stack((queries, np.zeros(len(queries)))).astype(np.float32), max(BEAM, k))[:, :k]
+
+
+def beam_search(x: np.ndarray, layers: list[np.ndarray], q: np.ndarray, beam: int) -> np.ndarray:
+    """Nodes found for every (augmented) query, nearest first; -1 pads."""
     current = np.zeros(len(q), np.int64)
     for links in reversed(layers[1:]):
         best = np.einsum("qd,qd->q", x[current], q)
@@ -109,7 +156,6 @@ def search(x: np.ndarray, layers: list[np.ndarray], queries: np.ndarray, k: int)
                 break
             current = np.where(better, near[np.arange(len(q)), top], current)
             best = np.where(better, close[np.arange(len(q)), top], best)
-    beam = max(BEAM, k)
     ids, sims = np.full((len(q), beam), -1, np.int64), np.full((len(q), beam), -np.inf, np.float32)
     ids[:, 0], sims[:, 0] = current, np.einsum("qd,qd->q", x[current], q)
     opened, seen = np.zeros((len(q), beam), bool), np.zeros((len(q), len(x)), bool)
@@ -138,8 +184,7 @@ def search(x: np.ndarray, layers: list[np.ndarray], queries: np.ndarray, k: int)
         all_open = np.concatenate((opened[active], np.zeros(near.shape, bool)), 1)
         best = np.argpartition(-all_sims, beam - 1, axis=1)[:, :beam]
         ids[active], sims[active], opened[active] = all_ids[rows, best], all_sims[rows, best], all_open[rows, best]
-    best = np.argsort(-sims, axis=1)[:, :k]
-    return np.take_along_axis(ids, best, 1)
+    return np.take_along_axis(ids, np.argsort(-sims, axis=1), 1)
 
 
 # ---- Spark -------------------------------------------------------------------------------------
@@ -158,8 +203,8 @@ def nodes(table: DataFrame, k: int, vec_id: str = "vec_id", vector: str = "embed
     return near.groupBy("vector").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"))
 
 
-def build_index(points: DataFrame, shard_size: int = SHARD) -> DataFrame:
-    """One row per shard and vector length, with everything a search needs."""
+def build_index(points: DataFrame, shards: int) -> DataFrame:
+    """One row per shard (a number below `shards`) and vector length, with everything a search needs."""
 
     def run(frame):
         import pandas as pd
@@ -175,7 +220,6 @@ def build_index(points: DataFrame, shard_size: int = SHARD) -> DataFrame:
         }
         return pd.DataFrame([row])
 
-    shards = max(1, math.ceil(points.count() / shard_size))
     dealt = points.withColumn("dim", F.size("vector")).withColumn("first", F.get("ids", F.lit(0))).withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int"))
     return dealt.groupBy("shard", "dim").applyInPandas(run, INDEX)
 
@@ -206,23 +250,30 @@ def _answers(index: dict, query_ids: np.ndarray, queries: np.ndarray, k: int) ->
 
 def nearest(table: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", shard_size: int = SHARD) -> DataFrame:
     """The k nearest rows of `table` found for every usable row of `queries`: query_id, rank, vec_id, score."""
-    index = staging.stage(build_index(staging.stage(nodes(table, k, vec_id, vector), "vector-nodes"), shard_size), "vector-index")
+    points = staging.stage(nodes(table, k, vec_id, vector), "vector-nodes")
+    shards = max(1, math.ceil(points.count() / shard_size))
+    index = staging.stage(build_index(points, shards), "vector-index")
     asked = queries.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector")).where(F.col("id").isNotNull() & usable(F.col("vector")))
     asked = asked.dropDuplicates(["id"]).withColumn("dim", F.size("vector"))
     blocks = F.ceil(F.lit(asked.count()) / QUERY_BLOCK).cast("int")
     blocked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.greatest(blocks, F.lit(1))))
-    # A block of queries is one row of bounded size; every shard of its vector length gets it once.
-    packed = blocked.groupBy("dim", "block").agg(F.collect_list("id").alias("query_ids"), F.flatten(F.collect_list("vector")).alias("queries"))
-    pairs = index.join(staging.stage(packed, "query-blocks"), "dim")
-    tasks = pairs.repartition("shard", "block")
+    # A block of queries is one row of bounded size; every shard gets it once, and stays where it is.
+    packed = blocked.groupBy("dim", "block").agg(F.collect_list("id").alias("query_ids"), F.flatten(F.collect_list("vector")).alias("queries")).drop("block")
+    passing = staging.stage(packed, "query-blocks").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    tasks = index.withColumn("turn", F.lit(0)).unionByName(passing.withColumn("turn", F.lit(1)), allowMissingColumns=True)
+    tasks = tasks.repartition("shard", "dim").sortWithinPartitions("shard", "dim", "turn")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(name)[i] for name in batch.schema.names}
-                asked_ids = row.pop("query_ids").values.to_numpy()
-                matrix = row.pop("queries").values.to_numpy().reshape(len(asked_ids), -1)
-                yield _answers({name: value.as_py() for name, value in row.items()}, asked_ids, matrix, k)
+                place = row["shard"].as_py(), row["dim"].as_py()
+                if row["turn"].as_py() == 0:
+                    held = {name: value.as_py() for name, value in row.items() if name not in ("query_ids", "queries")}
+                elif held and place == (held["shard"], held["dim"]):
+                    asked_ids = row["query_ids"].values.to_numpy()
+                    yield _answers(held, asked_ids, row["queries"].values.to_numpy().reshape(len(asked_ids), -1), k)
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = tasks.mapInArrow(run, FOUND).withColumn("rank", F.row_number().over(best).cast("int"))
