@@ -35,7 +35,7 @@ from seriesforge.sources import staging
 
 MIX, ADD = 0.6, 0.5
 #: Text that is scored together, and text whose words and bigrams fill one range of hashes.
-CHUNK_BYTES, RANGE_BYTES = 16_000_000, 8_000_000
+CHUNK_BYTES, RANGE_BYTES = 8_000_000, 4_000_000
 
 _WORD, _PAIR = np.uint64(0), np.uint64(1)
 
