@@ -476,6 +476,16 @@ def q_sdmx_json_series(spark, sf_dir):
     return exports.json_series(stage(_exported(spark, sf_dir), "export"))
 
 
+def q_sdmx_json_document(spark, sf_dir):
+    """The series of a written document of two frameworks, with rejected and closed rows."""
+    rows = testbed.history(spark, sf_dir)
+    both = rows.unionByName(rows.filter(F.col(REPORTER) == "GB").withColumn("IBS_AGG", F.lit("LBSN")))
+    path = fresh_path(spark, "json")
+    exports.export(both, "sdmx-json", path)
+    lines = spark.read.text(path).select(F.col("value").alias("line"))
+    return lines.filter(F.col("line").rlike(r'^,?"[0-9:]+":\{')).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+
+
 def q_sdmx_csv(spark, sf_dir):
     return exports.csv_rows(_exported(spark, sf_dir), "Replace")
 

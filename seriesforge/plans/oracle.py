@@ -340,19 +340,16 @@ SELECT check_no, description, CAST(CASE WHEN col = 0 THEN 0 ELSE n END AS INTEGE
     bool_or(col = 0) OVER (PARTITION BY check_no) AS has_total, bool_or(col > 0) OVER (PARTITION BY check_no) AS has_part
   FROM shown) WHERE has_total AND has_part"""
 
-_CODES = """
+def _codes(source):
+    columns = {**{d: d for d in DIMENSIONS}, "TIME_PERIOD": '"DATE"', "OBS_STATUS": "OBS_STATUS", "OBS_CONF": "OBS_CONF"}
+    each = " UNION ".join(f"SELECT '{name}' AS component, {column} AS id FROM {source}" for name, column in columns.items())
+    return f"""
   codes AS (
-    SELECT component, id, CAST(dense_rank() OVER (PARTITION BY component ORDER BY id) - 1 AS INTEGER) AS position FROM (
-      {}))""".format(
-    " UNION ".join(
-        [f"SELECT '{d}' AS component, {d} AS id FROM seen" for d in DIMENSIONS]
-        + ["SELECT 'TIME_PERIOD', \"DATE\" FROM seen"]
-        + [f"SELECT '{a}', {a} FROM seen" for a in ("OBS_STATUS", "OBS_CONF")]
-    )
-)
+    SELECT component, id, CAST(dense_rank() OVER (PARTITION BY component ORDER BY id) - 1 AS INTEGER) AS position FROM ({each}))"""
 
 
-def _json_series():
+def _json_series(source="seen", framework=""):
+    """Series by position; `framework` names a column (with a comma) that keeps them apart."""
     names = DIMENSIONS + ["TIME_PERIOD", "OBS_STATUS", "OBS_CONF"]
     columns = {d: f"s.{d}" for d in DIMENSIONS}
     columns.update(TIME_PERIOD='s."DATE"', OBS_STATUS="s.OBS_STATUS", OBS_CONF="s.OBS_CONF")
@@ -360,9 +357,21 @@ def _json_series():
     key = " || ':' || ".join(f"CAST(c{i}.position AS VARCHAR)" for i in range(11))
     cell = (f"""'"' || CAST(c11.position AS VARCHAR) || '":[' || coalesce({_plain('s.OBS_VALUE')}, 'null') || ',' || """
             "CAST(c12.position AS VARCHAR) || ',' || CAST(c13.position AS VARCHAR) || ']'")
-    return _with("", "seen").rstrip() + "," + _CODES + f"""
-SELECT series_key, '{{' || string_agg(cell, ',' ORDER BY place) || '}}' AS observations FROM (
-  SELECT {key} AS series_key, c11.position AS place, {cell} AS cell FROM seen s {joins}) GROUP BY series_key"""
+    return f"""
+SELECT {framework} series_key, '{{' || string_agg(cell, ',' ORDER BY place) || '}}' AS observations FROM (
+  SELECT {framework} {key} AS series_key, c11.position AS place, {cell} AS cell FROM {source} s {joins}) GROUP BY {framework} series_key"""
+
+
+def _json_document():
+    """Entry lines of all rows, rejected and closed ones too, with British series under a second framework."""
+    return _with("", "hist").rstrip() + f""",
+  sent AS (SELECT * FROM hist UNION ALL SELECT * REPLACE ('LBSN' AS IBS_AGG) FROM hist WHERE L_REP_CTY = 'GB'),
+  best AS (SELECT * FROM sent QUALIFY row_number() OVER (PARTITION BY {KEYS}
+    ORDER BY IS_CURRENT DESC, BATCH_STATUS = 'PUBLISHED' DESC, VALID_FROM DESC, version_hash DESC) = 1),""" + _codes("sent") + f""",
+  entries AS ({_json_series("best", "IBS_AGG,")})
+SELECT line, count(*) AS n FROM (
+  SELECT CASE WHEN series_key = min(series_key) OVER (PARTITION BY IBS_AGG) THEN '' ELSE ',' END ||
+    '"' || series_key || '":{{"attributes":[],"observations":' || observations || '}}' AS line FROM entries) GROUP BY line"""
 
 
 def oracle_sql() -> dict:
@@ -499,8 +508,9 @@ FROM (SELECT * FROM seen WHERE L_REP_CTY IN ('CA', 'US', 'GB') {_ORDER} LIMIT 50
         "q_sdmx_ml": _xml("SELECT line, count(*) AS n FROM {lines} GROUP BY line"),
         "q_sdmx_ml_roundtrip": _xml(
             "SELECT CASE part WHEN 0 THEN 'Series' WHEN 1 THEN 'Obs' ELSE '/Series' END AS element, count(*) AS n FROM {lines} GROUP BY 1"),
-        "q_sdmx_json_dict": _with("", "seen").rstrip() + "," + _CODES + "\nSELECT * FROM codes",
-        "q_sdmx_json_series": _json_series(),
+        "q_sdmx_json_dict": _with("", "seen").rstrip() + "," + _codes("seen") + "\nSELECT * FROM codes",
+        "q_sdmx_json_series": _with("", "seen").rstrip() + "," + _codes("seen") + _json_series(),
+        "q_sdmx_json_document": _json_document(),
         "q_sdmx_csv": _with(
             f"""SELECT 'dataflow' AS STRUCTURE, 'BIS:WS_LBS_D_PUB(1.0)' AS STRUCTURE_ID, 'R' AS ACTION, {', '.join(DIMENSIONS)},
   "DATE" AS TIME_PERIOD, coalesce({_plain('OBS_VALUE')}, '') AS OBS_VALUE, OBS_STATUS, OBS_CONF FROM seen""", "seen"),

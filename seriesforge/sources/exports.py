@@ -4,6 +4,7 @@ import json
 import uuid
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -27,7 +28,8 @@ JSON_SCHEMA = (
     "tools/schemas/2.0.0/sdmx-json-data-schema.json"
 )
 MESSAGE_TYPE = "StructureSpecificData"
-COMPONENTS = DIMENSIONS + ("TIME_PERIOD",) + ATTRIBUTES
+MARKS = ("TIME_PERIOD",) + ATTRIBUTES
+COMPONENTS = DIMENSIONS + MARKS
 
 REFERENCE = f"{AGENCY}:{DATAFLOW}({DATAFLOW_VERSION})"
 URN = f"urn:sdmx:org.sdmx.infomodel.datastructure.Dataflow={REFERENCE}"
@@ -226,34 +228,59 @@ def check_sdmx_ml(df: DataFrame, path: str) -> None:
 # ---- JSON --------------------------------------------------------------------------------
 
 
-def json_dictionary(df: DataFrame) -> DataFrame:
+#: Stand for a missing code, and part codes, in the name of a mark.
+_MISSING, _SEPARATOR = "\u0000", "\u0001"
+
+
+def _series_name(columns=DIMENSIONS) -> Column:
+    return F.concat_ws(".", *columns)
+
+
+def _mark_name() -> Column:
+    """Names a period with its attributes."""
+    return F.concat_ws(_SEPARATOR, *[F.coalesce(F.col(c), F.lit(_MISSING)) for c in MARKS])
+
+
+def _named(df: DataFrame) -> DataFrame:
+    """(name, place, component, id): the codes of the distinct series, and those of the distinct marks."""
+    rows = explode(df)
+
+    def coded(columns, name):
+        codes = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(c).alias("component"), F.col(c).alias("id")) for i, c in enumerate(columns)])
+        return rows.select(*columns).distinct().select(name.alias("name"), F.inline(codes))
+
+    return coded(DIMENSIONS, _series_name()).unionByName(coded(MARKS, _mark_name()))
+
+
+def json_dictionary(df: DataFrame, named: DataFrame | None = None) -> DataFrame:
     """(component, id, position): the codes of each component, numbered from 0 in code order.
 
-    The ranking sees distinct codes only, never observations.
+    Codes come from distinct series and distinct marks, and the ranking sees distinct codes only, never observations.
     """
-    rows = explode(df)
-    pairs = F.array(*[F.struct(F.lit(c).alias("component"), F.col(c).alias("id")) for c in COMPONENTS])
-    codes = rows.select(F.inline(pairs)).filter(F.col("id").isNotNull())
+    named = _named(df) if named is None else named
+    codes = named.select("component", "id").filter(F.col("id").isNotNull())
     codes = codes.filter((F.col("id") != "") | ~F.col("component").isin(*ATTRIBUTES)).distinct()
     rank = F.dense_rank().over(Window.partitionBy("component").orderBy("id")) - 1
     return codes.withColumn("position", rank)
 
 
-def _numbered(rows: DataFrame, dictionary: DataFrame, component: str) -> DataFrame:
-    codes = dictionary.filter(F.col("component") == component).select(
-        F.col("id").alias(component), F.col("position").alias(f"{component}_at")
-    )
-    return rows.join(codes, component, "left")
+def _encoded(df: DataFrame) -> tuple:
+    """The dictionary, and (name, positions) of every distinct series and mark, both stored."""
+    named = stage(_named(df), "names")
+    dictionary = stage(json_dictionary(df, named), "dictionary")
+    found = named.join(dictionary, ["component", "id"], "left").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("place", "position"))).alias("at"))
+    return dictionary, stage(found.select("name", F.transform("at", lambda x: x["position"]).alias("at")), "positions")
 
 
-def json_series(df: DataFrame, dictionary: DataFrame | None = None, by: tuple = ()) -> DataFrame:
+def json_series(df: DataFrame, positions: DataFrame | None = None, by: tuple = ()) -> DataFrame:
     """(series_key, observations): keys and cells by dictionary position, cells as JSON text.
 
     Of several observations of one series and period (and of one value of `by`, which comes first)
     a current one goes before a closed one, an accepted one before a rejected one, then the
-    latest stays. What is then listed per series is at most one cell per period.
+    latest stays. What is then listed per series is at most one cell per period. Codes are looked up once per distinct
+    mark and once per series, not once per component.
     """
-    dictionary = stage(json_dictionary(df), "dictionary") if dictionary is None else dictionary
+    positions = _encoded(df)[1] if positions is None else positions
     order = [c for c in ("VALID_FROM", "version_hash") if c in df.columns] or ["OBS_VALUE"]
     ranks = {
         "IS_CURRENT": F.coalesce("IS_CURRENT", F.lit(False)),
@@ -266,26 +293,21 @@ def json_series(df: DataFrame, dictionary: DataFrame | None = None, by: tuple =
     latest = F.max_by(
         F.struct("OBS_VALUE", *ATTRIBUTES), F.struct(*[F.col(f"+{c}") for c in order])
     )
-    cells = rows.groupBy(*by, *DIMENSIONS, "TIME_PERIOD").agg(latest.alias("cell")).select(
-        *by, *DIMENSIONS, "TIME_PERIOD", "cell.*"
-    )
-    for component in ("TIME_PERIOD",) + ATTRIBUTES:
-        cells = _numbered(cells, dictionary, component)
+    cells = rows.groupBy(*by, _series_name().alias("series"), "TIME_PERIOD").agg(latest.alias("cell")).select(*by, "series", "TIME_PERIOD", "cell.*")
+    cells = cells.withColumn("name", _mark_name()).join(positions, "name")
     null = F.lit("null")
     value = plain_text(F.nanvl("OBS_VALUE", F.lit(None).cast("double")))
-    positions = [F.coalesce(F.col(f"{a}_at").cast("string"), null) for a in ATTRIBUTES]
+    period = F.element_at("at", 1)
+    attributes = [F.coalesce(F.element_at("at", i + 2).cast("string"), null) for i in range(len(ATTRIBUTES))]
     cell = F.concat(
-        F.lit('"'), F.col("TIME_PERIOD_at").cast("string"), F.lit('":['),
-        F.concat_ws(",", F.coalesce(value, null), *positions), F.lit("]"),
+        F.lit('"'), period.cast("string"), F.lit('":['),
+        F.concat_ws(",", F.coalesce(value, null), *attributes), F.lit("]"),
     )
-    listed = F.array_sort(F.collect_list(F.struct(F.col("TIME_PERIOD_at").alias("at"), cell.alias("text"))))
-    series = cells.groupBy(*by, *DIMENSIONS).agg(F.concat(
+    listed = F.array_sort(F.collect_list(F.struct(period.alias("at"), cell.alias("text"))))
+    series = cells.groupBy(*by, F.col("series").alias("name")).agg(F.concat(
         F.lit("{"), F.array_join(F.transform(listed, lambda c: c["text"]), ","), F.lit("}")
     ).alias("observations"))
-    for dimension in DIMENSIONS:
-        series = _numbered(series, dictionary, dimension)
-    key = F.concat_ws(":", *[F.col(f"{d}_at").cast("string") for d in DIMENSIONS])
-    return series.select(*by, key.alias("series_key"), "observations")
+    return series.join(positions, "name").select(*by, F.array_join(F.col("at").cast("array<string>"), ":").alias("series_key"), "observations")
 
 
 def _framework(df: DataFrame) -> tuple:
@@ -301,8 +323,8 @@ def _period(df: DataFrame) -> str:
     return "TIME_PERIOD" if "TIME_PERIOD" in df.columns else "DATE"
 
 
-def _json_frame(spark: SparkSession, sender, action, message_id, prepared, frameworks) -> DataFrame:
-    """The fixed text around the series of each framework (section 1) and each component's codes (2).
+def _json_frame(sender, action, message_id, prepared, frameworks) -> dict:
+    """The fixed text by (section, place, part), around the series of each framework (section 1) and each component's codes (2).
 
     Of several frameworks, each data set names its own by an annotation.
     """
@@ -315,18 +337,18 @@ def _json_frame(spark: SparkSession, sender, action, message_id, prepared, frame
         "sender": {"id": sender[0], "name": sender[1]},
     }
     links = [{"urn": URN, "rel": "self"}]
-    rows = [
-        (0, 0, 0, f'{{"meta":{json.dumps(meta)},"data":{{"dataSets":['),
-        (3, 0, 0, "]}}]}}"),
-    ]
+    rows = {
+        (0, 0, 0): f'{{"meta":{json.dumps(meta)},"data":{{"dataSets":[',
+        (3, 0, 0): "]}}]}}",
+    }
     noted = len(frameworks) > 1
     for at in range(len(frameworks)):
         note = f'"annotations":[{at}],' if noted else ""
-        rows.append((1, at, 0, f'{"," if at else ""}{{"action":{json.dumps(action)},{note}"series":{{'))
-        rows.append((1, at, 2, "}}"))
+        rows[1, at, 0] = f'{"," if at else ""}{{"action":{json.dumps(action)},{note}"series":{{'
+        rows[1, at, 2] = "}}"
     notes = f'"annotations":{json.dumps([{"type": "IBS_AGG", "title": x} for x in frameworks])},' if noted else ""
     sets = json.dumps(list(range(len(frameworks))))
-    rows.append((1, len(frameworks), 0, f'],"structures":[{{"dataSets":{sets},{notes}"links":{json.dumps(links)},"dimensions":{{"series":['))
+    rows[1, len(frameworks), 0] = f'],"structures":[{{"dataSets":{sets},{notes}"links":{json.dumps(links)},"dimensions":{{"series":['
     last_dimension, time = len(DIMENSIONS) - 1, len(DIMENSIONS)
     for place, component in enumerate(COMPONENTS):
         fields = {"id": component, "name": "Time period" if place == time else component}
@@ -339,9 +361,9 @@ def _json_frame(spark: SparkSession, sender, action, message_id, prepared, frame
             after = ']},"attributes":{"observation":['
         elif place == len(COMPONENTS) - 1:
             after = ""
-        rows.append((2, place, 0, json.dumps(fields)[:-1] + ',"values":['))
-        rows.append((2, place, 2, "]}" + after))
-    return spark.createDataFrame(rows, "section int, place int, part int, line string")
+        rows[2, place, 0] = json.dumps(fields)[:-1] + ',"values":['
+        rows[2, place, 2] = "]}" + after
+    return rows
 
 
 def write_sdmx_json(
@@ -354,36 +376,38 @@ def write_sdmx_json(
 ) -> str:
     """SDMX-JSON 2.0.0 message, one data set per framework. The files, put together in name order, are the document."""
     _check_action(action)
-    dictionary = stage(json_dictionary(df), "dictionary")
-    by = _framework(df)
-    series = stage(json_series(df, dictionary, by).withColumn("framework", F.col(by[0]) if by else F.lit(None).cast("string")), "series")
+    spark, by = df.sparkSession, _framework(df)
+    dictionary, positions = _encoded(df)
+    series = stage(json_series(df, positions, by).withColumn("framework", F.col(by[0]) if by else F.lit(None).cast("string")), "series")
     # One row per framework; there are a handful.
     found = series.groupBy("framework").agg(F.min("series_key").alias("first")).orderBy("framework").collect()
-    at = F.lit(0)
-    for n, row in enumerate(found):
-        at = F.when(F.col("framework").eqNullSafe(F.lit(row["framework"])), n).otherwise(at)
-    series = series.withColumn("place", at)
-    first = F.element_at(F.array(*[F.lit(row["first"]) for row in found]), F.col("place") + 1)
-    entry = F.concat(
-        F.when(F.col("series_key") == first, "").otherwise(","),
-        F.lit('"'), F.col("series_key"), F.lit('":{"attributes":[],"observations":'), F.col("observations"), F.lit("}"),
-    )
-    body = series.select(
-        F.lit(1).alias("section"), "place", F.lit(1).alias("part"), "series_key", entry.alias("line")
-    )
+    now = f"{datetime.now(timezone.utc):%Y-%m-%dT%H:%M:%SZ}"
+    frame = _json_frame(sender, action, message_id or str(uuid.uuid4()), prepared or now, [row["framework"] for row in found])
+
+    def text(*wanted) -> DataFrame:
+        """The fixed lines of those (section, place, part), in one partition."""
+        return spark.createDataFrame([(frame[w],) for w in wanted], "line string").coalesce(1)
+
+    entry = F.concat(F.lit('"'), F.col("series_key"), F.lit('":{"attributes":[],"observations":'), F.col("observations"), F.lit("}"))
+    parts = [text((0, 0, 0))]
+    for place, row in enumerate(found):
+        own = series.filter(F.col("framework").eqNullSafe(F.lit(row["framework"])))
+        first = F.col("series_key") == row["first"]
+        # The order of series says nothing, so the body is written as it lies; one series goes first, without a comma.
+        body = own.filter(~first).select(F.concat(F.lit(","), entry).alias("line"))
+        parts += [text((1, place, 0)), own.filter(first).select(entry.alias("line")).coalesce(1), body, text((1, place, 2))]
     places = F.create_map(*[F.lit(x) for i, c in enumerate(COMPONENTS) for x in (c, i)])
     code = F.to_json(F.struct("id", F.col("id").alias("name")))
     codes = dictionary.select(
-        F.lit(2).alias("section"),
         places[F.col("component")].alias("place"),
         F.lit(1).alias("part"),
         "position",
         F.concat(F.when(F.col("position") == 0, "").otherwise(","), code).alias("line"),
     )
-    now = f"{datetime.now(timezone.utc):%Y-%m-%dT%H:%M:%SZ}"
-    frame = _json_frame(df.sparkSession, sender, action, message_id or str(uuid.uuid4()), prepared or now, [row["framework"] for row in found])
-    document = body.unionByName(codes, allowMissingColumns=True).unionByName(frame, allowMissingColumns=True)
-    document.orderBy("section", "place", "part", "position", "series_key").select("line").write.text(path)
+    around = spark.createDataFrame([(place, part, 0, line) for (section, place, part), line in frame.items() if section == 2], "place int, part int, position int, line string")
+    parts += [text((1, len(found), 0)), codes.unionByName(around).orderBy("place", "part", "position").select("line"), text((3, 0, 0))]
+    # The partitions of a union follow one another, and so do its files.
+    reduce(DataFrame.union, parts).write.text(path)
     return path
 
 
@@ -400,7 +424,7 @@ class Export:
     left_out: int = 0
 
 
-# Format name: writer, media type, file extension.
+# Format name, with its writer, media type and file extension.
 FORMATS = {
     "sdmx-ml": (write_sdmx_ml, "application/xml", "xml"),
     "sdmx-json": (write_sdmx_json, "application/vnd.sdmx.data+json;version=2.0.0", "json"),
