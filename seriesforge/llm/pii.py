@@ -1,13 +1,15 @@
 """Personal data by weak supervision, with DataFrame expressions only.
 
 Candidates are the base spans (`BASE`, checked), base matches that fail their check, and spans of wider
-patterns (`WIDER`). Labelers vote +1, 0 or -1 on each: pattern, checksum, gazetteer, words before it
-that speak for or against, and its surroundings. Expectation-maximisation over the counted vote patterns
-estimates how reliable each labeler is and how likely each pattern is personal data; with those
-probabilities as soft labels a naive Bayes span classifier over other features (kind, shape, neighbours)
-is trained, and it decides about candidates that are not base spans. Base spans always stay.
-
-Sizes: vote patterns (at most 4 * 3**5) and feature values (under 100) are counts over all documents
+patterns (`WIDER`). Labelers vote +1, 0 (no opinion) or -1 on each: its shape, a check of its digits or its last
+domain, a gazetteer, words before it that speak for or against, its neighbours, and base spans near it. None of
+them votes on what it has not looked at. Expectation-maximisation over the counted vote patterns estimates how
+reliable each labeler is and how likely each pattern is personal data; it starts from what is known of the labelers
+(`START`) and of wider spans (`PRIOR`: few are personal data, so a pattern without a vote for it does not win by default).
+With those probabilities as soft labels a naive Bayes span classifier over features of the span and its surroundings
+is trained, apart for wider spans and for matches of base patterns, and decides about candidates that are not base spans. Base spans always stay.
+
+Sizes: vote patterns (at most 6 * 3**6) and feature values (under 100) are counts over all documents
 and the only rows that reach the driver. Nothing is shuffled but those counts.
 
 Offsets count code points, ends are exclusive. A null or empty text has no spans. Repeated rows are
@@ -61,11 +63,21 @@ FOR = {
     "card": r"(?i)(?:card|karte|tarjeta|carte|visa|mastercard|amex|payment)\W{0,3}(?:n[ro]\.?|number|nummer)?\W{0,3}$",
     "phone": r"(?i)(?:phone|tel|telefon|tel[eé]fono|t[eé]l[eé]phone|call|mobile|mobil|fax|ruf|llame)\W{0,3}$",
 }
-AGAINST = r"(?i)(?:version|license|order|invoice|isbn|issn|serial|build|release|id|no\.|nr\.|§|page|section|chapter|figure)\W{0,3}$"
-BEFORE, AFTER = 24, 1
-
-VOTES = ("v_pattern", "v_check", "v_gazetteer", "v_context", "v_around")
-FEATURES = ("kind", "size", "digits", "groups", "left", "right")
+AGAINST = r"(?i)(?:version|license|order|invoice|isbn|issn|serial|part|item|model|build|release|id|no\.|nr\.|§|page|section|chapter|figure)\W{0,3}$"
+#: What a wider match must be like to pass its check: a last domain of letters; an area code and an exchange of a numbering plan.
+WIDER_CHECK = {"email": r"(?:\.|dot ?[\])]) ?[A-Za-z]{2,}$", "phone": r"^\(?[2-9][0-9]{2}\)?[ .-]?[2-9][0-9]{2}[ .-]"}
+#: Code points before a span that are read, after it, and around it in which a base span counts as near.
+BEFORE, AFTER, NEAR = 24, 1, 60
+
+VOTES = ("v_pattern", "v_check", "v_gazetteer", "v_context", "v_around", "v_near")
+FEATURES = ("kind", "size", "digits", "groups", "left", "right", "before", "near")
+
+#: Where estimation starts: P(vote +1 | personal data), P(vote +1 | not), of a labeler that votes.
+START = {"v_pattern": (0.9, 0.5), "v_check": (0.97, 0.5), "v_gazetteer": (0.9, 0.6), "v_context": (0.95, 0.1), "v_around": (0.95, 0.7), "v_near": (0.9, 0.4)}
+#: Share of personal data among the candidates of a kind at the start; "~" marks the wider pattern. Any other kind: a half.
+PRIOR = {"email~": 0.3, "phone~": 0.1}
+#: Votes that the start counts for when the reliability of a labeler is estimated.
+TRUST = 10
 
 _BLOCK = 256
 
@@ -138,12 +150,13 @@ def _bucket(n: Column, *limits: int) -> Column:
     return found
 
 
-def _candidate(text: str, kind: str, span: Column, is_base: Column, checked: Column) -> Column:
+def _candidate(text: str, kind: str, span: Column, is_base: Column, shape: int, check: Column, wide: bool, near: Column) -> Column:
+    """A span with its votes and features; `shape` and `check` are the votes on its shape and its check."""
     piece = span["piece"]
     before = F.substring(F.col(text), F.greatest(span["start"] - BEFORE + 1, F.lit(1)), F.least(span["start"], F.lit(BEFORE)))
     left, right = F.substring(before, -1, 1), F.substring(F.col(text), span["stop"] + 1, F.lit(AFTER))
     digits = F.length(_digits(piece))
-    against = before.rlike(AGAINST)
+    speaks_for, against = before.rlike(FOR[kind]), before.rlike(AGAINST)
     glued = left.rlike("[A-Za-z0-9_/=]") | right.rlike("[A-Za-z0-9_/=]")
     return F.struct(
         span["start"].alias("start"),
@@ -151,12 +164,14 @@ def _candidate(text: str, kind: str, span: Column, is_base: Column, checked: Col
         span["stop"].alias("stop"),
         F.lit(kind).alias("kind"),
         is_base.alias("base"),
+        F.lit(wide).alias("wide"),
         F.struct(
-            _sign(is_base, F.lit(False)).alias("v_pattern"),
-            _sign(checked, ~checked).alias("v_check"),
+            F.lit(shape).cast("tinyint").alias("v_pattern"),
+            check.cast("tinyint").alias("v_check"),
             _sign(piece.rlike(GAZETTEER[kind]), F.lit(False)).alias("v_gazetteer"),
-            _sign(before.rlike(FOR[kind]), against).alias("v_context"),
+            _sign(speaks_for, against).alias("v_context"),
             _sign(~glued, glued).alias("v_around"),
+            _sign(near, F.lit(False)).alias("v_near"),
         ).alias("votes"),
         F.struct(
             F.lit(kind).alias("kind"),
@@ -165,6 +180,8 @@ def _candidate(text: str, kind: str, span: Column, is_base: Column, checked: Col
             _bucket(F.size(F.split(piece, "[^A-Za-z0-9]+")), 1, 2, 3, 4, 5).alias("groups"),
             _neighbour(left).alias("left"),
             _neighbour(right).alias("right"),
+            F.when(against, "against").when(speaks_for, "for").otherwise("neither").alias("before"),
+            F.when(near, "yes").otherwise("no").alias("near"),
         ).alias("features"),
     )
 
@@ -178,13 +195,17 @@ def _judged(kind: str) -> Column:
 
 
 def _of_base(text: str, kind: str) -> Column:
-    return F.transform(f"_j_{kind}", lambda x: _candidate(text, kind, x["s"], x["good"], x["good"]))
+    """Base matches: all have the shape; the check votes where there is one."""
+    checked = (lambda x: F.lit(0)) if kind == "email" else (lambda x: _sign(x["good"], ~x["good"]))
+    return F.transform(f"_j_{kind}", lambda x: _candidate(text, kind, x["s"], x["good"], 1, checked(x), False, F.lit(False)))
 
 
 def _of_wider(text: str, kind: str) -> Column:
-    """Matches of the wider pattern that touch no base span."""
-    apart = F.filter(f"_w_{kind}", lambda s: ~F.exists("_base", lambda b: (b["s"]["start"] < s["stop"]) & (s["start"] < b["s"]["stop"])))
-    return F.transform(apart, lambda s: _candidate(text, kind, s, F.lit(False), F.lit(True)))
+    """Matches of the wider pattern that touch no base span. Words for signs are a shape of their own; three groups of digits are not."""
+    within = lambda s, more: F.exists("_base", lambda b: (b["s"]["start"] < s["stop"] + more) & (s["start"] - more < b["s"]["stop"]))
+    apart = F.filter(f"_w_{kind}", lambda s: ~within(s, 0))
+    passed = lambda s: s["piece"].rlike(WIDER_CHECK[kind])
+    return F.transform(apart, lambda s: _candidate(text, kind, s, F.lit(False), int(kind == "email"), _sign(passed(s), ~passed(s)), True, within(s, NEAR)))
 
 
 def candidates(docs: DataFrame, text: str = "text", out: str = "_spans") -> DataFrame:
@@ -202,52 +223,69 @@ def candidates(docs: DataFrame, text: str = "text", out: str = "_spans") -> Data
 
 @dataclass
 class Model:
-    """Log odds of the span classifier: a start, and a weight for every value of every feature."""
+    """Log odds of the span classifier, apart for wider spans (True) and matches of base patterns (False): a start, and
+    a weight for every value of every feature."""
 
-    start: float = -10.0
-    weights: dict[str, dict[str, float]] = field(default_factory=dict)
-    reliability: dict[str, dict[int, tuple[float, float]]] = field(default_factory=dict)
+    start: dict[bool, float] = field(default_factory=lambda: {False: -10.0, True: -10.0})
+    weights: dict[bool, dict[str, dict[str, float]]] = field(default_factory=dict)
+    reliability: dict[str, dict[str, dict[int, tuple[float, float]]]] = field(default_factory=dict)
 
-    def score(self, features: Column) -> Column:
-        def weight(name):
-            table = self.weights.get(name)
+    def score(self, span: Column) -> Column:
+        def weight(wide, name):
+            table = self.weights.get(wide, {}).get(name)
             if not table:
                 return F.lit(0.0)
             known = F.create_map(*[F.lit(x) for pair in sorted(table.items()) for x in pair])
-            return F.coalesce(F.try_element_at(known, features[name]), F.lit(0.0))
+            return F.coalesce(F.try_element_at(known, span["features"][name]), F.lit(0.0))
 
-        return reduce(lambda a, name: a + weight(name), FEATURES, F.lit(self.start))
+        total = {wide: reduce(lambda a, name: a + weight(wide, name), FEATURES, F.lit(self.start[wide])) for wide in (False, True)}
+        return F.when(span["wide"], total[True]).otherwise(total[False])
 
 
 def expectation_maximisation(counts: dict[tuple, int], rounds: int = 40) -> tuple[dict[tuple, float], dict]:
-    """Probability that each pattern (kind, votes...) is personal data, and P(vote | class) of every labeler.
+    """Probability that each pattern (kind, votes...) is personal data, and P(vote | class) of every labeler by kind.
 
-    A labeler that abstains (0) says nothing. Starts from labelers that are mostly right, which also settles
-    which class is which.
+    A labeler that abstains (0) says nothing. Starts from `START` and `PRIOR`; a labeler with few votes keeps what it
+    starts with, and none is ever taken to be right less often than wrong, so the classes cannot change places. The
+    share of personal data is estimated by kind, but stays `PRIOR` for wider spans without a word or a base span near.
     """
-    table = {name: {-1: (0.1, 0.8), 1: (0.9, 0.2)} for name in VOTES}
-    prior = defaultdict(lambda: 0.5)
+    told = [1 + VOTES.index(name) for name in ("v_context", "v_near")]
+
+    def group(pattern: tuple) -> tuple:
+        return pattern[0], pattern[0] in PRIOR and not any(pattern[i] for i in told)
+
+    kinds = {pattern[0] for pattern in counts}
+    table = {kind: {name: {1: (yes, no), -1: (1 - yes, 1 - no)} for name, (yes, no) in START.items()} for kind in kinds}
+    prior = {group(pattern): PRIOR.get(pattern[0], 0.5) for pattern in counts}
     believed: dict[tuple, float] = {}
     for _ in range(rounds):
         for pattern in counts:
-            odds = math.log(prior[pattern[0]] / (1 - prior[pattern[0]]))
-            odds += sum(math.log(table[name][v][0] / table[name][v][1]) for name, v in zip(VOTES, pattern[1:]) if v)
+            kind = pattern[0]
+            odds = math.log(prior[group(pattern)] / (1 - prior[group(pattern)]))
+            odds += sum(math.log(table[kind][name][v][0] / table[kind][name][v][1]) for name, v in zip(VOTES, pattern[1:]) if v)
             believed[pattern] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
-        for kind in {pattern[0] for pattern in counts}:
-            own = [(believed[p], n) for p, n in counts.items() if p[0] == kind]
-            prior[kind] = min(0.99, max(0.01, (1 + sum(b * n for b, n in own)) / (2 + sum(n for _, n in own))))
-        for place, name in enumerate(VOTES, 1):
-            voted = {v: [(believed[p], n) for p, n in counts.items() if p[place] == v] for v in (-1, 1)}
-            yes = {v: 1 + sum(b * n for b, n in rows) for v, rows in voted.items()}
-            no = {v: 1 + sum((1 - b) * n for b, n in rows) for v, rows in voted.items()}
-            table[name] = {v: (yes[v] / (yes[-1] + yes[1]), no[v] / (no[-1] + no[1])) for v in (-1, 1)}
+        for kind in kinds:
+            own = [(p, believed[p], n) for p, n in counts.items() if p[0] == kind]
+            if (kind, False) in prior:
+                inside = [(b, n) for p, b, n in own if not group(p)[1]]
+                start = PRIOR.get(kind, 0.5)
+                prior[kind, False] = min(0.99, max(0.01, (TRUST * start + sum(b * n for b, n in inside)) / (TRUST + sum(n for _, n in inside))))
+            for place, name in enumerate(VOTES, 1):
+                up = []
+                for start, belief in zip(START[name], (lambda b: b, lambda b: 1 - b)):
+                    voted = {v: sum(belief(b) * n for p, b, n in own if p[place] == v) for v in (-1, 1)}
+                    up.append((TRUST * start + voted[1]) / (TRUST + voted[1] + voted[-1]))
+                if up[0] < up[1]:
+                    up = [sum(up) / 2] * 2
+                table[kind][name] = {1: tuple(up), -1: tuple(1 - x for x in up)}
     return believed, table
 
 
 def train(spans: DataFrame, column: str = "_spans") -> Model:
     """The model of all candidate spans of all documents."""
-    rows = spans.select(F.explode(column).alias("s")).select("s.kind", "s.votes.*", F.col("s.features").alias("f"))
-    counted = rows.groupBy("kind", *VOTES).count().collect()  # at most 4 * 3**5 rows
+    group = F.when(F.col("s.wide"), F.concat("s.kind", F.lit("~"))).otherwise(F.col("s.kind")).alias("kind")
+    rows = spans.select(F.explode(column).alias("s")).select(group, "s.wide", "s.votes.*", F.col("s.features").alias("f"))
+    counted = rows.groupBy("kind", *VOTES).count().collect()  # at most 6 * 3**6 rows
     if not counted:
         return Model()
     believed, table = expectation_maximisation({tuple(r)[:-1]: r["count"] for r in counted})
@@ -255,23 +293,27 @@ def train(spans: DataFrame, column: str = "_spans") -> Model:
     belief = F.create_map(*[F.lit(x) for p, b in sorted(believed.items()) for x in (",".join(map(str, p)), b)])
     features = F.explode(F.array(*[F.struct(F.lit(name).alias("feature"), F.col("f")[name].alias("value")) for name in FEATURES])).alias("x")
     # Per pattern, not per span: the soft label is a function of the pattern.
-    sums = rows.select(key.alias("key"), features).groupBy("key", "x.feature", "x.value").count()
+    sums = rows.select(key.alias("key"), "wide", features).groupBy("key", "wide", "x.feature", "x.value").count()
     soft = F.element_at(belief, F.col("key"))
-    per_value = sums.groupBy("feature", "value").agg(F.sum(soft * F.col("count")).alias("yes"), F.sum((1 - soft) * F.col("count")).alias("no")).collect()
-    by_feature = defaultdict(dict)
-    for r in per_value:
-        by_feature[r.feature][r.value] = (r.yes, r.no)
-    yes, no = (sum(x[i] for x in by_feature["kind"].values()) for i in (0, 1))
-    weights = {
-        name: {value: math.log((a + 1) / (yes + len(values))) - math.log((b + 1) / (no + len(values))) for value, (a, b) in values.items()}
-        for name, values in by_feature.items()
-    }
-    return Model(math.log((yes + 1) / (no + 1)), weights, table)
+    per_value = sums.groupBy("wide", "feature", "value").agg(F.sum(soft * F.col("count")).alias("yes"), F.sum((1 - soft) * F.col("count")).alias("no")).collect()
+    model = Model(reliability=table)
+    for wide in {r.wide for r in per_value}:
+        by_feature = defaultdict(dict)
+        for r in per_value:
+            if r.wide == wide:
+                by_feature[r.feature][r.value] = (r.yes, r.no)
+        yes, no = (sum(x[i] for x in by_feature["kind"].values()) for i in (0, 1))
+        model.start[wide] = math.log((yes + 1) / (no + 1))
+        model.weights[wide] = {
+            name: {value: math.log((a + 1) / (yes + len(values))) - math.log((b + 1) / (no + len(values))) for value, (a, b) in values.items()}
+            for name, values in by_feature.items()
+        }
+    return model
 
 
 def decide(spans: DataFrame, model: Model, column: str = "_spans") -> DataFrame:
     """`spans` with only base spans and those the classifier takes in `column`."""
-    return spans.withColumn(column, F.filter(column, lambda s: s["base"] | (model.score(s["features"]) > 0)))
+    return spans.withColumn(column, F.filter(column, lambda s: s["base"] | (model.score(s) > 0)))
 
 
 def listed(spans: Column) -> Column:
