@@ -3,7 +3,7 @@
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from seriesforge.model import DIMENSIONS, REPORTER, RULE_COLUMNS, WILDCARD
 from seriesforge.sources.staging import stage
@@ -71,17 +71,23 @@ def component_rows(parsed: DataFrame) -> DataFrame:
     ).select("check_no", "dims", (F.col("at") + 1).alias("component_no"), "codes")
 
 
+WORD = 64
+
+
 @dataclass(frozen=True)
 class Rulebook:
-    """Match terms of a rulebook, with what planning needs to know about it.
+    """Match terms of a rulebook, and a bitmap index of them.
 
-    `terms` has one row per side of a rule: rule_id, check_no, rule_mask (its dimensions as bits),
-    is_total, shape (the dimensions the term fixes, as bits) and match_key (their codes).
-    `shapes` are the distinct shapes, fewer than 2048 by construction.
+    `terms` has one row per side of a rule: term (a number from 0), rule_id, check_no, rule_mask (its dimensions as
+    bits) and is_total. `bitmaps` has, for each dimension that some term fixes and each code it is fixed to, the terms
+    that allow the code as bits of `words` 64-bit words; terms that leave the dimension open are in every bitmap of it.
+    `open_terms` gives these alone, for a code no term names. A key matches the terms in all its bitmaps.
     """
 
     terms: DataFrame
-    shapes: tuple
+    bitmaps: DataFrame
+    open_terms: dict
+    words: int
     spans_reporters: bool
 
 
@@ -90,8 +96,14 @@ def _mask(has_bit):
     return reduce(lambda a, b: a + b, bits)
 
 
+def _words(entries, words: int):
+    """An array of words from an array of (word, bits)."""
+    bits_of = F.map_from_entries(entries)
+    return F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda w: F.coalesce(F.try_element_at(bits_of, w), F.lit(0).cast("long")))
+
+
 def compile_rules(parsed: DataFrame) -> Rulebook:
-    """Write the match terms of a parsed rulebook and read back their shapes."""
+    """Write the match terms of a parsed rulebook, and the bitmaps over them."""
     # Ids only have to differ; they are fixed by the write below. A rule that is listed twice has
     # two ids and is judged twice, with one outcome.
     numbered = parsed.withColumn("rule_id", F.monotonically_increasing_id())
@@ -100,26 +112,35 @@ def compile_rules(parsed: DataFrame) -> Rulebook:
         F.array(F.struct(F.lit(True).alias("is_total"), F.col("aggregate").alias("codes"))),
         F.transform("components", lambda c: F.struct(F.lit(False).alias("is_total"), c.alias("codes"))),
     )
-    side = numbered.select(
-        "rule_id", "check_no", rule_mask.alias("rule_mask"), F.inline(sides)
-    )
-    fixed = {d: F.nullif(F.try_element_at("codes", F.lit(d)), F.lit(WILDCARD)) for d in DIMENSIONS}
-    terms = stage(
-        side.select(
-            "rule_id",
-            "check_no",
-            "rule_mask",
-            "is_total",
-            _mask(lambda d: fixed[d].isNotNull()).alias("shape"),
-            F.concat_ws(".", *fixed.values()).alias("match_key"),
-        ),
-        "terms",
-    )
+    side = numbered.select("rule_id", "check_no", rule_mask.alias("rule_mask"), F.posexplode(sides).alias("side", "s"))
+    fixed = F.map_filter("s.codes", lambda d, code: code != WILDCARD)
+    listed = stage(side.select("rule_id", "side", "check_no", "rule_mask", "s.is_total", fixed.alias("fixed")), "term-list")
+    # A rulebook is a list that people keep, so numbering it is one small sort.
+    term = (F.row_number().over(Window.orderBy("rule_id", "side")) - 1).alias("term")
+    terms = stage(listed.select(term, "rule_id", "check_no", "rule_mask", "is_total", "fixed"), "terms")
     facts = terms.agg(
-        F.collect_set("shape").alias("shapes"),
+        F.count(F.lit(1)).alias("n"),
+        F.array_distinct(F.flatten(F.collect_set(F.map_keys("fixed")))).alias("dims"),
         F.bool_or(F.col("rule_mask").bitwiseAND(REPORTER_BIT) != 0).alias("spans"),
     ).first()
-    return Rulebook(terms, tuple(sorted(facts["shapes"])), bool(facts["spans"]))
+    words = max(1, -(-facts["n"] // WORD))
+    place = (F.col("term") / WORD).cast("int").alias("word")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("term") % WORD)
+    open_terms, maps = {}, []
+    for d in sorted(facts["dims"], key=DIMENSIONS.index):
+        code = F.try_element_at("fixed", F.lit(d))
+        found = terms.filter(code.isNull()).groupBy(place).agg(F.bit_or(bit).alias("bits")).collect()  # a row per word
+        held = [0] * words
+        for row in found:
+            held[row["word"]] = row["bits"]
+        open_terms[d] = held
+        allowed = terms.filter(code.isNotNull()).groupBy(code.alias("code"), place).agg(F.bit_or(bit).alias("bits"))
+        named = allowed.groupBy("code").agg(_words(F.collect_list(F.struct("word", "bits")), words).alias("own"))
+        both = F.zip_with("own", F.array(*[F.lit(x).cast("long") for x in held]), lambda a, b: a.bitwiseOR(b))
+        maps.append(named.select(F.lit(d).alias("dimension"), "code", both.alias("bits")))
+    empty = parsed.sparkSession.createDataFrame([], "dimension string, code string, bits array<long>")
+    bitmaps = stage(reduce(DataFrame.union, maps), "term-bitmaps") if maps else empty
+    return Rulebook(terms.drop("fixed"), bitmaps, open_terms, words, bool(facts["spans"]))
 
 
 def load(wide: DataFrame) -> Rulebook:

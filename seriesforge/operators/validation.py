@@ -1,12 +1,14 @@
 """Cross-checks of a batch, and the verdict each country-period receives as a whole."""
 
-from pyspark.sql import DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from seriesforge.functions.keys import segment
 from seriesforge.functions.values import exact
 from seriesforge.model import BATCH_COLUMNS, DIMENSIONS, KEY, PUBLISHED, QUARANTINE, REPORTER, TOLERANCE
 from seriesforge.operators.keycheck import assert_keys
-from seriesforge.operators.rules import Rulebook
+from seriesforge.operators.rules import WORD, Rulebook
 from seriesforge.sources.staging import stage
 
 CONTEXT = ("rule_id", "check_no", "context", "DATE", "IBS_AGG")
@@ -16,27 +18,46 @@ def _clean_dimensions(df: DataFrame) -> DataFrame:
     return df.withColumns({d: F.upper(F.trim(segment(F.col(KEY), d))) for d in DIMENSIONS})
 
 
-def _matches(df: DataFrame, book: Rulebook) -> DataFrame:
-    """Each observation beside every rule term it matches.
+def with_terms(rows: DataFrame, book: Rulebook) -> DataFrame:
+    """Rows with `matched`: the terms each matches, as words of bits. No row is added or dropped.
 
-    A term fixes some dimensions and leaves the rest open. For each shape (set of fixed
-    dimensions) an observation has exactly one key, so matching is an equality join. The terms
-    are a written table: Spark broadcasts it while it is below the session's size limit and
-    shuffles, splitting skewed partitions, beyond it.
+    A row looks up one bitmap per dimension that some term fixes, and the AND of them is what it matches. The bitmaps
+    of a dimension are a written table: Spark broadcasts it while it is below the session's size limit.
     """
-    keys = F.array(
-        *[
-            F.struct(
-                F.lit(shape).alias("shape"),
-                F.concat_ws(".", *[F.col(d) for i, d in enumerate(DIMENSIONS) if shape >> i & 1]).alias("match_key"),
-            )
-            for shape in book.shapes or (0,)
-        ]
-    )
-    rows = _clean_dimensions(df).select(
-        *DIMENSIONS, "DATE", "IBS_AGG", exact(F.col("OBS_VALUE")).alias("amount"), F.inline(keys)
-    )
-    matched = rows.join(book.terms, ["shape", "match_key"])
+    if not book.open_terms:  # no term fixes anything: every term matches
+        numbers = book.terms.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+        every = [((1 << min(max(numbers - WORD * w, 0), WORD)) - 1) for w in range(book.words)]
+        return rows.withColumn("matched", _literal(every))
+    found = []
+    for d, held in book.open_terms.items():
+        codes = book.bitmaps.filter(F.col("dimension") == d).select(F.col("code").alias(d), F.col("bits").alias(f"bits_{d}"))
+        rows = rows.join(codes, d, "left")
+        found.append(F.coalesce(f"bits_{d}", _literal(held)))
+    if book.words == 1:
+        matched = F.array(reduce(lambda a, b: a.bitwiseAND(b), [F.element_at(bits, 1) for bits in found]))
+    else:
+        matched = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x.bitwiseAND(y)), found)
+    return rows.withColumn("matched", matched).drop(*[f"bits_{d}" for d in book.open_terms])
+
+
+def _literal(words) -> Column:
+    signed = [w - (1 << WORD) if w >= 1 << (WORD - 1) else w for w in words]
+    return F.array(*[F.lit(w).cast("long") for w in signed])
+
+
+def _matches(df: DataFrame, book: Rulebook) -> DataFrame:
+    """Each observation beside every rule term it matches; observations without a match go before anything is multiplied."""
+    rows = _clean_dimensions(df).select(*DIMENSIONS, "DATE", "IBS_AGG", exact(F.col("OBS_VALUE")).alias("amount"))
+    some = with_terms(rows, book).filter(F.exists("matched", lambda w: w != 0))
+    bits = F.sequence(F.lit(0), F.lit(WORD - 1))
+    is_set = lambda word, bit: F.call_function("shiftrightunsigned", word, bit).bitwiseAND(F.lit(1).cast("long")) == 1
+
+    def numbers_of(word, at):
+        of_word = F.transform(F.filter(bits, lambda bit: is_set(word, bit)), lambda bit: at * WORD + bit)
+        return F.when(word == 0, F.array().cast("array<int>")).otherwise(of_word)
+
+    numbers = F.transform("matched", numbers_of)
+    matched = some.withColumn("term", F.explode(F.flatten(numbers))).drop("matched").join(book.terms, "term")
     # The context of a rule is the key with the rule's own dimensions blanked out.
     open_dims = [
         F.when(F.col("rule_mask").bitwiseAND(1 << i) == 0, F.col(d)).otherwise(F.lit("*"))

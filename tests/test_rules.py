@@ -69,6 +69,31 @@ def naive(rows, book):
     return {batch: ",".join(sorted(checks)) for batch, checks in failed.items()}
 
 
+def test_thousands_of_rules(spark):
+    """2,000 random rules of many shapes beside nested loops; no row is multiplied before it has found its terms."""
+    chance = random.Random(9)
+    values = {"L_DENOM": ["TO1", "USD", "EUR", "UN9", "JPY"], "L_CURR_TYPE": list("ADFU"), "L_REP_CTY": ["CA", "US", "GB", "NO"], "L_CP_SECTOR": list("ABNM"), "L_POSITION": list("CL"), "L_INSTR": list("ADG")}
+    names = list(values)
+    rows = []
+    for _ in range(400):
+        codes = dict(zip(DIMENSIONS, "Q S C A TO1 A 5J A CA A 5J".split())) | {d: chance.choice(v + ["Z"]) for d, v in values.items()}
+        rows.append((".".join(codes.values()), "2026-Q1", "LBSR", float(chance.randrange(5))))
+    table = []
+    for n in range(2000):
+        dims = sorted(chance.sample(names, chance.randrange(1, 4)), key=DIMENSIONS.index)
+        cell = lambda: ":".join(chance.choice(values[d] + ["ISO"]) for d in dims)
+        table.append((f"R{n:04d}", "", " and ".join(str(DIMENSIONS.index(d) + 1) for d in dims), cell(), "", *(cell() for _ in range(4))))
+    schema = WIDE.rsplit(", c1", 1)[0] + "".join(f", p{i} string" for i in range(4))
+    wide = spark.createDataFrame(table, schema)
+    book = rules.load(wide)
+    assert book.terms.count() == 10_000 and book.words == 157
+    batch = spark.createDataFrame(rows, "TIME_SERIES_CODE string, DATE string, IBS_AGG string, OBS_VALUE double").repartition(4)
+    assert validation.with_terms(validation._clean_dimensions(batch), book).count() == 400
+    got = validation.verdicts(batch, book).collect()
+    parsed = [(r["check_no"], r["dims"], r["aggregate"], r["components"]) for r in rules.parse(wide).collect()]
+    assert {(r["L_REP_CTY"], r["DATE"]): r["FAILED_RULE_ID"] for r in got} == naive(rows, parsed)
+
+
 BOOKS = {
     "currency and sector": [
         ("C1", "5 and 6", "TO1:A", ["[ISO:D]", "TO1:F", "UN9:U"]), ("C2", "5 and 6", "TO1:F", ["USD:F", "EUR:F"]),
