@@ -121,8 +121,8 @@ def verdicts(df: DataFrame, book: Rulebook) -> DataFrame:
     )
 
 
-def apply_verdicts(df: DataFrame, failing: DataFrame) -> DataFrame:
-    """Mark every row of a failing country-period, and publish the rest."""
+def apply_verdicts(df: DataFrame, failing: DataFrame, more: tuple = ()) -> DataFrame:
+    """Mark every row of a failing country-period, and publish the rest; columns of `more` are kept in front."""
     reporter = F.upper(F.trim(segment(F.col(KEY), REPORTER)))
     judged = df.withColumn(REPORTER, reporter).join(failing, [REPORTER, "DATE"], "left")
     failed = F.col("FAILED_RULE_ID").isNotNull()
@@ -131,7 +131,7 @@ def apply_verdicts(df: DataFrame, failing: DataFrame) -> DataFrame:
             "QUALITY_STATUS": F.when(failed, "FAIL").otherwise("PASS"),
             "BATCH_STATUS": F.when(failed, QUARANTINE).otherwise(PUBLISHED),
         }
-    ).select(*BATCH_COLUMNS)
+    ).select(*more, *BATCH_COLUMNS)
 
 
 def validate(df: DataFrame, book: Rulebook, staged: bool = False) -> DataFrame:

@@ -6,7 +6,7 @@ from seriesforge.functions.keys import segment
 from seriesforge.model import CODE_COLUMNS, DIMENSIONS, KEY, REPORTER, RESULT_COLUMNS, SERIES_KEYS
 from seriesforge.operators import disclosure, governance, keycheck, ledger, rules, search, validation
 from seriesforge.operators import history as scd2
-from seriesforge.plans import cycle, testbed
+from seriesforge.plans import cycle, intake, testbed
 from seriesforge.sources import exports, feeds, ledger_store, submissions
 from seriesforge.sources.history_store import HistoryStore
 from seriesforge.sources.staging import fresh_path, stage
@@ -446,6 +446,13 @@ def q_submission_scan(spark, sf_dir):
     return submissions.read_submissions(spark, f"{path}/messages")
 
 
+def q_submission_validate(spark, sf_dir):
+    """Messages of five countries, some with broken totals, from files to decisions."""
+    batch = stage(testbed.reported(spark, sf_dir), "submission")
+    path = submissions.write_submissions(batch, fresh_path(spark, "submissions"), STATES, testbed.BASELINE_AT)
+    return intake.judge(spark, f"{path}/messages", testbed.rulebook(spark)).decisions
+
+
 def _exported(spark, sf_dir):
     """Everything a researcher may see of the current rows."""
     return search.matching(testbed.history(spark, sf_dir), search.SeriesFilter.build(), RESEARCHER)

@@ -29,13 +29,6 @@ def observations(rows: DataFrame) -> DataFrame:
     return ledger.with_normal_status(ledger.rollup(rows))
 
 
-def judge(rows: DataFrame, book: Rulebook) -> DataFrame:
-    """Ledger rows to a validated batch."""
-    normal = ledger.normalise(rows)
-    ledger.assert_codelist(normal)
-    return validation.validate(observations(normal), book)
-
-
 def process(submission: Submission, book: Rulebook, store: HistoryStore, ledger_path: str, framework=None):
     """Take one submission into ledger and history; returns the batch summary.
 

@@ -440,6 +440,8 @@ FROM (SELECT * REPLACE ('{instrument}' AS instrument) FROM micro WHERE sector_co
         "q_scd2_replay": _with("SELECT 'kept' AS change, count(*) AS row_count FROM changes", "changes"),
         "q_scd2_micro": _with("SELECT * EXCLUDE (BATCH_STATUS) FROM bank_history", "bank_history"),
         "q_scd2_micro_one_country": _with("SELECT * EXCLUDE (BATCH_STATUS) FROM bank_history_ca", "bank_history_ca"),
+        "q_submission_validate": _with(
+            f'SELECT {_seg(9)} AS SUBMITTING_COUNTRY, "DATE", BATCH_STATUS, FAILED_RULE_ID, count(*) AS row_count FROM validated GROUP BY ALL', "validated"),
         "q_store_two_cycles": _with(f"SELECT {_VERSIONS} FROM stored_history", "stored_history"),
         "q_store_read_periods": _with(
             f"SELECT {_VERSIONS} FROM stored_history WHERE \"DATE\" IN ('1994-Q2', '1996-Q1', '1996-Q4')", "stored_history"),

@@ -1,15 +1,17 @@
 import glob
 import json
 import math
+import os
 import xml.etree.ElementTree as ET
 
 import pytest
 from pyspark.sql import functions as F
 
 from seriesforge.errors import ExportError, NothingToExport, SubmissionError
-from seriesforge.operators import keycheck
+from seriesforge.operators import disclosure, keycheck
+from seriesforge.plans import intake, testbed
 from seriesforge.sources import exports, feeds, submissions
-from tests.scenario import feed_rows, key
+from tests.scenario import FEED_OUTCOME, feed_rows, key
 
 SCHEMA = "TIME_SERIES_CODE string, DATE string, IBS_AGG string, OBS_VALUE double, OBS_STATUS string, OBS_CONF string, BATCH_STATUS string"
 K1, K2 = key("CA", "CAD", "D"), key("US", "USD", "F")
@@ -148,6 +150,29 @@ def test_submissions_of_others(spark, tmp_path):
         submissions.assert_not_empty(submissions.read_submissions(spark, f"{tmp_path}/CA_submission_*.xml"))
 
 
+def test_files_to_verdict(spark, tmp_path):
+    """The feed's countries as messages, one of them in the nested shape: decided as the feed itself is."""
+    feed = spark.createDataFrame(feed_rows(), "TIME_SERIES_CODE string, BANK_CODE string, DATE string, IBS_AGG string, OBS_VALUE double")
+    batch = disclosure.rollup(feed)
+    messages = submissions.write_submissions(batch.filter("TIME_SERIES_CODE not like '%.NZ.%'"), str(tmp_path / "s"), {"PT": "Break in Series"}) + "/messages"
+    series = "".join(
+        "<Series " + " ".join(f'{d}="{v}"' for d, v in zip(exports.DIMENSIONS, r["TIME_SERIES_CODE"].split("."))) + f'><Obs TIME_PERIOD="{r["DATE"]}" OBS_VALUE="{r["OBS_VALUE"]}"/></Series>'
+        for r in batch.filter("TIME_SERIES_CODE like '%.NZ.%'").collect()
+    )
+    os.makedirs(f"{messages}/SUBMISSION=nz_submission_2026_Q1")
+    with open(f"{messages}/SUBMISSION=nz_submission_2026_Q1/m.xml", "w") as file:
+        file.write(f"<m:S xmlns:m='urn:x'><m:DataSet>{series}</m:DataSet></m:S>")
+    found = intake.judge(spark, messages, testbed.rulebook(spark))
+    decided = {r["SUBMITTING_COUNTRY"]: (r["row_count"], r["BATCH_STATUS"], r["FAILED_RULE_ID"]) for r in found.decisions.collect()}
+    assert decided == {c: (n, "QUARANTINE" if checks else "PUBLISHED", checks) for c, (n, _, checks) in FEED_OUTCOME.items()}
+    assert {r["OBS_STATUS"] for r in found.rows.filter("SUBMITTING_COUNTRY = 'NZ'").collect()} == {"A"}
+    assert {r["OBS_STATUS"] for r in found.rows.filter("SUBMITTING_COUNTRY = 'PT'").collect()} == {"B"}
+    os.makedirs(tmp_path / "none")
+    (tmp_path / "none" / "xx_submission_2026_Q1.xml").write_text("<m:S xmlns:m='urn:x'/>")
+    with pytest.raises(SubmissionError):
+        intake.judge(spark, f"{tmp_path}/none", testbed.rulebook(spark))
+
+
 def test_feed_and_rulebook_files(spark, tmp_path):
     feed = spark.createDataFrame(feed_rows(), "TIME_SERIES_CODE string, BANK_CODE string, DATE string, IBS_AGG string, OBS_VALUE double")
     back = feeds.read_feed(spark, feeds.write_feed(feed, str(tmp_path / "f")))
