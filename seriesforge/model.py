@@ -133,6 +133,18 @@ HISTORY_SCHEMA = T.StructType(
     ]
 )
 
+# The history of bank-level values.
+MICRO_SCHEMA = T.StructType(
+    [T.StructField(f.name, f.dataType, True) for f in FEED_SCHEMA]
+    + [
+        T.StructField(REPORTER, T.StringType(), True),
+        T.StructField("version_hash", T.StringType(), True),
+        T.StructField("effective_start_date", T.TimestampType(), True),
+        T.StructField("effective_end_date", T.TimestampType(), True),
+        T.StructField("is_current", T.BooleanType(), True),
+    ]
+)
+
 # Columns a search returns ahead of the dimensions.
 RESULT_COLUMNS = (
     KEY,

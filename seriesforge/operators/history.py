@@ -211,6 +211,16 @@ def changes(
     return result.select("change", *columns)
 
 
+def widen(history: DataFrame, batch: DataFrame) -> DataFrame:
+    """The history with the columns a batch brings, NULL in all rows so far. They are carried, and tell no versions apart."""
+    known = {f.name: f.dataType for f in history.schema}
+    for field in batch.schema:
+        if known.get(field.name, field.dataType) != field.dataType:
+            raise SubmissionError(f"column {field.name} is {field.dataType.simpleString()} here and {known[field.name].simpleString()} in the history")
+    new = [f for f in batch.schema if f.name not in known]
+    return history.withColumns({f.name: F.lit(None).cast(f.dataType) for f in new}) if new else history
+
+
 def merge(history: DataFrame, batch: DataFrame, at, spec: HistorySpec = MACRO, **scope) -> DataFrame:
     """The history after the batch."""
     return changes(history, batch, at, spec, **scope).drop("change")

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from seriesforge.functions.keys import segment
-from seriesforge.model import CODE_COLUMNS, DIMENSIONS, KEY, REPORTER, RESULT_COLUMNS, SERIES_KEYS
+from seriesforge.model import CODE_COLUMNS, DIMENSIONS, KEY, MICRO_SCHEMA, REPORTER, RESULT_COLUMNS, SERIES_KEYS
 from seriesforge.operators import disclosure, governance, keycheck, ledger, rules, search, validation
 from seriesforge.operators import history as scd2
 from seriesforge.plans import cycle, intake, testbed
@@ -272,6 +272,17 @@ def q_store_read_periods(spark, sf_dir):
     return _versions(_store(spark, sf_dir).read(["1994-Q2", "1996-Q1", "1996-Q4"]))
 
 
+def q_store_micro_two_countries(spark, sf_dir):
+    """A stored bank-level history of two countries; one of them revises its data, with a column more."""
+    store = HistoryStore(spark, fresh_path(spark, "micro"), MICRO_SCHEMA, scd2.MICRO)
+    both = segment(F.col(KEY), REPORTER).isin("CA", "GB")
+    revised = _bank_feed(spark, sf_dir, testbed.LATE_LINES).filter(both & (segment(F.col(KEY), REPORTER) == "CA"))
+    for at, feed in ((testbed.BASELINE_AT, _bank_feed(spark, sf_dir).filter(both)), (testbed.REVISION_AT, revised.withColumn("channel", F.lit("web")))):
+        batch = stage(feed, "bank-feed")
+        cycle.take(store, batch, at, sorted(r[0] for r in batch.select("DATE").distinct().collect()))
+    return _micro_versions(store.read(), "channel")
+
+
 def q_store_compacted(spark, sf_dir):
     """The stored history after its closing rows were folded into the versions they end."""
     store = _store(spark, sf_dir)

@@ -29,6 +29,19 @@ def observations(rows: DataFrame) -> DataFrame:
     return ledger.with_normal_status(ledger.rollup(rows))
 
 
+def take(store: HistoryStore, batch: DataFrame, at: str, periods: list, framework=None) -> int:
+    """Merge a batch that has one row per key into those periods of a store; returns the new version."""
+    for left in reversed(range(ATTEMPTS)):
+        base = store.snapshot()
+        before = scd2.widen(store.read(periods, base, identified=True), batch)
+        changed = scd2.changes(before, batch, at, store.spec, periods=periods, framework=framework, check_unique=False)
+        try:
+            return store.append(changed, periods, base)
+        except CommitConflict:  # merge again, into what the faster writer left
+            if not left:
+                raise
+
+
 def process(submission: Submission, book: Rulebook, store: HistoryStore, ledger_path: str, framework=None):
     """Take one submission into ledger and history; returns the batch summary.
 
@@ -44,17 +57,7 @@ def process(submission: Submission, book: Rulebook, store: HistoryStore, ledger_
     periods = sorted(r[0] for r in batch.select("DATE").distinct().collect())
     if not periods:
         return validation.batch_summary(batch)
-    for left in reversed(range(ATTEMPTS)):
-        base = store.snapshot()
-        # A roll-up has one row per key.
-        before = store.read(periods, base, identified=True)
-        changed = scd2.changes(before, batch, submission.at, periods=periods, framework=framework, check_unique=False)
-        try:
-            store.append(changed, periods, base)
-            break
-        except CommitConflict:  # merge again, into what the faster writer left
-            if not left:
-                raise
+    take(store, batch, submission.at, periods, framework)
     return validation.batch_summary(batch)
 
 

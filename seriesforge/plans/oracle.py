@@ -445,6 +445,9 @@ FROM (SELECT * REPLACE ('{instrument}' AS instrument) FROM micro WHERE sector_co
         "q_store_two_cycles": _with(f"SELECT {_VERSIONS} FROM stored_history", "stored_history"),
         "q_store_read_periods": _with(
             f"SELECT {_VERSIONS} FROM stored_history WHERE \"DATE\" IN ('1994-Q2', '1996-Q1', '1996-Q4')", "stored_history"),
+        "q_store_micro_two_countries": _with(
+            f"SELECT * EXCLUDE (BATCH_STATUS), CASE WHEN effective_start_date = {T2} THEN 'web' END AS channel FROM bank_history_ca WHERE {_seg(9)} IN ('CA', 'GB')",
+            "bank_history_ca"),
         "q_store_compacted": _with(f"SELECT {_VERSIONS} FROM stored_history", "stored_history"),
         "q_store_rls_researcher": _stored(_MASK, _PUBLISHED),
         "q_store_rls_public": _stored(_MASK, _FREE),

@@ -12,7 +12,8 @@ open and closing rows together. A reader sees the state before a commit or after
 has read; when another one was faster it gets a `CommitConflict` and starts again.
 
 Beside each commit lie statistics of its files: least and greatest key, countries, statuses and flags. `scan` asks them
-which files a caller and a request can need at all. Rows carry status, flag and country in normal form, so that the
+which files a caller and a request can need at all. A batch may bring columns the table does not have: the folder names
+the schema it was written with, the table has the columns of all its folders, and older rows have NULL in the new ones. Rows carry status, flag and country in normal form, so that the
 remaining filters are plain comparisons that reach the scan, and files have a Bloom filter of the series keys.
 """
 
@@ -28,7 +29,7 @@ from seriesforge.functions import policy
 from seriesforge.functions.keys import segment
 from seriesforge.model import HISTORY_SCHEMA, KEY, PUBLISHED, REPORTER
 from seriesforge.operators import history as scd2
-from seriesforge.sources.manifest import Manifest
+from seriesforge.sources.manifest import Manifest, SchemaFiles, merged
 
 OPEN, CLOSING, CLOSED, AUDIT = "open", "closing", "closed", "audit"
 KIND_OF = {scd2.INSERTED: OPEN, scd2.AUDIT: AUDIT, scd2.EXPIRED: CLOSING, scd2.MISSING: CLOSING}
@@ -43,6 +44,7 @@ class Folder:
     kind: str
     commit: str
     rows: int
+    schema: str = ""
 
 
 @dataclass(frozen=True)
@@ -63,14 +65,14 @@ class HistoryStore:
         self.path = path.rstrip("/")
         self.schema = schema
         self.spec = spec
-        self.stored = T.StructType([*schema.fields, *NORMAL.fields, *FOLDER.fields])
-        self.manifest = Manifest(spark, f"{self.path}/manifest", "DATE string, kind string, commit string, row_count long")
+        self.schemas = SchemaFiles(spark, f"{self.path}/schemas")
+        self.manifest = Manifest(spark, f"{self.path}/manifest", "DATE string, kind string, commit string, row_count long, schema string")
 
     # ---- reading ---------------------------------------------------------------------------
 
     def snapshot(self) -> Snapshot:
         version, entries = self.manifest.latest()
-        return Snapshot(version, tuple(Folder(e["DATE"], e["kind"], e["commit"], e["row_count"]) for e in entries))
+        return Snapshot(version, tuple(Folder(e["DATE"], e["kind"], e["commit"], e["row_count"], e["schema"]) for e in entries))
 
     def version(self) -> int:
         return self.snapshot().version
@@ -80,32 +82,38 @@ class HistoryStore:
 
         With `identified`, current rows name the commit that opened them.
         """
-        wanted = (at or self.snapshot()).of(None if periods is None else set(periods))
-        rows = self._together({f"{self._folder(f)}": f.kind for f in wanted}, F.lit(True))
-        columns = self.schema.fieldNames() + (["opened"] if identified else [])
-        return rows.select(*columns)
+        at = at or self.snapshot()
+        wanted, schema = at.of(None if periods is None else set(periods)), self.columns(at)
+        rows = self._together({f"{self._folder(f)}": f.kind for f in wanted}, F.lit(True), schema)
+        return rows.select(*schema.fieldNames(), *(["opened"] if identified else []))
+
+    def columns(self, at: Snapshot) -> T.StructType:
+        """The columns of a state: those of the table, and what its commits brought, in their order."""
+        names = dict.fromkeys(f.schema for f in sorted(at.folders, key=lambda f: int(f.commit.split("-")[0])))
+        return merged([self.schema, *(self.schemas.load(name) for name in names)])
 
     def _folder(self, folder: Folder) -> str:
         return f"{self.path}/data/commit={folder.commit}/DATE={folder.period}/kind={folder.kind}"
 
-    def _rows(self, paths: list) -> DataFrame:
+    def _rows(self, paths: list, schema: T.StructType) -> DataFrame:
+        stored = _stored(schema)
         if not paths:
-            return self.spark.createDataFrame([], self.stored)
-        return self.spark.read.schema(self.stored).option("basePath", f"{self.path}/data").parquet(*sorted(paths))
+            return self.spark.createDataFrame([], stored)
+        return self.spark.read.schema(stored).option("basePath", f"{self.path}/data").parquet(*sorted(paths))
 
-    def _together(self, paths: dict, condition: Column) -> DataFrame:
+    def _together(self, paths: dict, condition: Column, schema: T.StructType) -> DataFrame:
         """Rows of those files or folders that meet the condition; `paths` has the kind of each."""
         of = lambda *kinds: [p for p, kind in paths.items() if kind in kinds]
         spec = self.spec
-        live = self._rows(of(OPEN)).filter(condition).withColumn("opened", F.col("commit"))
+        live = self._rows(of(OPEN), schema).filter(condition).withColumn("opened", F.col("commit"))
         if of(CLOSING):  # a few rows beside the open ones; Spark knows the size and picks the join
-            ended = self._rows(of(CLOSING)).select(*spec.keys, "opened", F.col(spec.valid_to).alias("ended"))
+            ended = self._rows(of(CLOSING), schema).select(*spec.keys, "opened", F.col(spec.valid_to).alias("ended"))
             live = live.join(ended, [*spec.keys, "opened"], "left")
             still = F.col("ended").isNull()
             live = live.withColumns({spec.valid_to: F.coalesce("ended", spec.valid_to), spec.current: still, "opened": F.when(still, F.col("opened"))})
-        parts = [live.select(*self.schema.fieldNames(), *NORMAL.fieldNames())]
+        parts = [live.select(*schema.fieldNames(), *NORMAL.fieldNames())]
         if of(CLOSED, AUDIT):
-            parts.append(self._rows(of(CLOSED, AUDIT)).filter(condition).select(*self.schema.fieldNames(), *NORMAL.fieldNames()))
+            parts.append(self._rows(of(CLOSED, AUDIT), schema).filter(condition).select(*schema.fieldNames(), *NORMAL.fieldNames()))
         return reduce(DataFrame.union, parts)
 
     # ---- reading as a caller -----------------------------------------------------------------
@@ -122,14 +130,16 @@ class HistoryStore:
 
     def scan(self, groups, request=None, at: Snapshot | None = None) -> DataFrame:
         """What `search.matching` gives on the whole history, or `governance.govern` without a request, from few files."""
+        at = at or self.snapshot()
+        schema = self.columns(at)
         chosen = self.files(groups, request, at).collect()  # names of files, as every scan has them
         paths = {f"{self._folder(Folder(f['DATE'], f['kind'], f['commit'], 0))}/{f['file']}": f["kind"] for f in chosen}
         normal = {"country": "row_country", "conf": "row_flag", "normal": True}
         condition = policy.row_filter(groups, status="row_status", **normal)
         if request is not None:
             condition = condition & request.stored_predicate()
-        rows = self._together(paths, condition).withColumn("OBS_VALUE", policy.masked_value(groups, **normal))
-        return (rows if request is None else rows.filter(request.predicate(groups))).select(*self.schema.fieldNames())
+        rows = self._together(paths, condition, schema).withColumn("OBS_VALUE", policy.masked_value(groups, **normal))
+        return (rows if request is None else rows.filter(request.predicate(groups))).select(*schema.fieldNames())
 
     # ---- writing ---------------------------------------------------------------------------
 
@@ -142,8 +152,8 @@ class HistoryStore:
         rows = changed.filter(F.col("change") != scd2.KEPT).withColumn("kind", kind)
         if "opened" not in rows.columns:
             rows = rows.withColumn("opened", F.lit(None).cast("string"))
-        keep = {*self.spec.keys, self.spec.valid_from, self.spec.valid_to}
-        blank = {f.name: F.when(F.col("kind") != CLOSING, F.col(f.name)) for f in self.schema if f.name not in keep}
+        keep = {*self.spec.keys, self.spec.valid_from, self.spec.valid_to, "change", "kind", "opened"}
+        blank = {c: F.when(F.col("kind") != CLOSING, F.col(c)) for c in rows.columns if c not in keep}
         return self._commit(rows.withColumns(_normal(self.schema)).withColumns(blank), periods, base, list(base.folders))
 
     def commit(self, rows: DataFrame, periods, base: Snapshot) -> int:
@@ -153,7 +163,7 @@ class HistoryStore:
         reader can see is overwritten, also not when two writers attempt the same version.
         """
         kind = F.when(F.col(self.spec.current), OPEN).when(F.col(self.spec.valid_from) == F.col(self.spec.valid_to), AUDIT).otherwise(CLOSED)
-        whole = rows.select(*self.schema.fieldNames()).withColumn("kind", kind).withColumn("opened", F.lit(None).cast("string"))
+        whole = rows.withColumn("kind", kind).withColumn("opened", F.lit(None).cast("string"))
         kept = [f for f in base.folders if f.period not in set(periods)]
         return self._commit(whole.withColumns(_normal(self.schema)), periods, base, kept)
 
@@ -167,11 +177,15 @@ class HistoryStore:
     def _commit(self, rows: DataFrame, periods, base: Snapshot, kept: list) -> int:
         commit = f"{base.version + 1}-{uuid.uuid4().hex}"
         data = f"{self.path}/data/commit={commit}"
-        columns = [*self.schema.fieldNames(), *NORMAL.fieldNames(), "kind"]
+        own = {"change", "kind", *NORMAL.fieldNames()}
+        more = [T.StructField(f.name, f.dataType) for f in rows.schema if f.name not in own | set(self.schema.fieldNames())]
+        schema = T.StructType([*self.schema.fields, *more])
+        name = self.schemas.keep(schema)
+        columns = [*schema.fieldNames(), *NORMAL.fieldNames(), "kind"]
         # Few countries per file, and keys in order inside it, so that statistics tell files apart.
         spread = rows.select(*columns).hint("rebalance", "DATE", "kind", "row_country").sortWithinPartitions("DATE", "kind", "row_country", KEY)
         spread.write.option(f"parquet.bloom.filter.enabled#{KEY}", "true").partitionBy("DATE", "kind").parquet(data)
-        written = self.spark.read.schema(T.StructType(self.stored.fields[:-2] + [T.StructField("kind", T.StringType())])).parquet(data)
+        written = self.spark.read.schema(T.StructType([f for f in _stored(schema) if f.name != "commit"])).parquet(data)
         values = lambda c: F.sort_array(F.collect_set(c)).alias(f"{c}_values")  # codes: few however many rows there are
         per_file = written.groupBy(F.lit(commit).alias("commit"), "DATE", "kind", F.col("_metadata.file_name").alias("file")).agg(
             F.count(F.lit(1)).alias("row_count"), F.min(KEY).alias("least_key"), F.max(KEY).alias("greatest_key"),
@@ -183,11 +197,15 @@ class HistoryStore:
         stray = {r["DATE"] for r in found} - set(periods)
         if stray:
             raise ValueError(f"rows of periods outside the commit: {sorted(map(str, stray))}")
-        folders = [*kept, *(Folder(r["DATE"], r["kind"], commit, r["n"]) for r in found)]
-        entries = sorted((f.period, f.kind, f.commit, f.rows) for f in folders)
+        folders = [*kept, *(Folder(r["DATE"], r["kind"], commit, r["n"], name) for r in found)]
+        entries = sorted((f.period, f.kind, f.commit, f.rows, f.schema) for f in folders)
         return self.manifest.publish(base.version + 1, entries)
 
 
+def _stored(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, *NORMAL.fields, *FOLDER.fields])
+
+
 def _normal(schema) -> dict:
     """The columns in normal form, as `policy` compares them."""
     have = lambda c: F.upper(F.coalesce(F.col(c), F.lit(""))) if c in schema.fieldNames() else F.lit("")

@@ -9,7 +9,6 @@ The log is read as a table: the last checkpoint, and the entries after it. So ne
 earlier submissions, and a reader of some periods opens only their folders.
 """
 
-import hashlib
 import json
 import re
 import uuid
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from seriesforge.errors import CommitConflict, SubmissionError
-from seriesforge.sources.manifest import files_in, put_new
+from seriesforge.sources.manifest import SchemaFiles, files_in, merged, put_new
 
 BATCH_ID = re.compile(r"[A-Za-z0-9_.-]{1,64}")
 ENTRY_NAME = re.compile(r"entry-(\d+)\.json")
@@ -33,6 +32,7 @@ class LedgerLog:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
+        self.schemas = SchemaFiles(spark, f"{self.path}/schemas")
 
     def latest(self) -> dict:
         """The last entry; version 0 and no schema before the first."""
@@ -64,9 +64,9 @@ class LedgerLog:
         """Add one entry after the latest one; another writer's entry in between is no conflict, only the next number."""
         for left in reversed(range(ATTEMPTS)):
             before = self.latest()
-            known = [self.schema(before["schema"])] if before["schema"] else []
-            merged = _merged([*known, schema] if schema else known)
-            entry = {"version": before["version"] + 1, "batch_id": batch_id, "attempt": attempt, "schema": self._keep(merged), "periods": sorted(periods)}
+            known = [self.schemas.load(before["schema"])] if before["schema"] else []
+            kept = self.schemas.keep(merged([*known, schema] if schema else known))
+            entry = {"version": before["version"] + 1, "batch_id": batch_id, "attempt": attempt, "schema": kept, "periods": sorted(periods)}
             try:
                 put_new(self.spark, json.dumps(entry), self._entry(entry["version"]), f"{self.path}/attempts")
                 break
@@ -77,30 +77,6 @@ class LedgerLog:
             self.live().write.mode("ignore").parquet(f"{self.path}/checkpoints/block={entry['version'] // BLOCK}")
         return entry["version"]
 
-    def _keep(self, schema: T.StructType) -> str:
-        text = schema.json()
-        name = hashlib.sha256(text.encode()).hexdigest()[:32]
-        if f"{name}.json" not in files_in(self.spark, f"{self.path}/schemas"):  # a file per set of columns there ever was
-            try:
-                put_new(self.spark, text, f"{self.path}/schemas/{name}.json", f"{self.path}/attempts")
-            except CommitConflict:  # another writer has just put the same text there
-                pass
-        return name
-
-    def schema(self, name: str) -> T.StructType:
-        return T.StructType.fromJson(json.loads(self.spark.read.text(f"{self.path}/schemas/{name}.json", wholetext=True).first()[0]))
-
-
-def _merged(schemas) -> T.StructType:
-    """All columns in the order of their first arrival."""
-    fields = {}
-    for schema in schemas:
-        for field in schema:
-            known = fields.setdefault(field.name, field)
-            if known.dataType != field.dataType:
-                raise SubmissionError(f"column {field.name} is {field.dataType.simpleString()} here and {known.dataType.simpleString()} in the ledger")
-    return T.StructType([T.StructField(f.name, f.dataType) for f in fields.values()])
-
 
 def _log(spark: SparkSession, path: str) -> LedgerLog:
     return LedgerLog(spark, f"{path}/log")
@@ -132,7 +108,7 @@ def read(spark: SparkSession, path: str, periods=None) -> DataFrame:
     latest = log.latest()
     if latest["schema"] is None:
         raise SubmissionError(f"no submission in {path}")
-    schema = log.schema(latest["schema"])
+    schema = log.schemas.load(latest["schema"])
     live = log.live()
     if periods is not None:
         wanted = F.array(*[F.lit(p) for p in periods]).cast("array<string>")

@@ -5,14 +5,17 @@ Data go to a folder of their own first. A listing is one JSON file, written asid
 version one succeeds; the other gets a `CommitConflict`, and nothing that readers see has changed.
 """
 
+import hashlib
+import json
 import re
 import uuid
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
-from seriesforge.errors import CommitConflict
+from seriesforge.errors import CommitConflict, SubmissionError
 
 LISTING = re.compile(r"/listing-(\d+)\.json$")
 
@@ -55,6 +58,38 @@ def put_new(spark: SparkSession, text: str, target: str, aside: str) -> None:
     _rename_new(spark, path.toUri(), target)
 
 
+class SchemaFiles:
+    """Schemas as files named by their content, so each set of columns there ever was is written once."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark = spark
+        self.folder = folder
+
+    def keep(self, schema: T.StructType) -> str:
+        text = schema.json()
+        name = hashlib.sha256(text.encode()).hexdigest()[:32]
+        if f"{name}.json" not in files_in(self.spark, self.folder):
+            try:
+                put_new(self.spark, text, f"{self.folder}/{name}.json", f"{self.folder}/_attempts")
+            except CommitConflict:  # another writer has just put the same text there
+                pass
+        return name
+
+    def load(self, name: str) -> T.StructType:
+        return T.StructType.fromJson(json.loads(self.spark.read.text(f"{self.folder}/{name}.json", wholetext=True).first()[0]))
+
+
+def merged(schemas) -> T.StructType:
+    """All columns in the order of their first arrival."""
+    fields = {}
+    for schema in schemas:
+        for field in schema:
+            known = fields.setdefault(field.name, field)
+            if known.dataType != field.dataType:
+                raise SubmissionError(f"column {field.name} is {field.dataType.simpleString()} here and {known.dataType.simpleString()} in the table")
+    return T.StructType([T.StructField(f.name, f.dataType) for f in fields.values()])
+
+
 class Manifest:
     """`fields` is the DDL of one entry; an entry stands for one folder, so a listing is small."""
 

@@ -5,7 +5,9 @@ import glob
 import pytest
 from pyspark.sql import functions as F
 
+from seriesforge.errors import SubmissionError
 from seriesforge.operators import governance, history as scd2, search
+from seriesforge.plans import cycle
 from seriesforge.sources.history_store import HistoryStore
 from tests.scenario import key
 from tests.test_history import A, B, G, T1, T2, T3, batch
@@ -67,6 +69,24 @@ def test_store_follows_the_merge(spark, tmp_path):
     assert store.read().filter("IS_CURRENT").count() == 3
 
 
+def test_a_batch_with_more_columns(spark, tmp_path):
+    """New columns appear for all rows, stay, and are filled on read where a folder lacks them."""
+    store = HistoryStore(spark, str(tmp_path))
+    arriving = batch(spark, (A, 1.0), (B, 2.0))
+    cycle.take(store, arriving, T1, ["2026-Q1"])
+    assert "channel" not in store.read().columns
+    old = store.snapshot()
+    cycle.take(store, batch(spark, (A, 3.0), (B, 2.0)).withColumn("channel", F.lit("web")), T2, ["2026-Q1"])
+    cycle.take(store, batch(spark, (A, 4.0), (B, 2.0)), T3, ["2026-Q1"])
+    seen = lambda df: sorted((r["OBS_VALUE"], r["channel"]) for r in df.filter(F.col("TIME_SERIES_CODE") == A).collect())
+    assert seen(store.read()) == [(1.0, None), (3.0, "web"), (4.0, None)] == seen(store.scan({"admin"}))
+    assert "channel" not in store.read(at=old).columns and len(glob.glob(f"{store.path}/schemas/*.json")) == 2
+    store.compact(0.0)
+    assert seen(store.read()) == [(1.0, None), (3.0, "web"), (4.0, None)]
+    with pytest.raises(SubmissionError, match="channel is int"):
+        cycle.take(store, batch(spark, (A, 5.0)).withColumn("channel", F.lit(1)), "2026-06-01 00:00:00", ["2026-Q1"])
+
+
 @pytest.fixture(scope="module")
 def stored(spark, tmp_path_factory):
     """Two periods, four countries; one country rejected in the second period, one with restricted values."""
