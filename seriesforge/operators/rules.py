@@ -114,33 +114,33 @@ def compile_rules(parsed: DataFrame) -> Rulebook:
     )
     side = numbered.select("rule_id", "check_no", rule_mask.alias("rule_mask"), F.posexplode(sides).alias("side", "s"))
     fixed = F.map_filter("s.codes", lambda d, code: code != WILDCARD)
-    listed = stage(side.select("rule_id", "side", "check_no", "rule_mask", "s.is_total", fixed.alias("fixed")), "term-list")
-    # A rulebook is a list that people keep, so numbering it is one small sort.
+    # A rulebook is a list that people keep, so numbering its terms is one small sort.
     term = (F.row_number().over(Window.orderBy("rule_id", "side")) - 1).alias("term")
-    terms = stage(listed.select(term, "rule_id", "check_no", "rule_mask", "is_total", "fixed"), "terms")
-    facts = terms.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array_distinct(F.flatten(F.collect_set(F.map_keys("fixed")))).alias("dims"),
-        F.bool_or(F.col("rule_mask").bitwiseAND(REPORTER_BIT) != 0).alias("spans"),
-    ).first()
-    words = max(1, -(-facts["n"] // WORD))
+    terms = stage(side.select(term, "rule_id", "check_no", "rule_mask", "s.is_total", fixed.alias("fixed")), "terms")
     place = (F.col("term") / WORD).cast("int").alias("word")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("term") % WORD)
-    open_terms, maps = {}, []
-    for d in sorted(facts["dims"], key=DIMENSIONS.index):
-        code = F.try_element_at("fixed", F.lit(d))
-        found = terms.filter(code.isNull()).groupBy(place).agg(F.bit_or(bit).alias("bits")).collect()  # a row per word
-        held = [0] * words
-        for row in found:
-            held[row["word"]] = row["bits"]
-        open_terms[d] = held
-        allowed = terms.filter(code.isNotNull()).groupBy(code.alias("code"), place).agg(F.bit_or(bit).alias("bits"))
-        named = allowed.groupBy("code").agg(_words(F.collect_list(F.struct("word", "bits")), words).alias("own"))
-        both = F.zip_with("own", F.array(*[F.lit(x).cast("long") for x in held]), lambda a, b: a.bitwiseOR(b))
-        maps.append(named.select(F.lit(d).alias("dimension"), "code", both.alias("bits")))
-    empty = parsed.sparkSession.createDataFrame([], "dimension string, code string, bits array<long>")
-    bitmaps = stage(reduce(DataFrame.union, maps), "term-bitmaps") if maps else empty
-    return Rulebook(terms.drop("fixed"), bitmaps, open_terms, words, bool(facts["spans"]))
+    # A row per dimension and word: the terms that leave the dimension open, and whether any fixes it.
+    each = F.explode(F.array(*[F.lit(d) for d in DIMENSIONS])).alias("dimension")
+    has = F.map_contains_key("fixed", F.col("dimension"))
+    facts = terms.select("term", "rule_mask", "fixed", each).groupBy("dimension", place).agg(
+        F.bit_or(F.when(~has, bit)).alias("open"),
+        F.bool_or(has).alias("fixed"),
+        F.bool_or(F.col("rule_mask").bitwiseAND(REPORTER_BIT) != 0).alias("spans"),
+    ).collect()
+    words = max((r["word"] + 1 for r in facts), default=1)
+    open_terms = {d: [0] * words for d in DIMENSIONS if any(r["fixed"] for r in facts if r["dimension"] == d)}
+    for r in facts:
+        if r["dimension"] in open_terms:
+            open_terms[r["dimension"]][r["word"]] = r["open"] or 0
+    named = terms.select("term", F.explode("fixed").alias("dimension", "code")).groupBy("dimension", "code", place).agg(F.bit_or(bit).alias("bits"))
+    own = named.groupBy("dimension", "code").agg(_words(F.collect_list(F.struct("word", "bits")), words).alias("own"))
+    if open_terms:
+        literals = F.create_map(*[x for d, held in open_terms.items() for x in (F.lit(d), F.array(*[F.lit(w).cast("long") for w in held]))])
+        both = F.zip_with("own", literals[F.col("dimension")], lambda a, b: a.bitwiseOR(b))
+        bitmaps = stage(own.select("dimension", "code", both.alias("bits")), "term-bitmaps")
+    else:
+        bitmaps = parsed.sparkSession.createDataFrame([], "dimension string, code string, bits array<long>")
+    return Rulebook(terms.drop("fixed"), bitmaps, open_terms, words, any(r["spans"] for r in facts))
 
 
 def load(wide: DataFrame) -> Rulebook:
