@@ -250,12 +250,12 @@ def q_scd2_micro_one_country(spark, sf_dir):
 def _store(spark, sf_dir):
     """A stored history after two submissions whose rows come with sector totals. In the second,
     British totals still count the late lines, so those checks fail."""
-    total = lambda rows: rows.withColumn("sector_code", F.lit("A"))
-    rows, late = testbed.ledger_rows(spark, sf_dir), testbed.ledger_rows(spark, sf_dir, testbed.LATE_LINES)
-    british = F.col("reporting_country") == "GB"
+    rows = testbed.ledger_rows(spark, sf_dir)
+    marked = testbed.ledger_rows(spark, sf_dir, marks={"late": F.coalesce(F.expr(testbed.LATE_LINES), F.lit(False))})
+    every, late, british = F.lit(True), F.col("late"), F.col("reporting_country") == "GB"
     sent = {
-        testbed.BASELINE_AT: rows.unionByName(total(rows)),
-        testbed.REVISION_AT: late.unionByName(total(late.filter(~british))).unionByName(total(rows.filter(british))),
+        testbed.BASELINE_AT: testbed.with_sector_totals(rows, every, every),
+        testbed.REVISION_AT: testbed.with_sector_totals(marked, late, late | british),
     }
     base = fresh_path(spark, "store")
     store = HistoryStore(spark, f"{base}/history")

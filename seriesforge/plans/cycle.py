@@ -50,8 +50,8 @@ def process(submission: Submission, book: Rulebook, store: HistoryStore, ledger_
     """
     spark = submission.rows.sparkSession
     normal = ledger.normalise(submission.rows)
-    ledger.assert_codelist(normal)
-    target = ledger_store.append(normal, ledger_path, submission.batch_id)
+    # The rows are computed once: the gate looks at what was written, before it becomes part of the ledger.
+    target = ledger_store.append(normal, ledger_path, submission.batch_id, ledger.assert_codelist)
     accepted = spark.read.parquet(target).withColumn("date_scope", F.col("date_scope").cast("string"))
     batch = stage(validation.validate(observations(accepted), book), "validated")
     periods = sorted(r[0] for r in batch.select("DATE").distinct().collect())

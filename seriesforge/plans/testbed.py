@@ -51,43 +51,63 @@ def country_of_region(column="n_regionkey") -> Column:
     return _choose(column, {0: "CA", 1: "US", 2: "GB", 3: "DE"}, "JP")
 
 
-def ledger_rows(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
-    """Ledger rows, one per order line: a bank's position with a reporting country."""
-    lines = table(spark, sf_dir, "lineitem").filter(where)
-    orders = table(spark, sf_dir, "orders")
-    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    suppliers = table(spark, sf_dir, "supplier")
+def ledger_rows(spark: SparkSession, sf_dir: str, where: str = "true", marks: dict | None = None) -> DataFrame:
+    """Ledger rows, one per order line: a bank's position with a reporting country.
+
+    Orders meet their customers before they meet the lines, so only the order key moves a line: the lines are the largest
+    table, and a join on the customer would send them all a second time. `marks` are more columns, computed from a line.
+    """
+    marks = marks or {}
+    banks = table(spark, sf_dir, "supplier")
     nations = table(spark, sf_dir, "nation")
-    joined = (
-        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+    sign = F.when(F.col("l_discount") >= 0.08, -1).otherwise(1)
+    line = ["l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_linestatus", "l_shipdate"]
+    lines = (
+        table(spark, sf_dir, "lineitem")
+        .filter(where)
+        .select(*line, (F.col("l_extendedprice") * sign).alias("amount"), *[mark.alias(name) for name, mark in marks.items()])
+        .join(banks, F.col("l_suppkey") == F.col("s_suppkey"))
         .join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+        .select(*line, "amount", *marks, country_of_region().alias("country"))
     )
+    currencies = {"AUTOMOBILE": "USD", "BUILDING": "EUR", "FURNITURE": "JPY", "HOUSEHOLD": "CHF"}
+    customers = table(spark, sf_dir, "customer").select("c_custkey", _choose("c_mktsegment", currencies, "GBP").alias("denom"))
     urgent = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
+    orders = (
+        table(spark, sf_dir, "orders")
+        .select("o_orderkey", "o_custkey", F.when(urgent, "B").otherwise("N").alias("sector"))
+        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
+        .select("o_orderkey", "sector", "denom")
+    )
+    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     modulo = F.col("l_orderkey") % 20
-    currencies = {"AUTOMOBILE": "USD", "BUILDING": "EUR", "FURNITURE": "JPY", "HOUSEHOLD": "CHF"}
-    sign = F.when(F.col("l_discount") >= 0.08, -1).otherwise(1)
     quarter = F.concat_ws("-Q", F.year("l_shipdate").cast("string"), F.quarter("l_shipdate").cast("string"))
     columns = {
         "transaction_id": F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")),
-        "reporting_country": country_of_region(),
+        "reporting_country": F.col("country"),
         "reporting_institution": F.concat(F.lit("BANK_"), F.col("l_suppkey").cast("string")),
         "position_type": F.when(F.col("l_linestatus") == "O", "C").otherwise("L"),
         "instrument": F.lit("A"),
-        "currency": _choose("c_mktsegment", currencies, "GBP"),
+        "currency": F.col("denom"),
         "currency_type": F.when(F.col("l_returnflag") == "A", "D").otherwise("F"),
         "parent_country": F.lit("5J"),
         "bank_type": F.lit("A"),
         "counterpart_country": F.lit("5J"),
-        "sector_code": F.when(urgent, "B").otherwise("N"),
-        "transaction_amount": F.col("l_extendedprice") * sign,
+        "sector_code": F.col("sector"),
+        "transaction_amount": F.col("amount"),
         "obs_conf": F.when(modulo == 0, "C").when(modulo == 1, "N").otherwise("F"),
         "ibs_agg_scope": F.lit("LBSR"),
         "date_scope": quarter,
         "transaction_timestamp": F.col("l_shipdate").cast("timestamp"),
     }
-    return joined.select(*[columns[f.name].cast(f.dataType).alias(f.name) for f in LEDGER_SCHEMA])
+    return joined.select(*[columns[f.name].cast(f.dataType).alias(f.name) for f in LEDGER_SCHEMA], *marks)
+
+
+def with_sector_totals(rows: DataFrame, own: Column, total: Column) -> DataFrame:
+    """Rows where `own` holds, and beside them the same rows of sector A where `total` holds, from one pass over the rows."""
+    sectors = F.array(F.when(own, F.struct(F.col("sector_code").alias("sector"))), F.when(total, F.struct(F.lit("A").alias("sector"))))
+    spread = rows.withColumn("sent", F.explode(F.array_compact(sectors)))
+    return spread.withColumn("sector_code", F.col("sent.sector")).select(*[f.name for f in LEDGER_SCHEMA])
 
 
 def roll_up(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:

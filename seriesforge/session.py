@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # A task writes that many periods side by side instead of sorting all its rows first.
+    "spark.sql.maxConcurrentOutputFileWriters": "64",
 }
 
 # Can only be set when the session starts. Spares a look at the Python stack for every column

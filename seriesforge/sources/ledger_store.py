@@ -82,16 +82,23 @@ def _log(spark: SparkSession, path: str) -> LedgerLog:
     return LedgerLog(spark, f"{path}/log")
 
 
-def append(df: DataFrame, path: str, batch_id: str) -> str:
-    """Write one submission, partitioned by period, and return its folder. Rebalancing splits a
-    period of any size over several files and packs small ones."""
+def append(df: DataFrame, path: str, batch_id: str, gate=None) -> str:
+    """Write one submission, partitioned by period, and return its folder.
+
+    Rows go to files from the task that has them: a shuffle by period would send each row once more, at three times the
+    bytes it takes in a file. So a period of any size is written by many tasks. `gate` gets the written rows and raises
+    to refuse them; until it has passed, no reader sees them.
+    """
     if not BATCH_ID.fullmatch(batch_id):
         raise SubmissionError(f"batch id {batch_id!r}: letters, digits, _ . - only, up to 64")
     spark = df.sparkSession
     attempt = uuid.uuid4().hex
     target = f"{path}/data/batch_id={batch_id}/attempt={attempt}"
-    df.hint("rebalance", "date_scope").write.partitionBy("date_scope").parquet(target)
-    periods = spark.read.schema(df.schema).parquet(target).select("date_scope").distinct().collect()  # the periods of one submission
+    df.write.partitionBy("date_scope").parquet(target)
+    written = spark.read.schema(df.schema).parquet(target)
+    if gate:
+        gate(written)
+    periods = written.select("date_scope").distinct().collect()  # the periods of one submission
     _log(spark, path).add(batch_id, attempt, df.schema, [p[0] for p in periods if p[0] is not None])
     return target
 
