@@ -7,8 +7,8 @@ from seriesforge.model import DOMINANCE_THRESHOLD, NORMAL_STATUS, SERIES_KEYS
 from seriesforge.operators.ledger import reported
 
 
-def feed(ledger: DataFrame) -> DataFrame:
-    """Bank-level feed rows (series, bank, period, framework, value) from ledger rows."""
+def feed(ledger: DataFrame, *more: str) -> DataFrame:
+    """Bank-level feed rows (series, bank, period, framework, value) from ledger rows; columns of `more` are kept."""
     from seriesforge.operators.ledger import series_key
 
     return ledger.select(
@@ -17,6 +17,7 @@ def feed(ledger: DataFrame) -> DataFrame:
         F.col("date_scope").alias("DATE"),
         F.col("ibs_agg_scope").alias("IBS_AGG"),
         F.col("transaction_amount").alias("OBS_VALUE"),
+        *more,
     )
 
 

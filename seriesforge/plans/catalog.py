@@ -221,11 +221,26 @@ def q_scd2_replay(spark, sf_dir):
     return scd2.change_counts(scd2.changes(after, batch, testbed.REPLAY_AT, check_unique=False))
 
 
-def _bank_feed(spark, sf_dir, where="true"):
-    """One value per series, bank and period."""
-    keys = [*SERIES_KEYS, "BANK_CODE"]
-    rows = disclosure.feed(testbed.ledger_rows(spark, sf_dir, where))
-    return rows.groupBy(*keys).agg(F.sum(F.col("OBS_VALUE").cast("decimal(38,6)")).cast("double").alias("OBS_VALUE"))
+def _bank_feeds(spark, sf_dir, countries=None):
+    """One value per series, bank and period: of all lines, and of the late ones.
+
+    The rows are dealt once, by what a merge joins on (all are of one framework), so that the merge finds both sides in
+    place. A cell has a row or two: a sum before the shuffle would spare none.
+    """
+    late = F.coalesce(F.expr(testbed.LATE_LINES), F.lit(False))
+    rows = testbed.ledger_rows(spark, sf_dir, marks={"late": late})
+    if countries:  # before the lines meet their orders
+        rows = rows.filter(F.col("reporting_country").isin(*countries))
+    dealt = disclosure.feed(rows, "late").repartition(KEY, "BANK_CODE", "DATE")
+    amount = F.col("OBS_VALUE").cast("decimal(38,6)")
+    sums = dealt.groupBy(*SERIES_KEYS, "BANK_CODE").agg(
+        F.sum(amount).cast("double").alias("every"),
+        F.sum(F.when(F.col("late"), amount)).cast("double").alias("revised"),
+        F.max("late").alias("late"),
+    )
+    # Both ask for `late`, else the two shuffles would differ in a column and Spark would not do with one.
+    feed = lambda where, value: sums.filter(where).select(*SERIES_KEYS, "BANK_CODE", F.col(value).alias("OBS_VALUE"))
+    return feed(F.col("late").isNotNull(), "every"), feed("late", "revised")
 
 
 def _micro_versions(df, *more):
@@ -234,16 +249,16 @@ def _micro_versions(df, *more):
 
 
 def q_scd2_micro(spark, sf_dir):
-    before = scd2.initialise(_bank_feed(spark, sf_dir), testbed.BASELINE_AT, scd2.MICRO)
-    batch = _bank_feed(spark, sf_dir, testbed.LATE_LINES)
+    every, batch = _bank_feeds(spark, sf_dir)
+    before = scd2.initialise(every, testbed.BASELINE_AT, scd2.MICRO)
     after = scd2.merge(before, batch, testbed.REVISION_AT, scd2.MICRO, framework="LBSR", check_unique=False)
     return _micro_versions(after)
 
 
 def q_scd2_micro_one_country(spark, sf_dir):
     """A revision by one of five countries leaves the others open."""
-    before = scd2.initialise(_bank_feed(spark, sf_dir), testbed.BASELINE_AT, scd2.MICRO)
-    batch = _bank_feed(spark, sf_dir, testbed.LATE_LINES).filter(segment(F.col(KEY), REPORTER) == "CA")
+    before = scd2.initialise(_bank_feeds(spark, sf_dir)[0], testbed.BASELINE_AT, scd2.MICRO)
+    batch = _bank_feeds(spark, sf_dir, ["CA"])[1]
     return _micro_versions(scd2.merge(before, batch, testbed.REVISION_AT, scd2.MICRO, check_unique=False))
 
 
@@ -275,9 +290,8 @@ def q_store_read_periods(spark, sf_dir):
 def q_store_micro_two_countries(spark, sf_dir):
     """A stored bank-level history of two countries; one of them revises its data, with a column more."""
     store = HistoryStore(spark, fresh_path(spark, "micro"), MICRO_SCHEMA, scd2.MICRO)
-    both = segment(F.col(KEY), REPORTER).isin("CA", "GB")
-    revised = _bank_feed(spark, sf_dir, testbed.LATE_LINES).filter(both & (segment(F.col(KEY), REPORTER) == "CA"))
-    for at, feed in ((testbed.BASELINE_AT, _bank_feed(spark, sf_dir).filter(both)), (testbed.REVISION_AT, revised.withColumn("channel", F.lit("web")))):
+    both, revised = _bank_feeds(spark, sf_dir, ["CA", "GB"])[0], _bank_feeds(spark, sf_dir, ["CA"])[1]
+    for at, feed in ((testbed.BASELINE_AT, both), (testbed.REVISION_AT, revised.withColumn("channel", F.lit("web")))):
         batch = stage(feed, "bank-feed")
         cycle.take(store, batch, at, sorted(r[0] for r in batch.select("DATE").distinct().collect()))
     return _micro_versions(store.read(), "channel")
@@ -314,9 +328,10 @@ def q_store_search(spark, sf_dir):
 
 def _gated_micro(spark, sf_dir):
     """Baseline without a status, then a revision with British rows rejected."""
-    before = scd2.initialise(_bank_feed(spark, sf_dir), testbed.BASELINE_AT, scd2.MICRO_GATED)
+    every, revised = _bank_feeds(spark, sf_dir)
+    before = scd2.initialise(every, testbed.BASELINE_AT, scd2.MICRO_GATED)
     rejected = segment(F.col(KEY), REPORTER) == "GB"
-    batch = _bank_feed(spark, sf_dir, testbed.LATE_LINES).withColumn(
+    batch = revised.withColumn(
         "BATCH_STATUS", F.when(rejected, "QUARANTINE").otherwise("PUBLISHED")
     )
     return scd2.merge(before, batch, testbed.REVISION_AT, scd2.MICRO_GATED, check_unique=False)
