@@ -32,6 +32,10 @@ from seriesforge.llm import text as tx
 from seriesforge.llm import tokens
 
 
+#: Texts are encoded in parts of a block: the arrays beside a part take many times its bytes. Streams end with blocks.
+PART_BYTES = 250_000
+
+
 @dataclass(frozen=True)
 class Packing:
     length: int = 2048
@@ -146,10 +150,11 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
         sequence = TaskContext.get().partitionId() << 40
         stream = _Stream()
         for block in tx.blocks(batches, "text"):
-            ids, at, stops = library.encode(block.column(1), sentences=True)
-            shift = np.searchsorted(at[1:], stops, "left")  # end ids that stand before each stop
-            ids, ends = tokens.with_end(ids, at, rule.end_id)
-            stream.add(block.column(0).to_pylist(), ids, ends, stops + shift)
+            for part in tx.blocks([block], "text", PART_BYTES):
+                ids, at, stops = library.encode(part.column(1), sentences=True)
+                shift = np.searchsorted(at[1:], stops, "left")  # end ids that stand before each stop
+                ids, ends = tokens.with_end(ids, at, rule.end_id)
+                stream.add(part.column(0).to_pylist(), ids, ends, stops + shift)
             if stream.size >= rule.stream_ids:
                 batch, sequence = stream.pieces(rule, sequence)
                 yield batch
